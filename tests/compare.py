@@ -76,8 +76,8 @@ def main() -> None:
             else:
                 ok, note = True, f"{run(spark, sf_dir).count()} rows, no SQL"
         except Exception as error:  # noqa: BLE001
-            ok, note = False, f"{type(error).__name__}: {str(error)[:600]}"
-        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {note}", flush=True)
+            ok, note = False, f"{type(error).__name__}: {str(error)[:300]}"
+        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {note[:1200]}", flush=True)
         if not ok:
             failed.append(name)
     print("failed:", failed)

@@ -1,3 +1,4 @@
+import logging
 import sys
 import tempfile
 from pathlib import Path
@@ -23,6 +24,7 @@ def local_session() -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnsift-checkpoint-"))
     return spark

@@ -10,11 +10,19 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnsift.functions.text import SPACE, SPACE_CHARS, WORD, fold_case, strip
+from turnsift.functions.text import (
+    SPACE,
+    SPACE_CHARS,
+    WORD,
+    fold_case,
+    fold_case_sql,
+    literal,
+    quote_name,
+    strip_sql,
+)
 
 HEURISTIC = "heuristic"
 BOUNDARY = "boundary"
@@ -157,31 +165,37 @@ def jvm_regex(rule: Rule) -> str:
     return f"(?sd){spelled}"
 
 
-def mixed_script(text: Column) -> Column:
+def mixed_script_sql(text: str) -> str:
     """At least 20 letters, 5 to 95 percent of them beyond extended Latin."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    beyond = F.length(F.regexp_replace(text, r"[^\p{L}&&[^\x00-\x{24f}]]+", ""))
-    share = (beyond * 100).between(letters * 5, letters * 95)
+    letters = f"length(regexp_replace({text}, {literal(_NO_LETTERS)}, ''))"
+    beyond = f"length(regexp_replace({text}, {literal(_NOT_BEYOND)}, ''))"
     return (
-        (F.octet_length(text) > F.length(text))
-        & text.rlike(r"[\x{250}-\x{10ffff}]")
-        & (letters >= 20)
-        & share
+        f"(octet_length({text}) > length({text}) AND rlike({text}, {literal(_FAR_CHARS)}) "
+        f"AND {letters} >= 20 AND {beyond} * 100 BETWEEN {letters} * 5 AND {letters} * 95)"
     )
 
 
-def _hit(rule: Rule, text: Column, folded: Column) -> Column:
+_NO_LETTERS = r"[^\p{L}]+"
+_NOT_BEYOND = r"[^\p{L}&&[^\x00-\x{24f}]]+"
+_FAR_CHARS = r"[\x{250}-\x{10ffff}]"
+
+
+def mixed_script(text: str) -> Column:
+    return F.expr(mixed_script_sql(quote_name(text)))
+
+
+def _hit_sql(rule: Rule, text: str, folded: str) -> str:
     if rule.family == MIXED_SCRIPT:
-        return mixed_script(text)
+        return mixed_script_sql(text)
     checks = [
-        reduce(lambda a, b: a | b, [F.contains(folded, F.lit(word)) for word in group])
+        "(" + " OR ".join(f"contains({folded}, {literal(word)})" for word in group) + ")"
         for group in rule.needs
     ]
-    return reduce(lambda a, b: a & b, checks + [folded.rlike(jvm_regex(rule))])
+    return " AND ".join([*checks, f"rlike({folded}, {literal(jvm_regex(rule))})"])
 
 
-def _bit(mask: Column, position: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << position)) != 0
+def _bit_sql(mask: str, position: int) -> str:
+    return f"{mask} & {1 << position}L != 0"
 
 
 def with_rule_mask(
@@ -194,80 +208,74 @@ def with_rule_mask(
     """
     if len(rules) > 62:
         raise ValueError("a mask holds at most 62 rules")
-    folded = F.col("_folded")
     bits = [
-        F.when(_hit(rule, F.col(text), folded), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+        f"IF({_hit_sql(rule, quote_name(text), '_folded')}, {1 << i}L, 0L)"
         for i, rule in enumerate(rules)
     ]
-    mask = reduce(lambda a, b: a.bitwiseOR(b), bits)
     return (
-        df.withColumn("_folded", fold_case(F.col(text)))
-        .select("*", F.explode(F.array(F.coalesce(mask, F.lit(0).cast("long")))).alias(out))
+        df.withColumn("_folded", fold_case(text))
+        .select("*", F.expr(f"explode(array({' | '.join(bits)}))").alias(out))
         .drop("_folded")
     )
 
 
-def rule_ids(mask: Column, rules: Sequence[Rule] = RULES) -> Column:
+def rule_ids(mask: str = "rule_mask", rules: Sequence[Rule] = RULES) -> Column:
     """Matched rule ids in table order."""
-    return F.array_compact(
-        F.array(*[F.when(_bit(mask, i), F.lit(r.rule_id)) for i, r in enumerate(rules)])
-    )
+    name = quote_name(mask)
+    ids = [f"IF({_bit_sql(name, i)}, {literal(r.rule_id)}, NULL)" for i, r in enumerate(rules)]
+    return F.expr(f"array_compact(array({', '.join(ids)}))")
 
 
-def points(mask: Column, families: Sequence[str], rules: Sequence[Rule] = RULES) -> Column:
+def points(
+    families: Sequence[str], mask: str = "rule_mask", rules: Sequence[Rule] = RULES
+) -> Column:
     """Capped sum of the weights, in hundredths so that no float noise builds up."""
+    name = quote_name(mask)
     parts = [
-        F.when(_bit(mask, i), F.lit(r.points)).otherwise(F.lit(0))
+        f"IF({_bit_sql(name, i)}, {r.points}, 0)"
         for i, r in enumerate(rules)
         if r.family in families
     ]
-    return F.least(F.lit(100), reduce(lambda a, b: a + b, parts))
-
-
-def heuristic_points(mask: Column, rules: Sequence[Rule] = RULES) -> Column:
-    return points(mask, (HEURISTIC, MIXED_SCRIPT), rules)
+    return F.expr(f"least(100, {' + '.join(parts) or '0'})")
 
 
-def boundary_points(mask: Column, rules: Sequence[Rule] = RULES) -> Column:
-    return points(mask, (BOUNDARY,), rules)
+def heuristic_points(mask: str = "rule_mask", rules: Sequence[Rule] = RULES) -> Column:
+    return points((HEURISTIC, MIXED_SCRIPT), mask, rules)
 
 
-def _around_match(text: Column, folded: Column, regex: Column) -> Column:
-    start = F.length(F.get(F.split(folded, regex, 2), F.lit(0)))
-    size = F.length(F.regexp_substr(folded, regex))
-    first = F.greatest(start - EVIDENCE_REACH, F.lit(0))
-    last = F.least(start + size + EVIDENCE_REACH, F.length(text))
-    return strip(F.substring(text, first + 1, last - first))
+def boundary_points(mask: str = "rule_mask", rules: Sequence[Rule] = RULES) -> Column:
+    return points((BOUNDARY,), mask, rules)
 
 
-def _family_evidence(
-    text: Column, folded: Column, mask: Column, families, rules: Sequence[Rule]
-) -> Column:
-    regexes = F.array_compact(
-        F.array(
-            *[
-                F.when(_bit(mask, i), F.lit(jvm_regex(r)))
-                for i, r in enumerate(rules)
-                if r.family in families and r.family != MIXED_SCRIPT
-            ]
-        )
+def _family_evidence_sql(text: str, folded: str, mask: str, families, rules) -> str:
+    regexes = ", ".join(
+        f"IF({_bit_sql(mask, i)}, {literal(jvm_regex(r))}, NULL)"
+        for i, r in enumerate(rules)
+        if r.family in families and r.family != MIXED_SCRIPT
     )
-    parts = F.transform(regexes, lambda regex: _around_match(text, folded, regex))
+    # start and size of the match in characters, then the text around it
+    start = f"length(split({folded}, x, 2)[0])"
+    first = f"greatest({start} - {EVIDENCE_REACH}, 0)"
+    last = f"least({start} + length(regexp_substr({folded}, x)) + {EVIDENCE_REACH}, length({text}))"
+    around = f"substring({text}, {first} + 1, {last} - {first})"
+    parts = f"transform(array_compact(array({regexes})), x -> {strip_sql(around)})"
     for i, rule in enumerate(rules):
         if rule.family == MIXED_SCRIPT and rule.family in families:
-            head = F.array(strip(F.left(text, F.lit(100))))
-            parts = F.concat(
-                parts, F.when(_bit(mask, i), head).otherwise(F.array().cast("array<string>"))
+            head = strip_sql(f"left({text}, 100)")
+            parts = (
+                f"concat({parts}, "
+                f"IF({_bit_sql(mask, i)}, array({head}), CAST(array() AS array<string>)))"
             )
-    return F.left(F.array_join(parts, EVIDENCE_JOIN), F.lit(EVIDENCE_CHARS))
+    return f"left(array_join({parts}, {literal(EVIDENCE_JOIN)}), {EVIDENCE_CHARS})"
 
 
-def evidence(text: Column, mask: Column, rules: Sequence[Rule] = RULES) -> Column:
+def evidence(text: str, mask: str = "rule_mask", rules: Sequence[Rule] = RULES) -> Column:
     """Context of every match; boundary context only if the heuristics gave none.
 
     Meant for rows that already passed the threshold: it runs the matching regexes again.
     """
-    folded = fold_case(text)
-    heuristic = _family_evidence(text, folded, mask, (HEURISTIC, MIXED_SCRIPT), rules)
-    boundary = _family_evidence(text, folded, mask, (BOUNDARY,), rules)
-    return F.coalesce(F.nullif(heuristic, F.lit("")), boundary)
+    body, bits = quote_name(text), quote_name(mask)
+    folded = fold_case_sql(body)
+    heuristic = _family_evidence_sql(body, folded, bits, (HEURISTIC, MIXED_SCRIPT), rules)
+    boundary = _family_evidence_sql(body, folded, bits, (BOUNDARY,), rules)
+    return F.expr(f"coalesce(nullif({heuristic}, ''), {boundary})")

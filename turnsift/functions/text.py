@@ -30,6 +30,23 @@ PATH = (
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 
 
+def literal(text: str) -> str:
+    """SQL string literal that takes backslashes as they are."""
+    if "'" not in text:
+        return f"r'{text}'"
+    if '"' in text:
+        raise ValueError(f"both kinds of quotes in {text!r}; write one as \\x27")
+    return f'r"{text}"'
+
+
+def quote_name(column: str) -> str:
+    return ".".join(f"`{part}`" for part in column.split("."))
+
+
+def strip_sql(expression: str) -> str:
+    return f"regexp_replace({expression}, {literal(_STRIP)}, '')"
+
+
 def strip(text: Column) -> Column:
     """Drop leading and trailing whitespace of any kind (trim() drops spaces only)."""
     return F.regexp_replace(text, _STRIP, "")
@@ -39,15 +56,17 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(f"[^{SPACE_CHARS}]")
 
 
-def fold_case(text: Column) -> Column:
-    """Lower case with the four letters that case-insensitive ASCII matching also accepts.
+def fold_case_sql(text: str) -> str:
+    """Lower case with the letters that case-insensitive ASCII matching also accepts.
 
     One output character per input character, so offsets stay valid in the original.
     """
-    plain = F.replace(text, F.lit("ſ"), F.lit("s"))
-    plain = F.replace(plain, F.lit("ı"), F.lit("i"))
-    plain = F.replace(plain, F.lit("İ"), F.lit("i"))
-    return F.lower(plain)
+    plain = f"replace(replace(replace({text}, 'ſ', 's'), 'ı', 'i'), 'İ', 'i')"
+    return f"lower({plain})"
+
+
+def fold_case(text: str) -> Column:
+    return F.expr(fold_case_sql(quote_name(text)))
 
 
 def page_title(html: Column) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from turnsift.operators.ordered import CHUNK_ROWS, chunk_of, with_previous
 
@@ -91,7 +92,7 @@ def chain_validity(checked: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def imported_event_hash(payload: pd.Series, prev_hash: pd.Series) -> pd.Series:
     """Hash of an imported trace event: prev_hash + sorted-key JSON without event_hash."""
 

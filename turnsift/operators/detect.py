@@ -29,9 +29,8 @@ def with_scan(
 ) -> DataFrame:
     """Add rule_mask, h_points, ib_points and the averaged (or model-weighted) score."""
     scanned = R.with_rule_mask(df, text, rules)
-    mask = F.col("rule_mask")
     scanned = scanned.withColumns(
-        {"h_points": R.heuristic_points(mask, rules), "ib_points": R.boundary_points(mask, rules)}
+        {"h_points": R.heuristic_points(rules=rules), "ib_points": R.boundary_points(rules=rules)}
     )
     if scorer is not None and cfg.use_model:
         scanned = scorer(scanned, text)
@@ -98,8 +97,7 @@ def message_signals(
     flagged = scanned.filter(F.col("score") >= cfg.threshold)
     if approved is not None:
         flagged = drop_false_alarms(flagged, "content", approved, cfg)
-    mask, content = F.col("rule_mask"), F.col("content")
-    ids = R.rule_ids(mask, rules)
+    ids = R.rule_ids(rules=rules)
     return flagged.select(
         "session_id",
         "turn_index",
@@ -109,8 +107,8 @@ def message_signals(
         F.when(F.size(ids) > 0, ids).otherwise(F.array(F.lit("ML only"))).alias(
             "matched_heuristics"
         ),
-        X.first_source(content, F.col("sources")).alias("source"),
-        R.evidence(content, mask, rules).alias("evidence_snippet"),
+        X.first_source(F.col("content"), F.col("sources")).alias("source"),
+        R.evidence("content", rules=rules).alias("evidence_snippet"),
     )
 
 
@@ -123,8 +121,7 @@ def text_check(
 ) -> DataFrame:
     """Averaged score with its components, verdict, rules and up to 300 evidence chars."""
     scanned = with_scan(df, text, cfg, rules, scorer)
-    mask = F.col("rule_mask")
-    hit = F.when(mask != 0, F.left(R.evidence(F.col(text), mask, rules), F.lit(300)))
+    hit = F.when(F.col("rule_mask") != 0, F.left(R.evidence(text, rules=rules), F.lit(300)))
     model = F.round("ml_score", 3) if "ml_score" in scanned.columns else F.lit(None).cast("double")
     return scanned.withColumns(
         {
@@ -133,7 +130,7 @@ def text_check(
             "heuristic_score": F.round(F.col("h_points") / 100.0, 3),
             "ml_score": model,
             "boundary_score": F.round(F.col("ib_points") / 100.0, 3),
-            "matched_patterns": R.rule_ids(mask, rules),
+            "matched_patterns": R.rule_ids(rules=rules),
             "evidence": F.coalesce(hit, F.lit("")),
         }
     )
@@ -144,20 +141,21 @@ def text_scan(
 ) -> DataFrame:
     """Corpus scan: additive score, verdict at 0.25 / 0.75, evidence up to 500 chars."""
     scanned = R.with_rule_mask(df, text, rules)
-    mask = F.col("rule_mask")
     model = None
     if scorer is not None:
         scanned = scorer(scanned, text)
         model = F.col("ml_score")
     scanned = scanned.withColumn(
         "score",
-        scoring.additive(R.heuristic_points(mask, rules), R.boundary_points(mask, rules), model),
+        scoring.additive(
+            R.heuristic_points(rules=rules), R.boundary_points(rules=rules), model
+        ),
     )
-    hit = F.when(mask != 0, R.evidence(F.col(text), mask, rules))
+    hit = F.when(F.col("rule_mask") != 0, R.evidence(text, rules=rules))
     return scanned.withColumns(
         {
             "verdict": scoring.three_way(F.col("score")),
-            "matched_heuristics": R.rule_ids(mask, rules),
+            "matched_heuristics": R.rule_ids(rules=rules),
             "evidence_snippet": F.coalesce(hit, F.lit("")),
         }
     )

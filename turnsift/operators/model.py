@@ -10,6 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from turnsift.operators.detect import Scorer
 
@@ -48,7 +49,7 @@ def scorer(model: PipelineModel) -> Scorer:
 def python_scorer(load: Callable[[], Callable[[Sequence[str]], Sequence[float]]]) -> Scorer:
     """``load`` runs once per Python worker and returns a batch scoring function."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = load()
         for texts in batches:

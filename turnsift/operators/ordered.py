@@ -46,10 +46,10 @@ def with_position(
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        marked.withColumn("_nth", F.row_number().over(inside) - 1)
+        marked.withColumn("_within", F.row_number().over(inside) - 1)
         .join(offsets, [*keys, "_chunk"])
-        .withColumn(out, (F.col("_base") + F.col("_nth")).cast("long"))
-        .drop("_chunk", "_nth", "_base")
+        .withColumn(out, (F.col("_base") + F.col("_within")).cast("long"))
+        .drop("_chunk", "_within", "_base")
     )
 
 

@@ -75,8 +75,7 @@ def window_signals(
         F.array_join("window_texts", TURN_JOIN).alias("block"),
     )
     hits = with_scan(blocks, "block", cfg, rules, scorer).filter(F.col("score") >= cfg.threshold)
-    mask = F.col("rule_mask")
-    ids = R.rule_ids(mask, rules)
+    ids = R.rule_ids(rules=rules)
     head = F.concat(F.lit("[Window "), F.col("window_size").cast("string"), F.lit(" turns] "))
     return hits.select(
         "session_id",
@@ -89,7 +88,7 @@ def window_signals(
             F.array(F.lit("WIN01")),
         ).alias("matched_heuristics"),
         X.first_source(F.col("block"), F.col("window_sources")).alias("source"),
-        F.concat(head, F.left(R.evidence(F.col("block"), mask, rules), F.lit(460))).alias(
+        F.concat(head, F.left(R.evidence("block", rules=rules), F.lit(460))).alias(
             "evidence_snippet"
         ),
     )
@@ -166,9 +165,9 @@ def flat_signals(
     hits = scanned.withColumns({"_score": score, "_mask": mask}).filter(
         F.col("_score") >= cfg.threshold
     )
-    ids = R.rule_ids(F.col("_mask"), rules)
+    ids = R.rule_ids("_mask", rules)
     named = F.when(F.size(ids) > 0, ids)
-    found = R.evidence(F.col("text"), F.col("_mask"), rules)
+    found = R.evidence("text", "_mask", rules)
     head = F.concat(F.lit("[Window "), F.col("window_size").cast("string"), F.lit(" turns] "))
     return hits.select(
         "session_id",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from turnsift.plans import detection
+from turnsift.plans import behavior_reports, detection, fingerprinting, session_tables
 
-_MODULES = (detection,)
+_MODULES = (detection, session_tables, behavior_reports, fingerprinting)
 
 
 def registered() -> dict:

@@ -22,7 +22,7 @@ def signals(spark, sf_dir) -> DataFrame:
 def rule_hits(spark, sf_dir):
     """How often every rule matches an external message, with its label."""
     ext = detect.external_only(overlay.conversations(spark, sf_dir))
-    hits = R.with_rule_mask(ext, "content").select(R.rule_ids(F.col("rule_mask")).alias("rules"))
+    hits = R.with_rule_mask(ext, "content").select(R.rule_ids().alias("rules"))
     counts = evaluate.rule_frequency(hits, "rules")
     labels = R.rule_labels(spark)
     return counts.join(F.broadcast(labels), "rule_id").select("rule_id", "hits", "weight", "label")
@@ -114,12 +114,12 @@ def evidence_snippets(spark, sf_dir):
     hits = R.with_rule_mask(ext, "content").filter(F.col("rule_mask") != 0)
     return hits.select(
         "session_id", "turn_index", joined_ids().alias("rules"),
-        R.evidence(F.col("content"), F.col("rule_mask")).alias("evidence_snippet"),
+        R.evidence("content").alias("evidence_snippet"),
     )
 
 
 def joined_ids():
-    return F.array_join(R.rule_ids(F.col("rule_mask")), ",")
+    return F.array_join(R.rule_ids(), ",")
 
 
 EVIDENCE_SQL = f"""WITH {Q.CONV},
@@ -131,7 +131,7 @@ FROM ruled WHERE rules <> ''"""
 
 def mixed_script(spark, sf_dir):
     docs = overlay.documents(spark, sf_dir)
-    return docs.select("doc_id", R.mixed_script(F.col("text")).alias("mixed")).groupBy("mixed").agg(
+    return docs.select("doc_id", R.mixed_script("text").alias("mixed")).groupBy("mixed").agg(
         F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"),
         F.sum("doc_id").alias("id_sum"),
     )

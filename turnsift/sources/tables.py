@@ -19,6 +19,13 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when an input has fewer splits than cores (one small file);
+    a large input already has more splits and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def session_events(events: DataFrame, session_ids: list[str]) -> DataFrame:
     """Events of the named sessions in turn order; the filter reaches the scan."""
     return events.filter(F.col("session_id").isin(session_ids)).orderBy(
