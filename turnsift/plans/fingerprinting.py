@@ -16,7 +16,7 @@ from turnsift.plans.detection import signals
 
 def vectors_sql(source: str, key: str, text: str, name: str) -> str:
     """CTE ``<name>(key, bucket, w)``: unit gram vectors of a column, non-zero entries."""
-    code = "unicode(substr(t, i + {0}, 1))"
+    code = "CAST(unicode(substr(t, i + {0}, 1)) AS BIGINT)"
     one, two, three = (code.format(k) for k in range(3))
     step, mask = grams.STEP, grams.MASK + 1
     pair = f"({one} * {step} + {two})"
@@ -24,11 +24,11 @@ def vectors_sql(source: str, key: str, text: str, name: str) -> str:
     bucket = f"((({{}} % {mask}) * {grams.SPREAD}) % {mask}) // 16777216"
     return f"""{name}_at AS (SELECT {key}, t, unnest(range(1, length(t))) AS i
   FROM (SELECT {key}, ' ' || lower({text}) || ' ' AS t FROM {source})),
-{name}_n AS (SELECT {key}, bucket, count(*) AS n FROM (
+{name}_n AS (SELECT {key}, bucket, count(*) AS cnt FROM (
     SELECT {key}, {bucket.format(f'CAST({pair} AS BIGINT)')} AS bucket FROM {name}_at
     UNION ALL SELECT {key}, {bucket.format(f'CAST({triple} AS BIGINT)')} FROM {name}_at
     WHERE i + 2 <= length(t)) GROUP BY ALL),
-{name} AS (SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS w FROM {name}_n)"""
+{name} AS (SELECT {key}, bucket, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY {key})) AS w FROM {name}_n)"""
 
 
 def raised(spark, sf_dir) -> DataFrame:
