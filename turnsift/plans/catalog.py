@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from turnsift.plans import behavior_reports, detection, fingerprinting, session_tables
+from turnsift.plans import (
+    behavior_reports,
+    detection,
+    evaluation,
+    fingerprinting,
+    ingest,
+    session_tables,
+)
 
-_MODULES = (detection, session_tables, behavior_reports, fingerprinting)
+_MODULES = (detection, session_tables, behavior_reports, fingerprinting, evaluation, ingest)
 
 
 def registered() -> dict:
