@@ -144,6 +144,20 @@ def flat_signals(
         seen = own.withColumns(
             {"_texts": F.array().cast("array<string>"), "_sources": F.col("sources"), "_size": F.lit(1)}
         )
+    return window_or_own_signals(seen, cfg, rules, scorer)
+
+
+def window_or_own_signals(
+    seen: DataFrame,
+    cfg: ScanConfig = ScanConfig(),
+    rules: Sequence[Rule] = RULES,
+    scorer: Scorer | None = None,
+) -> DataFrame:
+    """A flagged turn's own signal, or that of its window.
+
+    ``seen``: session_id, turn_index, own_text, own_mask, own_score, flagged, sources and
+    the window as _texts, _sources, _size.
+    """
     blocks = seen.withColumn(
         "block",
         F.when(

@@ -9,9 +9,18 @@ from turnsift.plans import (
     fingerprinting,
     ingest,
     session_tables,
+    streams,
 )
 
-_MODULES = (detection, session_tables, behavior_reports, fingerprinting, evaluation, ingest)
+_MODULES = (
+    detection,
+    session_tables,
+    behavior_reports,
+    fingerprinting,
+    evaluation,
+    ingest,
+    streams,
+)
 
 
 def registered() -> dict:

@@ -45,8 +45,11 @@ def _payload(k: Column) -> Column:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plant_conversations(text_table(spark, sf_dir, "conversations"))
+
+
+def plant_conversations(base: DataFrame) -> DataFrame:
     """session_id, turn_index, msg_index, role, content, ts."""
-    base = text_table(spark, sf_dir, "conversations")
     k = F.col("conv_id") % len(PAYLOADS)
     planted = F.when(k == SPLIT, F.col("turn").isin(1, 3)).otherwise(F.col("turn") == 2)
     text = _payload(k)
