@@ -253,12 +253,15 @@ def _family_evidence_sql(text: str, folded: str, mask: str, families, rules) ->
         for i, r in enumerate(rules)
         if r.family in families and r.family != MIXED_SCRIPT
     )
-    # start and size of the match in characters, then the text around it
-    start = f"length(split({folded}, x, 2)[0])"
-    first = f"greatest({start} - {EVIDENCE_REACH}, 0)"
-    last = f"least({start} + length(regexp_substr({folded}, x)) + {EVIDENCE_REACH}, length({text}))"
+    # start and size of every match in characters; the text is folded once for all rules
+    found = (
+        f"transform(array({folded}), f -> transform(array_compact(array({regexes})), x -> "
+        "named_struct('s', length(split(f, x, 2)[0]), 'm', length(regexp_substr(f, x)))))[0]"
+    )
+    first = f"greatest(p.s - {EVIDENCE_REACH}, 0)"
+    last = f"least(p.s + p.m + {EVIDENCE_REACH}, length({text}))"
     around = f"substring({text}, {first} + 1, {last} - {first})"
-    parts = f"transform(array_compact(array({regexes})), x -> {strip_sql(around)})"
+    parts = f"transform({found}, p -> {strip_sql(around)})"
     for i, rule in enumerate(rules):
         if rule.family == MIXED_SCRIPT and rule.family in families:
             head = strip_sql(f"left({text}, 100)")

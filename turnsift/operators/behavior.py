@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnsift.config import ScanConfig
+from turnsift.operators.durable import durable
 from turnsift.operators.ordered import CHUNK_ROWS, chunk_of, with_previous, with_running
 
 # Name parts of tools with side effects.
@@ -125,7 +126,8 @@ def behavior_diffs(
     """Anomaly of every (session, pivot): calls before and after, number of new tools.
 
     No pivot is joined with its calls: a tool is new after a pivot if its first use is not
-    before it, so everything follows from running counts over one row per turn. The action
+    before it, so everything follows from running counts over one row per turn (stored once,
+    read for the totals and for the two levels of the running counts). The action
     lists are the first ``before_calls`` and the other calls of the session in order.
     """
     uses = first_uses(calls).select(
@@ -143,7 +145,7 @@ def behavior_diffs(
         )
 
     marks = pivot_turns.withColumnRenamed("pivot_turn", "turn_index")
-    per_turn = (
+    per_turn = durable(
         counted(calls, calls=one)
         .unionByName(counted(uses, fresh=one, risky=F.col("sensitive")))
         .unionByName(counted(marks, pivot=one))

@@ -50,6 +50,8 @@ def assign_fingerprints(
 ) -> DataFrame:
     """Fingerprint of every signal as if the signals had arrived one by one.
 
+    ``signals`` is read twice; pass a stored table, not a plan that scans texts.
+
     ``signals``: signal_id, ts, session_id, evidence_snippet; (ts, signal_id) is the
     arrival order. A signal joins the most similar fingerprint that exists at that moment
     (cosine >= similarity) or founds a new one. Adds fingerprint_id, matched and
@@ -74,7 +76,7 @@ def assign_fingerprints(
             F.concat(F.lit("0"), F.col("fingerprint_id")).alias("ref"),
             "vector",
         )
-        source = blocks(stored, ["_hits", "ref"], ["ref", "vector"], block_rows)
+        source = blocks(stored, ["_hits", "ref"], ["vector"], block_rows)
         climbed = durable(climb_all(climbed, source, "vector", "steps", cfg.similarity, False))
     open_snippets = climbed.filter(F.size("steps") == 0).select("snippet", "first", "vector")
     lineage = 0
@@ -94,6 +96,7 @@ def assign_fingerprints(
             break
         covered = highest_similarity(open_snippets, leaders, "vector", "_best")
         open_snippets = durable(covered.filter(F.col("_best") < cfg.similarity).drop("_best"))
+    climbed = durable(climbed.select("snippet", "steps"))
     placed = signals.join(
         climbed.select(F.col("snippet").alias("evidence_snippet"), "steps"), "evidence_snippet"
     )

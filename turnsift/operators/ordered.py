@@ -19,7 +19,7 @@ def chunk_of(number: Column, width: int = CHUNK_ROWS) -> Column:
     return F.coalesce(F.floor(number / width).cast("long"), F.lit(-1).cast("long"))
 
 
-def chunk_of_time(ts: Column, seconds: int = 3600) -> Column:
+def chunk_of_time(ts: Column, seconds: int = 600) -> Column:
     """Chunk of an event time: a span of the clock."""
     return F.coalesce(
         F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds).cast("long"),

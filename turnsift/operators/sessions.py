@@ -117,17 +117,43 @@ def running_max(signals: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     )
 
 
+def with_rejections(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Add ``rejected`` and ``copies``: an event_id that is stored already, or that is not
+    the first of its id in the batch by (timestamp, session_id, turn_index), is rejected.
+
+    Equal rows are counted before they are shuffled, so an event that was sent a million
+    times is one row here with its number of copies.
+    """
+    columns = incoming.columns
+    order = F.struct(
+        "timestamp", "session_id", "turn_index",
+        F.sha2(F.to_json(F.struct(*columns)), 256).alias("content"),
+    )
+    versions = incoming.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    versions = versions.withColumn("_order", order)
+    first = versions.groupBy("event_id").agg(F.min("_order").alias("_first"))
+    known = stored.select("event_id").distinct().withColumn("_known", F.lit(True))
+    marked = versions.join(first, "event_id").join(known, "event_id", "left")
+
+    def outcome(rejected: bool, copies: Column) -> Column:
+        return F.struct(F.lit(rejected).alias("rejected"), copies.alias("copies"))
+
+    copies = F.col("_copies")
+    one = F.lit(1).cast("long")
+    kept = F.array_compact(
+        F.array(outcome(False, one), F.when(copies > 1, outcome(True, copies - 1)))
+    )
+    is_new = F.col("_known").isNull() & (F.col("_order") == F.col("_first"))
+    outcomes = F.when(is_new, kept).otherwise(F.array(outcome(True, copies)))
+    return marked.select(*columns, F.inline(outcomes))
+
+
 def split_new_events(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): an event_id already stored, or repeated in the batch after its
-    first row by timestamp, is rejected."""
-    order = F.struct("timestamp", "session_id", "turn_index")
-    first = incoming.groupBy("event_id").agg(F.min(order).alias("_first"))
-    marked = incoming.join(first, "event_id").withColumn("_repeat", order != F.col("_first"))
-    known = stored.select("event_id").distinct()
-    accepted = marked.filter(~F.col("_repeat")).join(known, "event_id", "left_anti")
-    again = marked.filter(~F.col("_repeat")).join(known, "event_id", "left_semi")
-    rejected = marked.filter("_repeat").unionByName(again)
-    return accepted.drop("_first", "_repeat"), rejected.drop("_first", "_repeat")
+    """(accepted, rejected) rows of a batch; rejected rows say how many copies."""
+    marked = with_rejections(stored, incoming)
+    return marked.filter(~F.col("rejected")).drop("rejected", "copies"), marked.filter(
+        "rejected"
+    ).drop("rejected")
 
 
 def purge_sessions(table: DataFrame, session_ids: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ broadcast never grows with the data. Any number of blocks gives the exact result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from turnsift.operators.durable import durable
 
@@ -23,24 +24,12 @@ def blocks(
 ) -> Iterator[list]:
     """Rows of ``references`` in order, at most ``size`` of them at a time.
 
-    ``order`` must be a total order of non-null columns; the next block starts after the
-    last row of the one before.
+    The table is sorted once; the driver pulls one sorted partition after the other and
+    holds one block.
     """
-    key = F.struct(*order)
-    rest = references.select(key.alias("_key"), *columns)
-    last = None
-    while True:
-        todo = rest if last is None else rest.filter(F.col("_key") > last)
-        rows = todo.orderBy("_key").limit(size).collect()
-        if rows:
-            yield rows
-        if len(rows) < size:
-            return
-        last = _struct_literal(rows[-1]["_key"])
-
-
-def _struct_literal(row) -> Column:
-    return F.struct(*[F.lit(value).alias(name) for name, value in row.asDict().items()])
+    rows = references.select(*columns, *order).orderBy(*order).toLocalIterator()
+    while block := list(islice(rows, size)):
+        yield block
 
 
 def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +168,7 @@ def nearest(
     ranked = references.select(
         (-F.col("hit_count")).alias("_hits"), F.col("fingerprint_id").alias("ref"), "vector"
     )
-    source = blocks(ranked, ["_hits", "ref"], ["ref", "vector"], size)
+    source = blocks(ranked, ["_hits", "ref"], ["vector"], size)
     start = df.withColumn("_steps", F.array().cast("array<struct<ref:string,cos:double>>"))
     matched = climb_all(start, source, vector, "_steps", at_least, ordered=False)
     top = F.get("_steps", F.lit(0))

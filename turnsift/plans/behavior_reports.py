@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from turnsift.operators import behavior, pairing, reports
+from turnsift.operators import behavior, fingerprints as fp, pairing, reports
+from turnsift.operators.durable import durable
 from turnsift.plans import fingerprinting, overlay, sql as Q
 from turnsift.plans.detection import signals
 from turnsift.plans.session_tables import CHAIN_CTE, CHAIN_VERIFY_CTE, chain_verify
@@ -89,8 +90,7 @@ SELECT session_id, first, second, n, rank FROM r WHERE rank <= 5"""
 
 def pivot_diffs(spark, sf_dir):
     """Every retry turn is a pivot of its session."""
-    turns = tool_turns(spark, sf_dir)
-    calls = behavior.tool_calls(turns)
+    calls = behavior.tool_calls(durable(tool_turns(spark, sf_dir)))
     pivots = calls.filter("name = 'run_retry'").select(
         "session_id", F.col("turn_index").alias("pivot_turn")
     )
@@ -128,11 +128,11 @@ FROM tools GROUP BY session_id, name HAVING min(turn_index) >= 5"""
 def session_reports(spark, sf_dir):
     """Chain, signals, tool diffs, fingerprints, verdict and summary of every session. The
     tools of session n are those of user n in the tool log."""
-    raised = signals(spark, sf_dir)
+    raised = durable(signals(spark, sf_dir))
     sessions = chain_verify(spark, sf_dir)
-    calls = behavior.tool_calls(tool_turns(spark, sf_dir))
-    diffs = behavior.behavior_diffs(behavior.pivots(raised), calls)
-    links = fingerprinting.session_fingerprints(spark, sf_dir)
+    calls = behavior.tool_calls(durable(tool_turns(spark, sf_dir)))
+    diffs = durable(behavior.behavior_diffs(behavior.pivots(raised), calls))
+    links = fp.session_links(fp.assign_fingerprints(fingerprinting.arrived(raised)))
     return reports.session_reports(sessions, raised, diffs, calls, links)
 
 

@@ -33,7 +33,10 @@ def vectors_sql(source: str, key: str, text: str, name: str) -> str:
 
 def raised(spark, sf_dir) -> DataFrame:
     """Signals of the planted conversations with an id and an arrival time."""
-    found = signals(spark, sf_dir)
+    return arrived(durable(signals(spark, sf_dir)))
+
+
+def arrived(found: DataFrame) -> DataFrame:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     seconds = F.col("session_id").cast("long") * 3600 + F.col("turn_index") * 60
     return found.select(
@@ -130,6 +133,21 @@ LINKS_SQL = f"""WITH RECURSIVE {ASSIGNED}
 SELECT fingerprint_id, session_id, min(ts) AS first_seen FROM assigned GROUP BY ALL"""
 
 
+def campaign_prefixes(spark, sf_dir):
+    """Fingerprint ids found from their first eight characters."""
+    prints = fp.new_fingerprints(assigned(spark, sf_dir))
+    labels = prints.select(
+        F.left("fingerprint_id", F.lit(8)).alias("prefix"),
+        F.concat(F.lit("campaign of "), F.col("hit_count").cast("string")).alias("name"),
+    )
+    return fp.resolve_prefixes(prints, labels)
+
+
+PREFIX_SQL = f"""WITH RECURSIVE {ASSIGNED},
+{FINGERPRINTS}
+SELECT left(fingerprint_id, 8) AS prefix, 'campaign of ' || hit_count AS name, fingerprint_id FROM prints"""
+
+
 def _labelled(spark, sf_dir):
     """Fingerprints named after the first word of their snippet when they have many hits."""
     found = durable(assigned(spark, sf_dir))
@@ -351,6 +369,7 @@ QUERIES = {
     "fingerprint_list": (fingerprint_list, LIST_SQL),
     "session_fingerprints": (session_fingerprints, LINKS_SQL),
     "campaigns": (campaigns, CAMPAIGNS_SQL),
+    "campaign_prefixes": (campaign_prefixes, PREFIX_SQL),
     "session_matches": (session_matches, MATCHES_SQL),
     "false_alarm_marks": (false_alarm_marks, MARKS_SQL),
     "nearest_fingerprint": (nearest_fingerprint, NEAREST_SQL),

@@ -61,8 +61,8 @@ SELECT session_id, turn_index, role,
 
 def _calls(spark, sf_dir) -> DataFrame:
     """Tool log with its JSON arguments; those of retries are cut off and no longer JSON."""
-    props = overlay.table(spark, sf_dir, "events").select("event_id", "props")
-    log = overlay.tool_log(spark, sf_dir).join(props, "event_id")
+    props = overlay.text_table(spark, sf_dir, "events").select("event_id", "props")
+    log = props.join(overlay.tool_log(spark, sf_dir), "event_id")
     broken = F.left("props", F.length("props") - 1)
     return log.select(
         "event_id", "session_id", "name",

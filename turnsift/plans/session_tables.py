@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from turnsift.functions import text as X
 from turnsift.operators import chain, pairing, sessions
+from turnsift.operators.durable import durable, ensure_checkpoint_dir
 from turnsift.plans import overlay, sql as Q
 from turnsift.plans.detection import signals
 from turnsift.sources import tables
@@ -82,7 +85,7 @@ FROM ev LEFT JOIN best USING (session_id, turn_index)"""
 
 
 def running_max_score(spark, sf_dir):
-    return sessions.running_max(signals(spark, sf_dir))
+    return sessions.running_max(durable(signals(spark, sf_dir)))
 
 
 RUNNING_SQL = f"""WITH {Q.ALL_SIGNALS},
@@ -105,21 +108,21 @@ SELECT event_id, session_id, turn_index FROM ev WHERE session_id NOT IN (SELECT
 
 
 def append_events(spark, sf_dir):
-    """The tool log arrives while its error rows are stored already: accepted and rejected."""
+    """The tool log arrives twice while its error rows are stored already."""
     incoming = overlay.tool_log(spark, sf_dir).select(
         "event_id", "session_id", F.lit(0).alias("turn_index"), F.col("ts").alias("timestamp"), "name"
     )
     stored = incoming.filter("name = 'run_retry'")
-    accepted, rejected = sessions.split_new_events(stored, incoming)
-    both = accepted.withColumn("outcome", F.lit("accepted")).unionByName(
-        rejected.withColumn("outcome", F.lit("rejected"))
-    )
-    return both.select("event_id", "session_id", "name", "outcome")
+    marked = sessions.with_rejections(stored, incoming.union(incoming))
+    outcome = F.when(F.col("rejected"), "rejected").otherwise("accepted")
+    return marked.select("event_id", "session_id", "name", outcome.alias("outcome"), "copies")
 
 
 APPEND_SQL = f"""WITH {Q.TOOL_LOG}
-SELECT event_id, session_id, name,
-  CASE WHEN name = 'run_retry' THEN 'rejected' ELSE 'accepted' END AS outcome FROM tools"""
+SELECT event_id, session_id, name, 'accepted' AS outcome, 1 AS copies FROM tools
+WHERE name <> 'run_retry'
+UNION ALL SELECT event_id, session_id, name, 'rejected',
+  CASE WHEN name = 'run_retry' THEN 2 ELSE 1 END FROM tools"""
 
 
 def load_session_events(spark, sf_dir):
@@ -197,6 +200,17 @@ SELECT session_id, CASE WHEN before = 'start' THEN before_ts END AS started_at,
   'e' || event_id AS response, coalesce(before = 'start', false) AS matched
 FROM p WHERE kind = 'end'"""
 
+def exported_events(spark, sf_dir):
+    """Events written as JSON lines and read back with a declared schema."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/export-{uuid.uuid4().hex}"
+    trace = events(spark, sf_dir)
+    tables.export_json(trace, folder)
+    return spark.read.schema(trace.schema).json(folder)
+
+
+EXPORT_SQL = f"WITH {EVENTS} SELECT * FROM ev"
+
 _CONTENT = ["session_id", "turn_index", "role", "content"]
 
 
@@ -235,7 +249,7 @@ FROM ch"""
 
 def chain_checks(spark, sf_dir) -> DataFrame:
     """The recorded chain against the planted content: planted sessions were tampered with."""
-    stored = chain_build(spark, sf_dir)
+    stored = durable(chain_build(spark, sf_dir))
     now = overlay.conversations(spark, sf_dir).select(
         "session_id", "turn_index", "role", "content"
     ).withColumn("digest", chain.content_digest(_CONTENT))
@@ -261,7 +275,7 @@ SELECT session_id, chain_valid, total_turns FROM chains"""
 
 def chain_links(spark, sf_dir):
     """Link check on a chain with its odd-length messages' events removed."""
-    stored = chain_build(spark, sf_dir)
+    stored = durable(chain_build(spark, sf_dir))
     lengths = _base_events(spark, sf_dir).select("event_id", F.length("content").alias("n"))
     kept = stored.join(lengths, "event_id").filter("n % 2 = 0")
     return chain.with_link_check(kept).select("session_id", "turn_index", "link_ok")
@@ -302,6 +316,7 @@ QUERIES = {
     "turn_numbering": (turn_numbering, TURN_NUMBERING_SQL),
     "start_end_pairs": (start_end_pairs, PAIRS_SQL),
     "session_pairs": (session_pairs, SESSION_PAIRS_SQL),
+    "exported_events": (exported_events, EXPORT_SQL),
     "chain_build": (chain_build, CHAIN_BUILD_SQL),
     "chain_verify": (chain_verify, CHAIN_VERIFY_SQL),
     "chain_links": (chain_links, CHAIN_LINKS_SQL),

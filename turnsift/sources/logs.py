@@ -46,20 +46,22 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _is_string(value: Column) -> Column:
-    return F.coalesce(_kind(value) == "STRING", F.lit(False))
-
-
 def _is_object(value: Column) -> Column:
-    return F.coalesce(_kind(value).startswith("OBJECT"), F.lit(False))
+    return _at(value, "$", "map<string,variant>").isNotNull()
 
 
 def _is_array(value: Column) -> Column:
-    return F.coalesce(_kind(value).startswith("ARRAY"), F.lit(False))
+    return _items(value).isNotNull()
+
+
+def _is_string(value: Column) -> Column:
+    # the type name of a nested value is costly, so only plain values are asked for it
+    plain = ~_is_object(value) & ~_is_array(value)
+    return F.when(plain, F.coalesce(_kind(value) == "STRING", F.lit(False))).otherwise(False)
 
 
 def _is_absent(value: Column) -> Column:
-    return value.isNull() | F.coalesce(_kind(value) == "VOID", F.lit(True))
+    return value.isNull() | F.is_variant_null(value)
 
 
 def _json_or_text(value: Column) -> Column:
