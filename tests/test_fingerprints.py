@@ -155,15 +155,29 @@ def test_dedupe(spark, store):
     assert got == [("aa02", "s1"), ("aa02", "s2"), ("bb01", "s3"), ("bb02", "s1")]
 
 
-@pytest.mark.parametrize("block", [5, 50, 1000])
-def test_links_connect_the_same_rows_as_all_pairs(spark, block):
-    rng = np.random.default_rng(1)
+def spread_vectors(rng):
     vectors = rng.normal(size=(150, 8))
     vectors[60:110] = vectors[60] + rng.normal(scale=0.05, size=(50, 8))
+    return vectors
+
+
+def crowded_vectors(rng):
+    """Two thirds near copies or copies of one row, the rest in clusters far apart."""
+    vectors = np.repeat(np.eye(8)[rng.integers(0, 8, 150)], 1, axis=0) + rng.normal(scale=0.2, size=(150, 8))
+    vectors[:60] = vectors[0]
+    vectors[60:100] = vectors[0] + rng.normal(scale=0.02, size=(40, 8))
+    return vectors
+
+
+@pytest.mark.parametrize("make", [spread_vectors, crowded_vectors])
+@pytest.mark.parametrize("block", [5, 50, 1000])
+@pytest.mark.parametrize("at_least", [0.8, 0.95])
+def test_links_connect_the_same_rows_as_all_pairs(spark, make, block, at_least):
+    vectors = make(np.random.default_rng(1))
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     ids = [f"v{i:03d}" for i in range(150)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "id string, vector array<double>")
-    edges = [(r["src"], r["dst"]) for r in similar_links(df, 0.8, block_rows=block).collect()]
+    edges = [(r["src"], r["dst"]) for r in similar_links(df, at_least, block_rows=block).collect()]
 
     def groups(pairs):
         label = {i: i for i in ids}
@@ -177,11 +191,19 @@ def test_links_connect_the_same_rows_as_all_pairs(spark, block):
                     changed = True
         return label
 
-    near = np.argwhere(np.triu(vectors @ vectors.T >= 0.8, 1))
+    near = np.argwhere(np.triu(vectors @ vectors.T >= at_least, 1))
     assert groups(edges) == groups([(ids[a], ids[b]) for a, b in near])
+    assert 1 < len(set(groups(edges).values())) < 150
     assert len(edges) < len(near)
 
 
+def test_links_of_nothing_and_of_copies(spark):
+    df = spark.createDataFrame([(f"c{i}", [1.0, 0.0]) for i in range(9)], "id string, vector array<double>")
+    edges = similar_links(df, 0.9, block_rows=2).collect()
+    assert {(r["src"], r["dst"]) for r in edges} == {("c0", f"c{i}") for i in range(1, 9)}
+    assert similar_links(df.limit(0), 0.9).count() == 0
+
+
 def test_nearest(spark, store):
     table, _ = store
     signals = spark.createDataFrame([("1", A), ("2", "nothing of the kind, 42"), ("3", OTHER)], "signal_id string, evidence_snippet string")

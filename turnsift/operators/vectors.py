@@ -17,6 +17,7 @@ from turnsift.operators.durable import durable
 
 BLOCK_ROWS = 2_048
 BLOCKS_PER_LINEAGE = 16
+MAX_PIVOTS = 1_024
 
 
 def blocks(
@@ -108,36 +109,137 @@ def climb_all(
 
 
 def similar_links(
-    vectors: DataFrame, at_least: float, rows: int | None = None, block_rows: int = BLOCK_ROWS
+    vectors: DataFrame,
+    at_least: float,
+    block_rows: int = BLOCK_ROWS,
+    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """Edges (src, dst) whose connected components are those of "cosine >= at_least".
 
-    Rows fall into hashed blocks of about ``block_rows``; every pair of blocks is one
-    bounded task that compares its rows as matrices and returns only a spanning forest,
-    never all the pairs. ``vectors`` has unique string ``id`` and ``vector``.
+    ``vectors`` has unique string ``id`` and unit ``vector``. Equal vectors are linked to one
+    of them and compared once. Every row belongs to its nearest pivot; rows within half the
+    threshold angle of their pivot are all similar to each other, so a crowd of near copies is
+    linked as a star without any comparison. The rest meets block by block, but only where
+    the triangle inequality leaves a chance, and a pair of blocks is one bounded task that
+    returns a spanning forest, never all its pairs.
     """
-    total = vectors.count() if rows is None else rows
-    count = max(1, -(-total // block_rows))
-    home = F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(count - 1))
-    pairs = F.transform(
-        others,
-        lambda k: F.struct(
-            F.least(F.col("_block"), k).alias("i"), F.greatest(F.col("_block"), k).alias("j")
-        ),
+    keyed = durable(
+        vectors.select("id", "vector", F.sha2(F.to_json(F.struct("vector")), 256).alias("key"))
     )
-    spread = (
-        vectors.select("id", "vector", home.alias("_block"))
-        .withColumn("_pair", F.explode(pairs))
-        .select(F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"), "_block", "id", "vector")
+    unique = durable(
+        keyed.groupBy("key").agg(F.min_by("vector", "id").alias("vector"), F.min("id").alias("id"))
     )
+    copies = (
+        keyed.select("key", F.col("id").alias("dst"))
+        .join(unique.select("key", F.col("id").alias("src")), "key")
+        .filter(F.col("src") != F.col("dst"))
+        .select("src", "dst")
+    )
+    wanted = min(max_pivots, -(-unique.count() // block_rows))
+    if wanted == 0:
+        return copies
+    pivots = unique.orderBy("key").limit(wanted).select("vector").collect()
+    grid = _Grid(_unit(np.array([row["vector"] for row in pivots], float)), float(at_least))
+    placed = durable(_placed(unique, grid))
+    zones = placed.groupBy("zone").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("angle").alias("radius"), F.min("id").alias("hub")
+    )
+    known = zones.collect()
+    grid.measure(known, block_rows)
+    hubs = F.broadcast(zones.sparkSession.createDataFrame(known, zones.schema).select("zone", "hub"))
+    stars = (
+        placed.filter(F.col("zone") % 2 == 0)
+        .join(hubs, "zone")
+        .filter(F.col("id") != F.col("hub"))
+        .select(F.col("hub").alias("src"), F.col("id").alias("dst"))
+    )
+    met = (
+        _with_meetings(placed, grid)
+        .select("id", "vector", "_meet.block", F.explode("_meet.pairs").alias("_pair"))
+        .select("id", "vector", "block", "_pair.i", "_pair.j")
+    )
+    found = met.groupBy("i", "j").applyInPandas(_forest(at_least), "src string, dst string")
+    return copies.unionByName(stars).unionByName(found)
+
+
+_SLACK = 1e-6
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms == 0, 1.0, norms)
+
+
+class _Grid:
+    """Pivots and the zones around them: zone 2c is the core of pivot c, 2c + 1 its rim."""
+
+    def __init__(self, pivots: np.ndarray, at_least: float):
+        self.pivots = pivots
+        self.reach = float(np.arccos(np.clip(at_least, -1.0, 1.0)))
+
+    def angles(self, vectors: np.ndarray) -> np.ndarray:
+        return np.arccos((_unit(vectors) @ self.pivots.T).clip(-1.0, 1.0))
+
+    def measure(self, zones: list, block_rows: int) -> None:
+        count = 2 * len(self.pivots)
+        self.radius = np.full(count, -np.inf)
+        self.blocks = np.zeros(count, int)
+        for zone in zones:
+            self.radius[zone["zone"]] = zone["radius"]
+            self.blocks[zone["zone"]] = -(-zone["rows"] // block_rows)
+        self.start = np.concatenate(([0], np.cumsum(self.blocks)[:-1]))
+
+
+def _placed(unique: DataFrame, grid: _Grid) -> DataFrame:
+    shared = unique.sparkSession.sparkContext.broadcast(grid)
+
+    @F.pandas_udf("struct<zone:int,angle:double>")
+    def place(vectors: pd.Series) -> pd.DataFrame:
+        angles = shared.value.angles(np.stack(vectors.to_numpy()).astype(float))
+        cell = angles.argmin(axis=1)
+        angle = angles[np.arange(len(cell)), cell]
+        rim = angle > shared.value.reach / 2 - _SLACK
+        return pd.DataFrame({"zone": (2 * cell + rim).astype("int32"), "angle": angle})
+
+    return unique.withColumn("_spot", place("vector")).select("id", "vector", "_spot.*")
+
+
+def _with_meetings(placed: DataFrame, grid: _Grid) -> DataFrame:
+    """Add the block of a row and the block pairs it has to appear in."""
+    shared = placed.sparkSession.sparkContext.broadcast(grid)
+
+    @F.pandas_udf("struct<block:int,pairs:array<struct<i:int,j:int>>>")
+    def meet(vectors: pd.Series, zones: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        g = shared.value
+        angles = np.repeat(g.angles(np.stack(vectors.to_numpy()).astype(float)), 2, axis=1)
+        near = angles <= g.reach + g.radius[None, :] + _SLACK
+        blocks, pairs = [], []
+        for row, (zone, number) in enumerate(zip(zones, hashes)):
+            mine = int(g.start[zone] + number % g.blocks[zone])
+            others = near[row].copy()
+            if zone % 2 == 0:
+                others[zone] = False
+            blocks.append(mine)
+            pairs.append(
+                [
+                    {"i": min(mine, other), "j": max(mine, other)}
+                    for z in np.flatnonzero(others)
+                    for other in range(int(g.start[z]), int(g.start[z] + g.blocks[z]))
+                ]
+            )
+        return pd.DataFrame({"block": np.array(blocks, "int32"), "pairs": pairs})
+
+    number = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
+    return placed.withColumn("_meet", meet("vector", "zone", number))
+
 
+def _forest(at_least: float):
     def forest(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
         matrix = np.stack(group["vector"].to_numpy()).astype(float)
         near = matrix @ matrix.T >= at_least
         if group["i"].iloc[0] != group["j"].iloc[0]:
-            block = group["_block"].to_numpy()
+            block = group["block"].to_numpy()
             near &= block[:, None] != block[None, :]
         ids = group["id"].to_numpy()
         unseen = np.ones(len(ids), bool)
@@ -155,7 +257,7 @@ def similar_links(
                 dst += list(ids[frontier])
         return pd.DataFrame({"src": src, "dst": dst}, dtype=object)
 
-    return spread.groupBy("i", "j").applyInPandas(forest, "src string, dst string")
+    return forest
 
 
 def nearest(
