@@ -85,6 +85,15 @@ def external_sources(texts: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(texts, from_one)))
 
 
+def event_sources(messages: Column) -> Column:
+    """Sources of an event: those of its user and tool messages, message by message."""
+    heard = F.filter(
+        messages,
+        lambda m: m["role"].isin("user", "tool") & (F.coalesce(m["content"], F.lit("")) != ""),
+    )
+    return external_sources(F.transform(heard, lambda m: m["content"]))
+
+
 def is_external(role: Column, content: Column) -> Column:
     """Tool output always; user text only when it carries a URL or a path."""
     return (role == "tool") | (

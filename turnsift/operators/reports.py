@@ -51,7 +51,7 @@ def _money(score: Column) -> Column:
 
 
 def summary_text() -> Column:
-    """Plain-language summary of a report row."""
+    """Plain-language summary of a report row; the sentences are fixed values."""
     short = F.concat(F.left("session_id", F.lit(12)), F.lit("…"))
     turns = F.col("total_turns").cast("string")
     chain = F.when(F.col("chain_valid"), "Hash chain verified.").otherwise(

@@ -196,26 +196,22 @@ SELECT session_id, turn_index, 0 AS msg_index, 'message' AS stage, score, rules,
 
 def context_events(spark, sf_dir) -> DataFrame:
     """Events that carry the message before as context: (previous, current)."""
-    conv = detect.with_own_sources(overlay.conversations(spark, sf_dir))
+    conv = overlay.conversations(spark, sf_dir)
     body = conv.select(
-        "session_id", "turn_index",
-        F.struct("role", "content").alias("message"), "sources",
+        "session_id", "turn_index", F.struct("role", "content").alias("message")
     )
     before = body.select(
         "session_id",
         (F.col("turn_index") + 1).alias("turn_index"),
         F.col("message").alias("_before"),
-        F.col("sources").alias("_before_sources"),
     )
     both = body.join(before, ["session_id", "turn_index"], "left")
-    return both.select(
+    events = both.select(
         "session_id",
         "turn_index",
         F.array_compact(F.array("_before", "message")).alias("messages_in"),
-        F.array_distinct(
-            F.concat(F.coalesce("_before_sources", F.array().cast("array<string>")), "sources")
-        ).alias("external_sources"),
     )
+    return events.withColumn("external_sources", X.event_sources(F.col("messages_in")))
 
 
 def event_signals(spark, sf_dir):

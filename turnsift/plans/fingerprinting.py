@@ -332,8 +332,8 @@ comp AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
 SELECT component, count(*) AS members FROM comp GROUP BY component"""
 
 
-def drift_scores(spark, sf_dir):
-    """Similarity of every user turn and the turn after it, and the drift score."""
+def question_answers(spark, sf_dir) -> DataFrame:
+    """Every user turn with the turn after it."""
     conv = overlay.conversations(spark, sf_dir).select("session_id", "turn_index", "role", "content")
     asked = conv.filter("role = 'user'").select(
         "session_id", F.col("turn_index"), F.col("content").alias("question")
@@ -341,7 +341,12 @@ def drift_scores(spark, sf_dir):
     answers = conv.filter("role <> 'user'").select(
         "session_id", (F.col("turn_index") - 1).alias("turn_index"), F.col("content").alias("response")
     )
-    pairs = asked.join(answers, ["session_id", "turn_index"])
+    return asked.join(answers, ["session_id", "turn_index"])
+
+
+def drift_scores(spark, sf_dir):
+    """Similarity of every question and answer, and the drift score."""
+    pairs = question_answers(spark, sf_dir)
     scored = drift.with_drift(pairs, "question", "response", ScanConfig(drift_floor=0.6))
     return scored.select(
         "session_id", "turn_index", F.round("similarity", 6).alias("similarity"),
@@ -363,6 +368,24 @@ SELECT session_id, turn_index, round(coalesce(cos, 0), 6) AS similarity,
 FROM pairs LEFT JOIN s USING (k)"""
 
 
+def drift_signals(spark, sf_dir):
+    """Signals of answers that stray from their question, with a high floor."""
+    cfg = ScanConfig(drift_floor=0.8, threshold=0.05)
+    found = drift.drift_signals(question_answers(spark, sf_dir), cfg)
+    return found.select(
+        "session_id", "turn_index", "stage", F.round("score", 3).alias("score"),
+        F.array_join("matched_heuristics", ",").alias("rules"), "source",
+    )
+
+
+DRIFT_SIGNALS_SQL = f"""{DRIFT_SQL[:DRIFT_SQL.rindex('SELECT session_id')]}
+SELECT session_id, turn_index, 'drift' AS stage,
+  round(round(0.5 * (1 - coalesce(cos, 0) / 0.8), 4), 3) AS score, 'SEM01' AS rules,
+  CAST(NULL AS VARCHAR) AS source
+FROM pairs LEFT JOIN s USING (k)
+WHERE coalesce(cos, 0) < 0.8 AND round(0.5 * (1 - coalesce(cos, 0) / 0.8), 4) >= 0.05"""
+
+
 QUERIES = {
     "gram_embedding": (gram_embedding, GRAM_SQL),
     "campaign_assignment": (campaign_assignment, ASSIGNMENT_SQL),
@@ -377,4 +400,5 @@ QUERIES = {
     "fingerprint_dedupe": (fingerprint_dedupe, DEDUPE_SQL),
     "embedding_components": (embedding_components, EMBEDDING_SQL),
     "drift_scores": (drift_scores, DRIFT_SQL),
+    "drift_signals": (drift_signals, DRIFT_SIGNALS_SQL),
 }
