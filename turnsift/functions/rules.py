@@ -69,7 +69,7 @@ RULES: tuple[Rule, ...] = (
     Rule("H04", HEURISTIC, 15,
          r"(\[\[.{0,200}?\]\]|<\|[a-z_]{1,30}\|>|\[inst\]|</?(s|inst|sys)>)",
          "Encoded / token-based injection markers",
-         (("[[", "<|", "[inst]", "inst>", "sys>", "<s>", "</s>"),)),
+         (("[", "<"), ("[[", "<|", "[inst]", "inst>", "sys>", "<s>", "</s>"))),
     Rule("H06", HEURISTIC, 20,
          r"(?m)^(send|forward|email|post|upload|exfiltrate|leak|steal|"
          r"ignore|disregard|pretend|act\s+as|respond\s+as|output|print|"
@@ -126,8 +126,8 @@ RULES: tuple[Rule, ...] = (
          r"(output|print|return|reply|respond|answer)\s+"
          r"(only|just|exactly|the\s+word|the\s+phrase)\b",
          "Output constraint - 'output only / reply with exactly'",
-         (("output", "print", "return", "reply", "respond", "answer"),
-          ("only", "just", "exactly", "word", "phrase"))),
+         (("only", "just", "exactly", "word", "phrase"),
+          ("output", "print", "return", "reply", "respond", "answer"))),
     Rule("IB09", BOUNDARY, 25,
          r"new\s+(directive|instruction|command|order|rule)\b",
          "New directive injection - explicit 'new instruction / command / rule'",
