@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from turnsift.llm import byte_bpe
+from turnsift.llm import byte_bpe, mixing
 
 
 def registered() -> dict:
     return {
         "op5_byte_bpe": (byte_bpe.op5_byte_bpe, None),
+        "op9_mixing": (mixing.op9_mixing, None),
     }
