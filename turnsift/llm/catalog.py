@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from turnsift.llm import byte_bpe, mixing
+from turnsift.llm import byte_bpe, exact_dedup, mixing
 
 
 def registered() -> dict:
     return {
         "op5_byte_bpe": (byte_bpe.op5_byte_bpe, None),
+        "op6_exact_dedup": (exact_dedup.op6_exact_dedup, exact_dedup.ORACLE),
         "op9_mixing": (mixing.op9_mixing, None),
     }
