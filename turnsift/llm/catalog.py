@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from turnsift.llm import byte_bpe, exact_dedup, mixing
+from turnsift.llm import byte_bpe, exact_dedup, mixing, ngram_join
 
 
 def registered() -> dict:
     return {
         "op5_byte_bpe": (byte_bpe.op5_byte_bpe, None),
         "op6_exact_dedup": (exact_dedup.op6_exact_dedup, exact_dedup.ORACLE),
+        "op7_ngram_join": (ngram_join.op7_ngram_join, None),
         "op9_mixing": (mixing.op9_mixing, None),
     }

@@ -114,14 +114,11 @@ def shingles(
     row_of = np.repeat(np.arange(len(counts)), counts)
     whole = row_of[:total] == row_of[width - 1 :] if total else np.zeros(0, bool)
     value, owner = value[whole], row_of[:total][whole]
-    short = np.flatnonzero((counts > 0) & (counts < width))
-    if len(short):
-        extra = np.zeros(len(short), np.uint64)
-        for k, row in enumerate(short):
-            own = words[rows[row] : rows[row + 1]]
-            for word in own:
-                extra[k] = extra[k] * _SHINGLE + word
-            extra[k] += np.uint64(len(own)) * _LENGTH
+    for few in range(1, width):
+        short = np.flatnonzero(counts == few)
+        extra = np.full(len(short), few, np.uint64) * _LENGTH
+        for j in range(few):
+            extra = extra * _SHINGLE + words[rows[short] + j]
         value = np.concatenate((value, mix(extra)))
         owner = np.concatenate((owner, short))
     order = np.lexsort((value, owner))
