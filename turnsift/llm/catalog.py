@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnsift.llm import byte_bpe, exact_dedup, mixing, ngram_join
+from turnsift.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
 
 
 def registered() -> dict:
@@ -10,5 +10,6 @@ def registered() -> dict:
         "op5_byte_bpe": (byte_bpe.op5_byte_bpe, None),
         "op6_exact_dedup": (exact_dedup.op6_exact_dedup, exact_dedup.ORACLE),
         "op7_ngram_join": (ngram_join.op7_ngram_join, None),
+        "op8_language_id": (language_id.op8_language_id, None),
         "op9_mixing": (mixing.op9_mixing, None),
     }
