@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from turnsift.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join, secret_scan
+from turnsift.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, secret_scan
 
 
 def registered() -> dict:
     return {
+        "op3_line_dedup": (line_dedup.op3_line_dedup, line_dedup.ORACLE),
         "op4_secret_scan": (secret_scan.op4_secret_scan, None),
         "op5_byte_bpe": (byte_bpe.op5_byte_bpe, None),
         "op6_exact_dedup": (exact_dedup.op6_exact_dedup, exact_dedup.ORACLE),
