@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnsift.llm import byte_bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, secret_scan
+from turnsift.llm import byte_bpe, exact_dedup, imatch, language_id, line_dedup, mixing, ngram_join, secret_scan
 
 
 def registered() -> dict:
@@ -14,4 +14,5 @@ def registered() -> dict:
         "op7_ngram_join": (ngram_join.op7_ngram_join, None),
         "op8_language_id": (language_id.op8_language_id, None),
         "op9_mixing": (mixing.op9_mixing, None),
+        "op10_imatch": (imatch.op10_imatch, None),
     }
