@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from turnsift.llm import byte_bpe, exact_dedup, imatch, language_id, line_dedup, mixing, ngram_join, secret_scan, url_filter
+from turnsift.llm import byte_bpe, exact_dedup, imatch, importance, language_id, line_dedup, mixing, ngram_join, secret_scan, url_filter
 
 
 def registered() -> dict:
     return {
+        "op1_importance": (importance.op1_importance, None),
         "op2_url_filter": (url_filter.op2_url_filter, None),
         "op3_line_dedup": (line_dedup.op3_line_dedup, line_dedup.ORACLE),
         "op4_secret_scan": (secret_scan.op4_secret_scan, None),
