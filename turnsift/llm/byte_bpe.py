@@ -137,5 +137,31 @@ def token_digests(docs: DataFrame, rank_path: str | None = None, piece_chars: in
     )
 
 
+def round_trip(docs: DataFrame, rank_path: str | None = None, piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text's bytes."""
+    path = rank_path or default_ranks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoding(path)
+        for batch in batches:
+            for part in text_slices(batch):
+                texts = part.column("text").to_pylist()
+                ids = [encode_text(encoder, text, piece_chars) for text in texts]
+                whole = [decode_ids(encoder, x.tolist()) == (t or "").encode() for x, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(n) for n in ("doc_id", "lang", "source")),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
+                        pa.array(whole, pa.bool_()),
+                    ],
+                    ["doc_id", "lang", "source", "n_tokens", "ids", "intact"],
+                )
+
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(
+        run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, intact boolean"
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
