@@ -11,12 +11,15 @@ one). Two documents link when 100 * intersection >= 80 * union.
 3. Group pairs. Groups meet at a shared prefix shingle. With ``need`` the smallest intersection
    two sizes allow, both positions must be at most n - need; the first shared shingle of any
    link satisfies this, so no link is lost, and it implies the size filter.
-4. Members. Surviving group pairs expand to members, which are verified on whole sets.
+4. Members. Surviving group pairs expand to members. A pair can only link if its prefixes share
+   enough: with s shared prefix shingles the intersection is at most s + max(n - p) over both
+   sides, p being the prefix length. What is left is verified on whole sets.
 
-Large groups of near copies are not paired off. First every bucket only meets one leader (the
-group that shares most of its prefix: an original shares all of it, an edited copy does not), and
-what links gets a common label. That is repeated while it links enough; then all remaining pairs
-of *different* labels are tested, so components are exact.
+Large groups of near copies are not paired off. First every bucket only meets one leader, the
+group that holds the shingle earliest in its prefix (an edited copy has shingles of its own before
+it, its original does not), and what links gets a common label. That is repeated with random
+leaders while it links enough; then all remaining pairs of *different* labels are tested, so
+components are exact.
 
 Contract: one row per input row. Without words or text the set is empty and linked with nothing;
 component_id is then the row's own doc_id. Rows with equal doc_id are separate rows. A null
@@ -42,7 +45,7 @@ SIMILAR = (80, 100)
 ORDER_BITS = 20
 #: Bits of the filter that picks the documents whose sets a round needs.
 WANTED_BITS = 23
-#: A leader round that links a smaller share of its pairs than this is the last one.
+#: A leader round that adds a smaller share of links than this is the last one.
 LEAST_GAIN = 0.1
 
 _BLOCKS = 256
@@ -126,15 +129,15 @@ def _prefixes(docs: DataFrame, classes, width: int, similar: tuple[int, int]) ->
     )
 
 
-def _slot(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(1 << WANTED_BITS))
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << WANTED_BITS))
 
 
-def _wanted_bits(low_ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the hashes of the wanted documents."""
-    at = _slot(F.col("low")) + 1  # Spark's bitmaps start at one
+def _marks(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of fixed size over the hashes of the keys."""
+    at = _slot(F.col(key)) + 1  # Spark's bitmaps start at one
     rows = (
-        low_ids.groupBy(F.bitmap_bucket_number(at).alias("block"))
+        keys.groupBy(F.bitmap_bucket_number(at).alias("block"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
         .collect()
     )
@@ -144,17 +147,21 @@ def _wanted_bits(low_ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _marked(batch: pa.RecordBatch, marks: np.ndarray) -> pa.RecordBatch:
+    """Rows whose slot is marked: all wanted ones and a few others."""
+    at = batch.column("slot").to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(((marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """gid, n, set of the wanted groups' members, read again from the texts."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_wanted_bits(wanted.select("low")))
+    bits = spark.sparkContext.broadcast(_marks(wanted, "low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, told = bits.value, set()
+        told: set[tuple[int, int]] = set()
         for batch in batches:
-            at = batch.column("slot").to_numpy(zero_copy_only=False)
-            hit = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            for part in text_slices(batch.filter(pa.array(hit.astype(bool)))):
+            for part in text_slices(_marked(batch, bits.value)):
                 value, rows = shingles(*word_hashes(part.column("text")), width)
                 digests = _digests(value, rows)
                 fresh = []
@@ -177,20 +184,52 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         run, "d1 long, d2 long, items array<long>"
     )
     return written(
-        found.join(wanted.select("gid", "d1", "d2"), ["d1", "d2"])
-        .groupBy("gid").agg(F.first("items").alias("items")),
+        found.groupBy("d1", "d2").agg(F.first("items").alias("items"))
+        .join(wanted.select("gid", "d1", "d2"), ["d1", "d2"]).select("gid", "items"),
         "jaccard-sets",
     )
 
 
-def _links(docs: DataFrame, pairs: DataFrame, members: DataFrame, width: int, similar) -> tuple[DataFrame, int]:
-    """(verified pairs, number of pairs tested)."""
+def _promising(found: DataFrame, pairs: DataFrame, ends: DataFrame, similar) -> DataFrame:
+    """Pairs whose prefixes share enough for a link."""
+    bits = found.sparkSession.sparkContext.broadcast(_marks(ends, "gid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _marked(batch, bits.value).select(["gid", "n", "prefix"])
+
+    prefixes = written(
+        found.select(_slot(F.col("gid")).alias("slot"), "gid", "n", "prefix").mapInArrow(
+            run, "gid long, n long, prefix array<long>"
+        ),
+        "jaccard-ends",
+    )
+    sides = [
+        prefixes.select(F.col("gid").alias(end), F.col("n").alias(f"{end}_n"), F.col("prefix").alias(f"{end}_prefix"))
+        for end in ("a", "b")
+    ]
+    rest = F.greatest(F.col("a_n") - F.size("a_prefix"), F.col("b_n") - F.size("b_prefix"))
+    need = F.ceil(similar[0] * (F.col("a_n") + F.col("b_n")) / (similar[0] + similar[1]))
+    return (
+        pairs.join(sides[0], "a").join(sides[1], "b")
+        .filter(F.size(F.array_intersect("a_prefix", "b_prefix")) + rest >= need)
+        .select("a", "b")
+    )
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
+
+
+def _links(docs: DataFrame, found: DataFrame, pairs: DataFrame, members: DataFrame, width: int, similar) -> DataFrame:
+    """The pairs that link."""
     pairs = written(pairs, "jaccard-pairs")
-    tested = pairs.count()
-    if not tested:
-        return pairs, 0
-    ends = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
-    sets = _sets(docs, written(members.join(ends, "gid", "left_semi"), "jaccard-wanted"), width)
+    if pairs.isEmpty():
+        return pairs
+    pairs = written(_promising(found, pairs, _ends(pairs), similar), "jaccard-promising")
+    if pairs.isEmpty():
+        return pairs
+    sets = _sets(docs, written(members.join(_ends(pairs), "gid", "left_semi"), "jaccard-wanted"), width)
     both = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - both
     linked = (
@@ -199,7 +238,7 @@ def _links(docs: DataFrame, pairs: DataFrame, members: DataFrame, width: int, si
         .filter(similar[1] * both >= similar[0] * union)
         .select("a", "b")
     )
-    return written(linked, "jaccard-links"), tested
+    return written(linked, "jaccard-links")
 
 
 def _possible(a: str, b: str, similar) -> Column:
@@ -214,34 +253,49 @@ def _named(df: DataFrame, to: str) -> DataFrame:
     return df.select("token", *[F.col(c).alias(f"{to}_{c}") for c in ("grp", "n", "pos", "label")])
 
 
-def _labelled(rows: DataFrame, members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(prefix rows with their group's label, members with theirs). A group whose members have
-    several labels has a label of its own that no other group has."""
-    if labels is None:
-        own = members.withColumn("label", F.col("gid"))
-    else:
-        own = members.join(labels.withColumnRenamed("vertex", "gid"), "gid", "left").withColumn(
-            "label", F.coalesce("label", "gid")
-        )
-    own = written(own.select("gid", "grp", "label"), "jaccard-labels")
+def _labelled(rows: DataFrame, members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prefix rows with their group's label, members with theirs). A group without links is its
+    own label; one whose members differ has a label that no other group has."""
+    own = written(
+        members.select("gid", "grp").join(labels.withColumnRenamed("vertex", "gid"), "gid", "left")
+        .withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "gid")),
+        "jaccard-labels",
+    )
     groups = own.groupBy("grp").agg(
-        F.when(F.min("label") == F.max("label"), F.min("label")).otherwise(-1 - F.col("grp")).alias("label")
+        F.when(F.min("label") == F.max("label"), F.min("label")).otherwise(-1 - F.col("grp")).alias("label"),
+        F.bool_or("linked").alias("linked"),
     )
-    return written(rows.join(groups, "grp"), "jaccard-buckets"), own
+    groups = written(groups.filter("linked").drop("linked"), "jaccard-group-labels")
+    labelled = rows.select("token", "grp", "n", "pos").join(groups, "grp", "left")
+    return labelled.withColumn("label", F.coalesce("label", "grp")), own.drop("linked")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _met_members(met: DataFrame, own: DataFrame) -> DataFrame:
+    """Member pairs of leading groups (l_grp) and the groups they may link with (x_grp), and of
+    each group's first member and its other members. Only a group's first member leads."""
+    member = own.select(F.col("grp").alias("x_grp"), F.col("gid").alias("b"), F.col("label").alias("b_label"))
+    first = own.filter("gid = grp").select(
+        F.col("gid").alias("l_grp"), F.col("gid").alias("a"), F.col("label").alias("a_label")
+    )
+    across = met.join(member, "x_grp").join(first, "l_grp").filter("a_label <> b_label").select("a", "b")
+    inside = member.filter("x_grp <> b").join(first, F.col("x_grp") == F.col("l_grp")).filter(
+        "a_label <> b_label"
+    ).select("a", "b")
+    return _ordered(across.union(inside))
+
+
 def _leader_pairs(rows: DataFrame, own: DataFrame, turn: int, similar) -> DataFrame:
-    """Member pairs of each bucket's leader and the groups it may link with, and of each group's
-    first member and its other members."""
-    score = F.struct("shared", "grp") if turn == 0 else F.struct(F.xxhash64("grp", F.lit(turn)), "grp")
+    """Pairs with a random leader of every bucket that holds several labels."""
+    score = F.struct(F.xxhash64("grp", F.lit(turn)), "grp")
     leaders = written(
         rows.groupBy("token").agg(
-            F.max_by(F.struct("grp", "n", "pos", "label"), score).alias("top")
-        ).select("token", "top.*"),
+            F.max_by(F.struct("grp", "n", "pos", "label"), score).alias("top"),
+            (F.min("label") < F.max("label")).alias("live"),
+        ).filter("live").select("token", "top.*"),
         "jaccard-leaders",
     )
     met = (
@@ -249,15 +303,7 @@ def _leader_pairs(rows: DataFrame, own: DataFrame, turn: int, similar) -> DataFr
         .filter((F.col("x_label") != F.col("l_label")) & _possible("x", "l", similar))
         .select("l_grp", "x_grp").distinct()
     )
-    member = own.select(F.col("grp").alias("x_grp"), F.col("gid").alias("b"), F.col("label").alias("b_label"))
-    first = own.filter("gid = grp").select(
-        F.col("gid").alias("l_grp"), F.col("gid").alias("a"), F.col("label").alias("a_label")
-    )
-    across = met.join(member, "x_grp").join(first, "l_grp").filter("a_label <> b_label").select("a", "b")
-    inside = member.filter("x_grp <> b").join(first, F.col("x_grp") == F.col("l_grp")).filter(
-        "a_label <> b_label"
-    ).select("a", "b")
-    return _ordered(across.union(inside))
+    return _met_members(met, own)
 
 
 def _other_pairs(rows: DataFrame, own: DataFrame, similar) -> DataFrame:
@@ -318,27 +364,35 @@ def near_copies(
         "jaccard-members",
     )
     heads = members.filter("gid = grp").select("gid")
-    per_token = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    shared = written(
+    bucket = Window.partitionBy("token")
+    earliest = F.first(F.struct("grp", "n", "pos")).over(bucket.orderBy("pos", "grp"))
+    rows = written(
         found.select("gid", "n", "prefix").join(heads, "gid")
         .select(F.col("gid").alias("grp"), "n", F.posexplode("prefix").alias("pos", "token"))
-        .withColumn("held", per_token).filter("held > 1").drop("held"),
-        "jaccard-shared",
+        .withColumn("top", earliest).withColumn("held", F.count(F.lit(1)).over(bucket))
+        .filter("held > 1").drop("held"),
+        "jaccard-rows",
     )
-    frequent = shared.groupBy("grp").agg((F.count(F.lit(1)) / F.first("n")).alias("shared"))
-    rows = written(shared.join(frequent, "grp"), "jaccard-rows")
 
-    labels, turn = None, 0
-    while True:
+    flat = rows.select(
+        F.col("grp").alias("x_grp"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"),
+        *[F.col(f"top.{c}").alias(f"l_{c}") for c in ("grp", "n", "pos")],
+    )
+    met = flat.filter((F.col("x_grp") != F.col("l_grp")) & _possible("x", "l", similar)).select("l_grp", "x_grp")
+    links = _links(
+        docs, found, _met_members(met.distinct(), members.withColumn("label", F.col("gid"))), members, width, similar
+    )
+    labels, linked, turn = merge(None, links), links.count(), 0
+    gained = linked
+    while gained > least_gain * linked:
+        turn += 1
         buckets, own = _labelled(rows, members, labels)
-        links, tested = _links(docs, _leader_pairs(buckets, own, turn, similar), members, width, similar)
+        links = _links(docs, found, _leader_pairs(buckets, own, turn, similar), members, width, similar)
         gained = links.count()
+        linked += gained
         labels = merge(labels, links)
-        turn += 1
-        if gained <= least_gain * tested:
-            break
     buckets, own = _labelled(rows, members, labels)
-    links, _ = _links(docs, _other_pairs(buckets, own, similar), members, width, similar)
+    links = _links(docs, found, _other_pairs(buckets, own, similar), members, width, similar)
     labels = merge(labels, links)
 
     own = members.join(labels.withColumnRenamed("vertex", "gid"), "gid", "left").withColumn(
