@@ -10,6 +10,8 @@ ROOT = Path(__file__).resolve().parents[1]
 if str(ROOT) not in sys.path:
     sys.path.insert(0, str(ROOT))
 
+from turnsift.operators.durable import own_folder_if_unset  # noqa: E402
+
 
 def local_session() -> SparkSession:
     spark = (
@@ -25,8 +27,7 @@ def local_session() -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnsift-checkpoint-"))
+    own_folder_if_unset(spark)
     return spark
 
 

@@ -132,9 +132,14 @@ def test_campaigns_labels_and_marks(spark, store):
     labels = spark.createDataFrame([("aa01", ""), ("bb01", "noise")], "fingerprint_id string, name string")
     named = {r["fingerprint_id"]: r["campaign_name"] for r in fp.label_campaigns(table, labels).collect()}
     assert named == {"aa01": None, "aa02": "camp", "bb01": "noise", "bb02": ""}
-    wanted = spark.createDataFrame([("aa0", "x"), ("bb01", "y"), ("cc00", "z")], "prefix string, name string")
-    ids = {r["prefix"]: r["fingerprint_id"] for r in fp.resolve_prefixes(table, wanted, 3).collect()}
-    assert ids == {"aa0": "aa02", "bb01": "bb01"}
+    prefixes = [("aa0", "x"), ("bb01", "y"), ("cc00", "z"), ("b", "one"), ("", "none"), ("a" * 70, "long")]
+    wanted = spark.createDataFrame(prefixes, "prefix string, name string")
+    ids = {r["prefix"]: r["fingerprint_id"] for r in fp.resolve_prefixes(table, wanted).collect()}
+    assert {k: v for k, v in ids.items() if k != "b"} == {"aa0": "aa02", "bb01": "bb01"}
+    assert ids["b"].startswith("b")
+    rejects = {r["prefix"] for r in fp.unresolved_prefixes(table, wanted).collect()}
+    assert rejects == {"cc00", "", "a" * 70}
+    assert fp.resolve_prefixes(table, wanted.filter("prefix = ''")).count() == 0
     assert [r[0] for r in fp.list_fingerprints(table).select("fingerprint_id").collect()] == ["aa02", "bb01", "aa01", "bb02"]
     marked = fp.session_false_alarms(table, links, spark.createDataFrame([("s1",)], "session_id string"))
     assert [r["fingerprint_id"] for r in fp.approved_fingerprints(marked).collect()] == ["aa01", "bb02", "bb01"]

@@ -22,6 +22,8 @@ from turnsift.operators.vectors import (
 )
 
 _STEPS = "array<struct<ref:string,cos:double>>"
+#: Hexadecimal digits of an id.
+ID_LENGTH = 64
 
 
 def nearest_fingerprints(
@@ -254,22 +256,34 @@ def label_campaigns(fingerprints: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def resolve_prefixes(fingerprints: DataFrame, labels: DataFrame, width: int = 4) -> DataFrame:
-    """Turn id prefixes (at least ``width`` characters) into ids: the match with most hits.
+def resolve_prefixes(fingerprints: DataFrame, labels: DataFrame) -> DataFrame:
+    """Turn id prefixes of any length into ids: the match with most hits.
 
-    The first ``width`` characters join as a key, so no pairs of unrelated ids arise.
+    Every id offers its head for each length that a label has (at most 64 of them), and the best
+    id per head is found before the join, so no pairs of unrelated ids arise. Prefixes without
+    a match come out of ``unresolved_prefixes``.
     """
-    key = F.left("fingerprint_id", F.lit(width)).alias("_head")
-    wanted = labels.select("prefix", "name", F.left("prefix", F.lit(width)).alias("_head"))
+    lengths = labels.select(F.length("prefix").alias("_n")).filter("_n > 0").distinct()
+    lengths = [row["_n"] for row in lengths.filter(F.col("_n") <= ID_LENGTH).collect()]
+    if not lengths:
+        return labels.limit(0).select("prefix", "name", F.lit("").alias("fingerprint_id"))
+    heads = F.array(*[F.left("fingerprint_id", F.lit(n)) for n in sorted(lengths)])
     first = F.min_by("fingerprint_id", F.struct(-F.col("hit_count"), F.col("fingerprint_id")))
-    return (
-        wanted.join(fingerprints.select("fingerprint_id", "hit_count", key), "_head")
-        .filter(F.startswith("fingerprint_id", "prefix"))
-        .groupBy("prefix", "name")
-        .agg(first.alias("fingerprint_id"))
+    best = (
+        fingerprints.select("fingerprint_id", "hit_count", F.explode(F.array_distinct(heads)).alias("prefix"))
+        .groupBy("prefix").agg(first.alias("fingerprint_id"))
+    )
+    return labels.select("prefix", "name").distinct().join(best, "prefix").select(
+        "prefix", "name", "fingerprint_id"
     )
 
 
+def unresolved_prefixes(fingerprints: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels whose prefix no id starts with (an empty prefix names nothing)."""
+    found = resolve_prefixes(fingerprints, labels).select("prefix").distinct()
+    return labels.join(found, "prefix", "left_anti").select("prefix", "name")
+
+
 def mark_false_alarms(
     fingerprints: DataFrame, ids: DataFrame, approved: bool = True
 ) -> DataFrame:

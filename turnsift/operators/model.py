@@ -14,34 +14,37 @@ from pyspark.sql.types import DoubleType
 
 from turnsift.operators.detect import Scorer
 
-MODEL_CHARS = 2_000
-
+#: Working columns of the pipeline.
+_STAGES = tuple(
+    f"_model_{name}" for name in ("text", "words", "counts", "vector", "raw", "probability", "prediction")
+)
 
 def train(labelled: DataFrame, text: str, label: str, features: int = 1 << 16) -> PipelineModel:
     """Logistic regression on hashed words; ``label`` is 1 for an injection."""
     rows = labelled.select(
-        F.left(F.coalesce(text, F.lit("")), F.lit(MODEL_CHARS)).alias("model_text"),
-        F.col(label).cast("double").alias("label"),
+        F.coalesce(text, F.lit("")).alias(_STAGES[0]), F.col(label).cast("double").alias("_model_label")
     )
+    given, words, counts, vector, raw, probability, prediction = _STAGES
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol="model_text", outputCol="words", pattern=r"\W+"),
-            HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
-            IDF(inputCol="counts", outputCol="features"),
-            LogisticRegression(regParam=0.01, maxIter=30),
+            RegexTokenizer(inputCol=given, outputCol=words, pattern=r"\W+"),
+            HashingTF(inputCol=words, outputCol=counts, numFeatures=features),
+            IDF(inputCol=counts, outputCol=vector),
+            LogisticRegression(
+                regParam=0.01, maxIter=30, labelCol="_model_label", featuresCol=vector,
+                rawPredictionCol=raw, probabilityCol=probability, predictionCol=prediction,
+            ),
         ]
     ).fit(rows)
 
 
 def scorer(model: PipelineModel) -> Scorer:
-    """Adds ml_score, the probability of class 1 on the first 2,000 characters."""
+    """Adds ml_score, the probability of class 1 on the whole text. Other columns are kept,
+    whatever their names; an older ml_score is replaced."""
 
     def score(df: DataFrame, text: str) -> DataFrame:
-        given = df.withColumn("model_text", F.left(F.coalesce(text, F.lit("")), F.lit(MODEL_CHARS)))
-        scored = model.transform(given)
-        return scored.withColumn("ml_score", vector_to_array("probability")[1]).drop(
-            "model_text", "words", "counts", "features", "rawPrediction", "probability", "prediction"
-        )
+        scored = model.transform(df.withColumn(_STAGES[0], F.coalesce(text, F.lit(""))))
+        return scored.withColumn("ml_score", vector_to_array(_STAGES[5])[1]).drop(*_STAGES)
 
     return score
 
@@ -56,8 +59,7 @@ def python_scorer(load: Callable[[], Callable[[Sequence[str]], Sequence[float]]]
             yield pd.Series(list(predict(texts.tolist())), dtype="float64")
 
     def score(df: DataFrame, text: str) -> DataFrame:
-        cut = F.left(F.coalesce(text, F.lit("")), F.lit(MODEL_CHARS))
-        return df.withColumn("ml_score", score_batches(cut))
+        return df.withColumn("ml_score", score_batches(F.coalesce(text, F.lit(""))))
 
     return score
 

@@ -14,6 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 CHUNK_ROWS = 10_000
 
 
+def _back(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join the per-chunk rows back; a null key is a key like any other."""
+    names = [*keys, "_chunk"]
+    renamed = small.withColumnsRenamed({name: f"_own_{i}" for i, name in enumerate(names)})
+    same = [F.col(name).eqNullSafe(F.col(f"_own_{i}")) for i, name in enumerate(names)]
+    return rows.join(renamed, same).drop(*[f"_own_{i}" for i in range(len(names))])
+
+
 def chunk_of(number: Column, width: int = CHUNK_ROWS) -> Column:
     """Chunk of a turn number or position."""
     return F.coalesce(F.floor(number / width).cast("long"), F.lit(-1).cast("long"))
@@ -46,8 +54,7 @@ def with_position(
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        marked.withColumn("_within", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_chunk"])
+        _back(marked.withColumn("_within", F.row_number().over(inside) - 1), offsets, keys)
         .withColumn(out, (F.col("_base") + F.col("_within")).cast("long"))
         .drop("_chunk", "_within", "_base")
     )
@@ -72,8 +79,7 @@ def with_previous(
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        marked.withColumn("_near", F.lag("_seen").over(inside))
-        .join(tails, [*keys, "_chunk"])
+        _back(marked.withColumn("_near", F.lag("_seen").over(inside)), tails, keys)
         .withColumn(out, F.coalesce("_near", "_carried"))
         .drop("_chunk", "_seen", "_near", "_carried")
     )
@@ -113,7 +119,7 @@ def with_running(
     local = marked.select(
         "*", *[fn(column).over(inside).alias(f"_l_{n}") for n, (fn, column) in aggregates.items()]
     )
-    joined = local.join(carried, [*keys, "_chunk"])
+    joined = _back(local, carried, keys)
     merged = {n: _combine(aggregates[n][0], F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n in names}
     return joined.withColumns(merged).drop(
         "_chunk", *[f"_c_{n}" for n in names], *[f"_l_{n}" for n in names]

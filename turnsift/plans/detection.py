@@ -43,8 +43,7 @@ FROM each JOIN lab USING (rule_id) GROUP BY rule_id"""
 
 def doc_scan(spark, sf_dir):
     """Additive scan of every document with verdict, rules, evidence and severity."""
-    docs = overlay.documents(spark, sf_dir)
-    scanned = detect.text_scan(docs.filter(detect.is_scannable(F.col("text"))), "text")
+    scanned = detect.text_scan(overlay.documents(spark, sf_dir), "text")
     return scanned.select(
         "doc_id", "score", "verdict",
         joined("matched_heuristics").alias("rules"),
@@ -59,7 +58,7 @@ _LINE = (
     "regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: contains(x, head)), true) END, 0)"
 )
 DOC_SCAN_SQL = f"""WITH {Q.DOCS},
-ok AS (SELECT * FROM docs WHERE length(text) <= 500000 AND regexp_matches(text, '\\S')),
+ok AS (SELECT * FROM docs),
 {Q.with_rules('ok', 'text', 'ruled')},
 scored AS (SELECT doc_id, text, rules, {Q.ADDITIVE} AS score, {Q.evidence('text')} AS ev FROM ruled),
 headed AS (SELECT *, {Q.strip('left(ev, 60)')} AS head FROM scored)

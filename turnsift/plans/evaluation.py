@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnsift.functions import scoring
 from turnsift.operators import detect, evaluate, model
-from turnsift.operators.durable import durable
 from turnsift.plans import overlay, sql as Q
 from turnsift.sources import tables
 
@@ -14,10 +13,11 @@ from turnsift.sources import tables
 def scored_documents(spark, sf_dir) -> DataFrame:
     """Scan of the document corpus; scenario is the language, attack the source."""
     docs = tables.load_payloads(overlay.documents(spark, sf_dir), "doc_id", "text")
-    return detect.text_scan(docs, "text").select(
-        "doc_id", "text", "label", "score", "matched_heuristics",
+    scored = detect.text_scan(docs, "text").select(
+        "doc_id", F.left("text", F.lit(200)).alias("text"), "score", "matched_heuristics",
         F.col("lang").alias("scenario"), F.col("source").alias("attack_name"),
     )
+    return overlay.with_labels(scored, spark, sf_dir).drop("labelled")
 
 
 SCORED = f"""{Q.DOCS},
@@ -95,7 +95,8 @@ SELECT * FROM r WHERE nth <= 5"""
 
 def class_counts(spark, sf_dir):
     """Size and classes of the labelled corpus."""
-    return tables.class_counts(overlay.documents(spark, sf_dir).filter("labelled"))
+    docs = overlay.documents(spark, sf_dir).select("doc_id")
+    return tables.class_counts(overlay.with_labels(docs, spark, sf_dir).filter("labelled"))
 
 
 CLASS_SQL = f"""WITH {Q.DOCS}
@@ -116,15 +117,16 @@ SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, md5(text) AS digest FROM
 
 def ml_scores(spark, sf_dir):
     """Model-weighted text check of every document with a model trained on the labels."""
-    docs = durable(overlay.documents(spark, sf_dir))
-    trained = model.train(docs.filter("labelled"), "text", "label")
-    checked = detect.text_check(docs, "text", scorer=model.scorer(trained))
-    return checked.select(
-        "doc_id", "label", "score", "ml_score", "verdict",
+    docs = overlay.documents(spark, sf_dir)
+    labelled = overlay.with_labels(docs.select("doc_id", "text"), spark, sf_dir).filter("labelled")
+    trained = model.train(labelled, "text", "label")
+    checked = detect.text_check(docs, "text", scorer=model.scorer(trained)).select(
+        "doc_id", "score", "ml_score", "verdict",
         scoring.additive(F.col("h_points"), F.col("ib_points"), F.col("ml_score")).alias(
             "additive_score"
         ),
     )
+    return overlay.with_labels(checked, spark, sf_dir).drop("labelled")
 
 
 QUERIES = {

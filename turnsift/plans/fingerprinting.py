@@ -214,6 +214,7 @@ WHERE fingerprint_id IN (SELECT fingerprint_id FROM assigned WHERE session_id IN
 def document_snippets(spark, sf_dir) -> DataFrame:
     """Fingerprints table with one row per distinct evidence text of the document scan."""
     scanned = detect.text_scan(overlay.documents(spark, sf_dir), "text").filter("score >= 0.25")
+    scanned = overlay.with_labels(scanned.select("doc_id", "evidence_snippet"), spark, sf_dir)
     day = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60)
     grouped = scanned.withColumn("ts", day).groupBy("evidence_snippet").agg(
         F.min("doc_id").alias("doc_id"),
@@ -268,7 +269,7 @@ def false_alarm_gate(spark, sf_dir):
     approved = durable(document_snippets(spark, sf_dir).filter("approved"))
     scanned = detect.with_scan(overlay.documents(spark, sf_dir), "text").filter("score >= 0.25")
     kept = detect.drop_false_alarms(scanned, "text", approved)
-    return kept.select("doc_id", "score", "label")
+    return overlay.with_labels(kept.select("doc_id", "score"), spark, sf_dir).drop("labelled")
 
 
 GATE_SQL = f"""WITH {Q.DOCS},

@@ -128,7 +128,8 @@ def stream_pairs(spark, sf_dir):
     ends = _messages(spark, sf_dir).filter("role NOT IN ('user', 'tool')").select(
         before.alias("run_id"), F.col("ts").alias("ended_at"), F.length("content").alias("response")
     )
-    return _to_table(jobs.paired_calls(starts, ends), _folder(spark))
+    done = _to_table(jobs.paired_calls(starts, ends), _folder(spark))
+    return done.filter("matched").drop("matched", "error")
 
 
 def stream_campaigns(spark, sf_dir):

@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from turnsift import schema as S
 from turnsift.functions.text import safe_session_id, strip
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A table with its declared schema; unreadable files are skipped, not fatal."""
-    return (
-        spark.read.schema(schema)
-        .option("mergeSchema", "true")
-        .option("ignoreCorruptFiles", "true")
-        .parquet(path)
+    """A table with its declared schema. An unreadable file is an error: events that are
+    silently missing would make every signal, chain and report on top wrong."""
+    return spark.read.schema(schema).option("mergeSchema", "true").parquet(path)
+
+
+def read_listing(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows of the readable files, paths of files that gave no row) for an overview that
+    has to come up although a file is broken."""
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet").load(path).select("path")
     )
+    seen = rows.select(F.col("_metadata.file_path").alias("path")).distinct()
 
+    def plain(column):  # one slash or three after the scheme
+        return F.regexp_replace(column, "^file:/+", "file:/")
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when an input has fewer splits than cores (one small file);
-    a large input already has more splits and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    skipped = files.withColumn("_path", plain("path")).join(
+        seen.select(plain("path").alias("_path")), "_path", "left_anti"
+    )
+    return rows, skipped.select("path")
 
 
 def session_events(events: DataFrame, session_ids: list[str]) -> DataFrame:
@@ -67,7 +75,7 @@ def export_json(events: DataFrame, path: str) -> None:
 
 def decode_payloads(rows: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(events, rejects) from JSON payloads; malformed ones keep their text."""
-    schema = StructType(S.TRACE_EVENTS.fields).add("_bad", "string")
+    schema = StructType([*S.TRACE_EVENTS.fields, StructField("_bad", StringType())])
     parsed = rows.withColumn(
         "_event",
         F.from_json(payload, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}),

@@ -54,18 +54,23 @@ def running_scores(signals: DataFrame) -> DataFrame:
 def paired_calls(
     starts: DataFrame, ends: DataFrame, delay: str = "1 hour", longest: str = "1 hour"
 ) -> DataFrame:
-    """Start and end records of a run; starts without an end expire with the watermark.
+    """Start records of runs with their end, if one comes within ``longest``; otherwise the
+    start comes out alone (``matched`` false) once the watermark has passed.
 
-    starts: run_id, session_id, started_at, request; ends: run_id, ended_at, response.
+    starts: run_id, session_id, started_at, request; ends: run_id, ended_at, response, and
+    optionally error (a run that failed ends with an error and no response).
     """
+    if "error" not in ends.columns:
+        ends = ends.withColumn("error", F.lit(None).cast("string"))
     left = starts.withWatermark("started_at", delay).alias("s")
     right = ends.withWatermark("ended_at", delay).alias("e")
     same_run = F.expr(
         "s.run_id = e.run_id AND e.ended_at >= s.started_at "
         f"AND e.ended_at <= s.started_at + INTERVAL {longest}"
     )
-    return left.join(right, same_run).select(
-        "s.run_id", "s.session_id", "s.started_at", "s.request", "e.ended_at", "e.response"
+    return left.join(right, same_run, "left_outer").select(
+        "s.run_id", "s.session_id", "s.started_at", "s.request", "e.ended_at", "e.response",
+        "e.error", F.col("e.run_id").isNotNull().alias("matched"),
     )
 
 
@@ -140,8 +145,9 @@ def turn_signals(
     rules: Sequence[Rule] = RULES,
     scorer: Scorer | None = None,
 ) -> DataFrame:
-    """Own and window signals of the turns that ``session_turns`` put out."""
-    own = with_scan(turns.filter(~F.col("late")), "own_text", cfg, rules, scorer)
+    """Own and window signals of the turns that ``session_turns`` put out. A late turn has no
+    number and no window, but its text is scanned: its signal has a null turn_index."""
+    own = with_scan(turns, "own_text", cfg, rules, scorer)
     flagged = F.col("own_text").isNotNull() & (F.col("score") >= cfg.threshold)
     seen = own.select(
         "session_id", "turn_index", "own_text", "sources",
