@@ -18,11 +18,11 @@ SMALL = "/root/testdata/sf0.01/documents.parquet"
 @pytest.fixture(scope="module")
 def model():
     rng = np.random.default_rng(3)
-    return L.Model(PATH, ["aa", "bb"], rng.integers(0, 50, (len(L.pieces(PATH)[0]) + 1, 2)).astype(float))
+    return L.Model(PATH, ["aa", "bb"], rng.integers(0, 50, (len(L.pieces(PATH).number) + 1, 2)).astype(float))
 
 
 def brute(model, word):
-    known, _ = L.pieces(PATH)
+    known = L.pieces(PATH).number
     total = np.zeros(len(model.languages))
     for cuts in itertools.product([0, 1], repeat=len(word) - 1):
         edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(word)]
@@ -35,10 +35,36 @@ def brute(model, word):
 
 
 def test_forward_sums_all_segmentations(model):
-    words = ["▁" + w for w in ["the", "einheit", "a", "préavis", "ночь", "中文", "xyz", "heit"]]
-    got = model.word_scores(words)
-    for row, word in zip(got, words):
-        assert row == pytest.approx(brute(model, word))
+    plain = ["the", "einheit", "a", "préavis", "ночь", "中文", "xyz", "heit", "quququx"]
+    words = L.Words([" 1".join(plain)])
+    assert words.strings(np.arange(len(plain))) == plain
+    got = model.word_scores(words, np.arange(len(plain)))
+    for row, word in zip(got, plain):
+        assert row == pytest.approx(brute(model, "▁" + word))
+
+
+def test_words():
+    texts = ["The café, l'été!", None, "", "x\0y 12 a1b", "İz ½ ²", "a" * 95, "日本語テスト"]
+    words = L.Words(texts)
+    found = words.strings(np.arange(len(words.starts)))
+    per_text = [found[a:b] for a, b in zip(words.rows, words.rows[1:])]
+    assert per_text == [
+        ["the", "café", "l", "été"], [], [], ["x", "y", "a", "b"], ["i", "z"], ["a" * 40, "a" * 40, "a" * 15], ["日本語テスト"]
+    ]
+    assert len(set(words.hashes.tolist())) == len(set(found))
+
+
+def test_pieces_are_found_by_hash():
+    known = L.pieces(PATH)
+    value = []
+    for piece in [*known.number, "qzxqzx", "▁qqqqqq"]:
+        h = np.zeros(1, np.uint64)
+        for letter in piece:
+            h = known.longer(h, np.array([ord(letter)], np.uint64))
+        value.append(h[0])
+    assert known.find(np.array(value)).tolist() == [*known.number.values(), 0, 0]
+    start = known.longer(np.zeros(1, np.uint64), np.array([ord("▁")], np.uint64))
+    assert known.find(known.longer(start, np.array([ord("\u0378")], np.uint64))).tolist() == [0]
 
 
 def test_tokens_are_remembered_without_effect(model, monkeypatch):
@@ -57,7 +83,7 @@ def test_counts_of_training(spark):
     rows = [(1, "Einheit einheit, und", "de"), (2, "und", "de"), (3, None, "de"), (4, "the", None), (5, "", "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = L.train(docs)
-    known, _ = L.pieces(PATH)
+    known = L.pieces(PATH).number
     assert model.languages == ["de"]
     cut = L.tokenizer(PATH).encode(["einheit", "und"], out_type=str)
     share = {p: model.share[known[p], 0] for p in [*cut[0], *cut[1]]}

@@ -20,6 +20,7 @@ of that length, so no probability underflows; all of a text counts. Extra column
 from __future__ import annotations
 
 import functools
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnsift.llm.texts import text_slices
+from turnsift.llm.texts import mix, span_hashes, text_slices
 
 UNKNOWN = "und"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -39,10 +40,11 @@ SMOOTHING = 0.1
 LONGEST = 40
 LEAST_SCORE = 0.5
 #: Words whose probabilities a worker remembers, and words a task counts before it cuts them.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 
 _MARK = "▁"
-_LETTERS = regex.compile(r"\p{L}+")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LETTERS = regex.compile(r"\p{L}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -50,24 +52,98 @@ def tokenizer(path: str) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@functools.lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[dict[str, int], int]:
-    """(letter pieces with their number, longest); number 0 stands for an unknown letter."""
-    model = tokenizer(path)
-    known = {}
-    for i in range(model.get_piece_size()):
-        piece = model.id_to_piece(i)
-        letters = piece.removeprefix(_MARK)
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and (not letters or letters.isalpha()):
-            known[piece] = len(known) + 1
-    return known, max(map(len, known))
+class Pieces:
+    """The letter pieces of a vocabulary by number; number 0 stands for an unknown letter.
+
+    Substrings are looked up by a 64-bit rolling hash in an open-addressed array, so that a
+    column of substrings is one array operation. The array also holds the prefixes of pieces (as
+    -1): beyond what is neither, no longer piece can start."""
+
+    def __init__(self, path: str):
+        model = tokenizer(path)
+        self.number: dict[str, int] = {}
+        #: Number of every piece of the tokenizer.
+        self.of_id = np.zeros(model.get_piece_size(), np.int64)
+        for i in range(model.get_piece_size()):
+            piece = model.id_to_piece(i)
+            letters = piece.removeprefix(_MARK)
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and (not letters or letters.isalpha()):
+                self.number[piece] = self.of_id[i] = len(self.number) + 1
+        self.longest = max(map(len, self.number))
+        entries = {piece[:n]: -1 for piece in self.number for n in range(1, len(piece))} | self.number
+        self._mask = (1 << (2 * len(entries)).bit_length()) - 1
+        self._hashes = np.zeros(self._mask + 1, np.uint64)
+        self._numbers = np.zeros(self._mask + 1, np.int64)
+        self._probes = 1
+        value: dict[str, int] = {"": 0}
+        for entry in sorted(entries, key=len):
+            value[entry] = (value[entry[:-1]] * int(_STEP) + ord(entry[-1]) + 1) % (1 << 64)
+        places = mix(np.array([value[entry] for entry in entries], np.uint64)) & np.uint64(self._mask)
+        for (entry, number), at in zip(entries.items(), places.astype(np.int64).tolist()):
+            probes = 1
+            while self._numbers[at]:
+                at, probes = (at + 1) & self._mask, probes + 1
+            self._hashes[at], self._numbers[at] = value[entry], number
+            self._probes = max(self._probes, probes)
+
+    @staticmethod
+    def longer(value: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Hashes of substrings with one more letter."""
+        return value * _STEP + letters + np.uint64(1)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 for prefixes, 0 for neither."""
+        at = (mix(value) & np.uint64(self._mask)).astype(np.int64)
+        found = np.where(self._hashes[at] == value, self._numbers[at], 0)
+        left = np.flatnonzero((found == 0) & (self._numbers[at] != 0))
+        for step in range(1, self._probes):
+            if not len(left):
+                break
+            now = (at[left] + step) & self._mask
+            found[left] = np.where(self._hashes[now] == value[left], self._numbers[now], 0)
+            left = left[(found[left] == 0) & (self._numbers[now] != 0)]
+        return found
 
 
-def stretches(token: str) -> Iterator[str]:
-    """The words of a lower-cased token, as the vocabulary marks them."""
-    for run in _LETTERS.findall(token):
-        for at in range(0, len(run), LONGEST):
-            yield _MARK + run[at : at + LONGEST]
+@functools.lru_cache(maxsize=2)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
+@functools.lru_cache(maxsize=1)
+def _letter_table() -> np.ndarray:
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    table = np.zeros(0x110000, bool)
+    table[[ord(c) for c in _LETTERS.findall(every)]] = True
+    return table
+
+
+class Words:
+    """The words of some texts as code points, in the order of the texts: maximal runs of letters,
+    lower-cased, longer ones in stretches of ``LONGEST``."""
+
+    def __init__(self, texts: list[str | None]):
+        plain = [text.replace("\0", " ") if text else "" for text in texts]
+        self.codes = np.frombuffer("\0".join(plain).lower().encode("utf-32-le"), np.uint32)
+        inside = np.concatenate(([False], _letter_table()[self.codes], [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        parts = -(-(ends - starts) // LONGEST)
+        if (parts > 1).any():
+            number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            starts, ends = np.repeat(starts, parts) + number * LONGEST, np.repeat(ends, parts)
+            ends = np.minimum(ends, starts + LONGEST)
+        self.starts, self.sizes = starts, ends - starts
+        self.hashes = span_hashes(self.codes, starts, ends)
+        breaks = np.flatnonzero(self.codes == 0)
+        self.rows = np.concatenate(([0], np.searchsorted(starts, breaks), [len(starts)]))
+
+    def strings(self, chosen: np.ndarray) -> list[str]:
+        sizes = self.sizes[chosen] + 1
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        codes = self.codes[np.minimum(at + np.repeat(self.starts[chosen], sizes), len(self.codes) - 1)].copy()
+        codes[np.cumsum(sizes) - 1] = 32
+        return codes.tobytes().decode("utf-32-le").split(" ")[:-1]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,79 +157,83 @@ class Model:
         self.path, self.languages = path, languages
         self.share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=0)
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log probability of every marked word in every language (forward algorithm)."""
-        known, longest = pieces(self.path)
-        out = np.zeros((len(words), len(self.languages)))
-        share = np.vstack([self.share, np.zeros(len(self.languages))])
-        by_length: dict[int, list[int]] = {}
-        for i, word in enumerate(words):
-            by_length.setdefault(len(word), []).append(i)
-        nothing, lookup = len(share) - 1, known.get
-        for n, members in by_length.items():
-            spans = [(a, b) for b in range(1, n + 1) for a in range(max(0, b - longest), b)]
-            single = np.array([b - a == 1 for a, b in spans])
-            for start in range(0, len(members), 4096):
-                part = members[start : start + 4096]
-                ids = np.array([[lookup(words[i][a:b], -1) for a, b in spans] for i in part])
-                ids = np.where(ids >= 0, ids, np.where(single, 0, nothing))
-                forward = [np.ones((len(part), len(self.languages)))]
-                for k, (a, b) in enumerate(spans):
-                    if len(forward) == b:
-                        forward.append(np.zeros_like(forward[0]))
-                    forward[b] += forward[a] * share[ids[:, k]]
+    def word_scores(self, words: Words, chosen: np.ndarray) -> np.ndarray:
+        """Log probability of the chosen words in every language (forward algorithm)."""
+        known = pieces(self.path)
+        out = np.zeros((len(chosen), len(self.languages)))
+        sizes = words.sizes[chosen]
+        for size in np.unique(sizes):
+            members = np.flatnonzero(sizes == size)
+            n = int(size) + 1
+            for start in range(0, len(members), 8192):
+                part = members[start : start + 8192]
+                letters = np.full((n, len(part)), ord(_MARK), np.uint64)
+                letters[1:] = words.codes[words.starts[chosen[part]] + np.arange(size)[:, None]]
+                forward = np.zeros((n + 1, len(part), len(self.languages)))
+                forward[0] = 1.0
+                for a in range(n):
+                    live = np.arange(len(part))
+                    value = np.zeros(len(part), np.uint64)
+                    for b in range(a + 1, n + 1):
+                        value = known.longer(value, letters[b - 1, live])
+                        number = known.find(value)
+                        if b == a + 1:  # an unknown letter still has a probability
+                            forward[b] += forward[a] * self.share[np.maximum(number, 0)]
+                        else:
+                            hit = number > 0
+                            at = live[hit]
+                            forward[b][at] += forward[a][at] * self.share[number[hit]]
+                        open_ = number != 0
+                        live, value = live[open_], value[open_]
+                        if not len(live):
+                            break
                 out[part] = np.log(forward[n])
         return out
 
 
 class Scorer:
-    """Text scores of a model, with a bounded memory of tokens already scored."""
+    """Text scores of a model, with a bounded memory of words already scored."""
 
     def __init__(self, model: Model):
         self.model = model
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.model.languages)))
-        self.lettered = np.zeros(0, bool)
-
-    def _learn(self, tokens: list[str]) -> None:
-        words, owner = [], []
-        for i, token in enumerate(tokens):
-            for word in stretches(token):
-                words.append(word)
-                owner.append(i)
-        found = np.zeros((len(tokens), len(self.model.languages)))
-        lettered = np.zeros(len(tokens), bool)
-        if words:
-            distinct = list(dict.fromkeys(words))
-            scores = dict(zip(distinct, self.model.word_scores(distinct)))
-            np.add.at(found, owner, np.array([scores[w] for w in words]))
-            lettered[owner] = True
-        self.known.update(zip(tokens, range(len(self.known), len(self.known) + len(tokens))))
-        self.rows = np.vstack([self.rows, found])
-        self.lettered = np.concatenate([self.lettered, lettered])
+        self.hashes = np.zeros(0, np.uint64)  # ascending
+        self.scores = np.zeros((0, len(self.model.languages)))
+
+    def _scored(self, words: Words) -> np.ndarray:
+        """Scores of all words."""
+        distinct, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        inner = at < len(self.hashes)
+        new[inner] = self.hashes[at[inner]] != distinct[inner]
+        scores = np.empty((len(distinct), len(self.model.languages)))
+        scores[~new] = self.scores[at[~new]]
+        scores[new] = self.model.word_scores(words, first[new])
+        if len(self.hashes) > CACHED_WORDS:
+            self._clear()
+            self.hashes, self.scores = distinct, scores
+        else:
+            hashes = np.concatenate((self.hashes, distinct[new]))
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.scores = hashes[order], np.concatenate((self.scores, scores[new]))[order]
+        return scores[back]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        counted = [Counter((text or "").lower().split()) for text in texts]
-        if len(self.known) > CACHED_WORDS:
-            self._clear()
-        fresh = list(dict.fromkeys(t for c in counted for t in c if t not in self.known))
-        if fresh:
-            self._learn(fresh)
-        languages, scores = [], []
-        for words in counted:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            if not len(self.model.languages) or not self.lettered[at].any():
-                languages.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            total = np.fromiter(words.values(), float, len(words)) @ self.rows[at]
-            best = int(total.argmax())
-            languages.append(self.model.languages[best])
-            scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-        return languages, scores
+        words = Words(texts)
+        if not len(self.model.languages) or not len(words.starts):
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        sums = np.concatenate((np.zeros((1, len(self.model.languages))), np.cumsum(self._scored(words), axis=0)))
+        totals = sums[words.rows[1:]] - sums[words.rows[:-1]]
+        best = totals.argmax(axis=1)
+        scores = 1.0 / np.exp(totals - totals[np.arange(len(texts)), best][:, None]).sum(axis=1)
+        lettered = np.diff(words.rows) > 0
+        return (
+            [self.model.languages[k] if some else UNKNOWN for k, some in zip(best, lettered)],
+            np.where(lettered, scores, 0.0).tolist(),
+        )
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str | None = None) -> Model:
@@ -161,28 +241,30 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str
     path = path or public_tokenizers.path(PIECE_FILE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _ = pieces(path)
+        known = pieces(path)
         words: dict[str, Counter] = {}
         sums: dict[str, np.ndarray] = {}
-        waiting = 0
 
         def cut() -> None:
             for language, counted in words.items():
-                into = sums.setdefault(language, np.zeros(len(known) + 1, np.int64))
-                marked: Counter = Counter()
-                for token, times in counted.items():
-                    for word in stretches(token):
-                        marked[word] += times
-                plain = [word[1:] for word in marked]
-                for ids, times in zip(tokenizer(path).encode(plain, out_type=str, num_threads=1), marked.values()):
-                    for piece in ids:
-                        into[known.get(piece, 0)] += times
+                into = sums.setdefault(language, np.zeros(len(known.number) + 1, np.int64))
+                ids = tokenizer(path).encode(list(counted), num_threads=1)
+                times = np.repeat(list(counted.values()), [len(x) for x in ids]) if ids else []
+                flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
+                into += np.bincount(known.of_id[flat], times, minlength=len(into)).astype(np.int64)
             words.clear()
 
         for batch in batches:
             for part in text_slices(batch):
-                for language, own in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                    words.setdefault(language, Counter()).update(own.lower().split())
+                found = Words(part.column("text").to_pylist())
+                languages, code = np.unique(part.column("lang").to_numpy(zero_copy_only=False), return_inverse=True)
+                code = np.repeat(code, np.diff(found.rows))
+                for k, language in enumerate(languages):
+                    own = np.flatnonzero(code == k)
+                    _, first, times = np.unique(found.hashes[own], return_index=True, return_counts=True)
+                    into = words.setdefault(str(language), Counter())
+                    for word, n in zip(found.strings(own[first]), times.tolist()):
+                        into[word] += n
                 if sum(map(len, words.values())) > CACHED_WORDS:
                     cut()
         cut()
@@ -201,7 +283,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str
         .toArrow()  # at most one row per language and piece
     )
     languages = sorted(set(rows.column("lang").to_pylist()))
-    counts = np.zeros((len(pieces(path)[0]) + 1, len(languages)))
+    counts = np.zeros((len(pieces(path).number) + 1, len(languages)))
     column = {language: i for i, language in enumerate(languages)}
     for language, piece, n in zip(*(c.to_pylist() for c in rows.columns)):
         counts[piece, column[language]] = n

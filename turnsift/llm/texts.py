@@ -64,6 +64,14 @@ def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes or code points; equal spans hash alike wherever they are."""
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(symbols)), out=sums[1:])
+    value = (sums[ends] - sums[starts]) * _power(_INVERSE, len(symbols) + 1)[starts]
+    return mix(value + (ends - starts).astype(np.uint64) * _LENGTH)
+
+
 def _hash_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of every word; a word also ends where a row ends (``breaks``)."""
     inside = (data != 32) & ((data < 9) | (data > 13))
@@ -74,10 +82,7 @@ def _hash_words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     lower = data + np.where((data >= 65) & (data <= 90), 32, 0).astype(np.uint8)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power(_INVERSE, len(data))[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * _LENGTH), starts
+    return span_hashes(lower, starts, ends), starts
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
