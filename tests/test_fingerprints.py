@@ -64,7 +64,7 @@ def arrivals():
 @pytest.mark.parametrize("at_least", [0.55, 0.70, 0.9])
 def test_assignment_equals_the_sequential_store(spark, arrivals, block, at_least):
     df = spark.createDataFrame(arrivals, ROWS).repartition(4)
-    got = fp.assign_fingerprints(df, None, ScanConfig(similarity=at_least), block_rows=block).collect()
+    got = fp.assign_fingerprints(df, None, ScanConfig(similarity=at_least), row_group=block, ref_group=block).collect()
     want = sequential(arrivals, at_least)
     founder = {r["fingerprint_id"]: r["signal_id"] for r in got if not r["matched"]}
     assert {r["signal_id"]: (founder[r["fingerprint_id"]], r["matched"]) for r in got} == want
@@ -79,7 +79,7 @@ def test_stored_fingerprints_come_first(spark, arrivals):
         "fingerprint_id string, first_seen timestamp, last_seen timestamp, hit_count bigint, "
         "representative_snippet string, vector array<double>, campaign_name string, approved boolean",
     )
-    got = fp.assign_fingerprints(spark.createDataFrame(arrivals, ROWS), stored, block_rows=2)
+    got = fp.assign_fingerprints(spark.createDataFrame(arrivals, ROWS), stored, row_group=2, ref_group=2)
     rows = got.collect()
     want = sequential(arrivals, 0.70, [(f"f{i}", gram_vector(t)) for i, t in enumerate(texts)])
     founder = {r["fingerprint_id"]: r["signal_id"] for r in rows if not r["matched"]}

@@ -2,53 +2,83 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnsift.config import ScanConfig
 from turnsift.functions.grams import gram_embedding
 from turnsift.operators.components import connected_components
-from turnsift.operators.durable import durable
+from turnsift.operators.durable import durable, written
 from turnsift.operators.ordered import chunk_of_time, with_position
-from turnsift.operators.vectors import (
-    BLOCK_ROWS,
-    BLOCKS_PER_LINEAGE,
-    blocks,
-    climb,
-    climb_all,
-    highest_similarity,
-    nearest,
-    similar_links,
-)
+from turnsift.operators.tiles import REF_GROUP, ROW_GROUP, best_of, compare, first_of
+from turnsift.operators.vectors import similar_links
 
 _STEPS = "array<struct<ref:string,cos:double>>"
 #: Hexadecimal digits of an id.
 ID_LENGTH = 64
 
 
+def _ranked(fingerprints: DataFrame) -> DataFrame:
+    """Stored fingerprints as references: more hits first, then the smaller id."""
+    fewer = F.lpad((F.lit(10**18) - F.col("hit_count")).cast("string"), 19, "0")
+    return fingerprints.select(
+        F.col("fingerprint_id").alias("ref"), F.concat(fewer, F.col("fingerprint_id")).alias("rank"), "vector"
+    )
+
+
+def _snippet_key(snippet: str) -> Column:
+    return F.sha2(F.coalesce(snippet, F.lit("")), 256)
+
+
 def nearest_fingerprints(
     signals: DataFrame, fingerprints: DataFrame, cfg: ScanConfig = ScanConfig()
 ) -> DataFrame:
-    """Best stored fingerprint of every signal with cosine >= the similarity, else null."""
-    embedded = signals.withColumn("_vector", gram_embedding("evidence_snippet"))
-    return nearest(embedded, fingerprints, "_vector", cfg.similarity).drop("_vector")
+    """Best stored fingerprint of every signal with cosine >= the similarity, else null.
+
+    Adds nearest_id and nearest_cos. Equal cosines go to the fingerprint with more hits, then to
+    the smaller id. Equal snippets are compared once; ``signals`` is read twice.
+    """
+    snippets = written(
+        signals.filter("evidence_snippet IS NOT NULL").select("evidence_snippet").distinct()
+        .select(_snippet_key("evidence_snippet").alias("id"), gram_embedding("evidence_snippet").alias("vector")),
+        "nearest-snippets",
+    )
+    refs = _ranked(fingerprints).filter("vector IS NOT NULL")
+    best = best_of(compare(snippets, refs, cfg.similarity, "best")).select(
+        F.col("id").alias("_key"), F.col("ref").alias("nearest_id"), F.col("cos").alias("nearest_cos")
+    )
+    keyed = signals.withColumn("_key", F.when(F.col("evidence_snippet").isNotNull(), _snippet_key("evidence_snippet")))
+    return keyed.join(written(best, "nearest-best"), "_key", "left").drop("_key")
 
 
-def _new_leaders(rows: list, at_least: float) -> list[int]:
-    """Greedy pass in time order: a row leads unless an earlier leader is similar."""
-    vectors = np.array([row["vector"] for row in rows], float)
-    chosen: list[int] = []
-    for i in range(len(rows)):
-        if not chosen or (vectors[chosen] @ vectors[i]).max() < at_least:
-            chosen.append(i)
-    return chosen
+def _leaders(snippets: DataFrame, at_least: float, groups: dict) -> DataFrame:
+    """The snippets (id, vector) a pass in id order would make leaders: a snippet leads unless an
+    earlier leader is similar.
+
+    In every round the undecided snippets without an earlier undecided similar one lead, and what
+    they cover is decided too. The earliest undecided snippet always leads, and a dense group
+    is decided in one round, so the rounds follow the longest chain of snippets that decide each
+    other, not their number.
+    """
+    open_, chosen = snippets.select("id", "vector"), None
+    while not open_.isEmpty():
+        refs = open_.select(F.col("id").alias("ref"), F.col("id").alias("rank"), "vector")
+        first = first_of(compare(open_, refs, at_least, "first", **groups))
+        later = first.filter("rank < id").select("id")
+        fresh = written(open_.join(later, "id", "left_anti").select("id", "vector"), "leaders")
+        chosen = fresh if chosen is None else chosen.unionByName(fresh)
+        refs = fresh.select(F.col("id").alias("ref"), F.col("id").alias("rank"), "vector")
+        rest = open_.join(fresh.select("id"), "id", "left_anti").select("id", "vector")
+        covered = compare(rest, refs, at_least, "first", **groups).select("id").distinct()
+        open_ = written(rest.join(covered, "id", "left_anti").select("id", "vector"), "leaders-open")
+    return snippets.limit(0) if chosen is None else chosen
 
 
 def assign_fingerprints(
     signals: DataFrame,
     fingerprints: DataFrame | None = None,
     cfg: ScanConfig = ScanConfig(),
-    block_rows: int = BLOCK_ROWS,
+    row_group: int = ROW_GROUP,
+    ref_group: int = REF_GROUP,
 ) -> DataFrame:
     """Fingerprint of every signal as if the signals had arrived one by one.
 
@@ -59,49 +89,48 @@ def assign_fingerprints(
     (cosine >= similarity) or founds a new one. Adds fingerprint_id, matched and
     match_cos.
 
-    Equal snippets are embedded once. New leaders are found in rounds: the earliest
-    ``block_rows`` snippets that no leader covers yet are settled among themselves, then
-    all snippets they cover drop out in one pass without a shuffle. Equal cosines go to
-    the older fingerprint.
+    Equal snippets are embedded and compared once, all comparisons are tiles spread over the
+    cluster. A snippet keeps every new leader that beats those before it; leaders are not similar
+    to each other, which bounds how many one snippet can be similar to. Equal cosines go to
+    the older new fingerprint, and among stored ones to the one with more hits.
     """
+    groups = {"row_group": row_group, "ref_group": ref_group}
     signals = signals.withColumn("evidence_snippet", F.coalesce("evidence_snippet", F.lit("")))
     arrival = F.concat(_stamp(F.col("ts")), F.col("signal_id"))
-    snippets = durable(
+    snippets = written(
         signals.groupBy(F.col("evidence_snippet").alias("snippet"))
-        .agg(F.min(arrival).alias("first"))
+        .agg(F.min(arrival).alias("id"))
         .withColumn("vector", gram_embedding("snippet"))
+        .withColumn("key", _snippet_key("snippet")).drop("snippet"),
+        "assign-snippets",
     )
-    climbed = snippets.withColumn("steps", F.array().cast(_STEPS))
+    start = snippets.select("id", "key").withColumn("steps", F.array().cast(_STEPS))
+    open_ = snippets.select("id", "vector")
     if fingerprints is not None:
-        stored = fingerprints.select(
-            (-F.col("hit_count")).alias("_hits"),
-            F.concat(F.lit("0"), F.col("fingerprint_id")).alias("ref"),
-            "vector",
+        stored = best_of(compare(open_, _ranked(fingerprints), cfg.similarity, "best", **groups))
+        stored = written(stored, "assign-stored")
+        open_ = open_.join(stored, "id", "left_anti").select("id", "vector")
+        old = F.struct(F.concat(F.lit("0"), "ref").alias("ref"), F.col("cos"))
+        start = snippets.select("id", "key").join(stored, "id", "left").select(
+            "id", "key", F.when(F.col("ref").isNotNull(), F.array(old)).otherwise(F.array().cast(_STEPS)).alias("steps")
         )
-        source = blocks(stored, ["_hits", "ref"], ["vector"], block_rows)
-        climbed = durable(climb_all(climbed, source, "vector", "steps", cfg.similarity, False))
-    open_snippets = climbed.filter(F.size("steps") == 0).select("snippet", "first", "vector")
-    lineage = 0
-    while True:
-        rows = open_snippets.orderBy("first").limit(block_rows).collect()
-        if not rows:
-            break
-        leaders = [
-            {"ref": "1" + rows[i]["first"], "vector": rows[i]["vector"]}
-            for i in _new_leaders(rows, cfg.similarity)
-        ]
-        if lineage == BLOCKS_PER_LINEAGE:
-            climbed, lineage = durable(climbed), 0
-        climbed = climb(climbed, leaders, "vector", "steps", cfg.similarity, True)
-        lineage += 1
-        if len(rows) < block_rows:
-            break
-        covered = highest_similarity(open_snippets, leaders, "vector", "_best")
-        open_snippets = durable(covered.filter(F.col("_best") < cfg.similarity).drop("_best"))
-    climbed = durable(climbed.select("snippet", "steps"))
-    placed = signals.join(
-        climbed.select(F.col("snippet").alias("evidence_snippet"), "steps"), "evidence_snippet"
+    leaders = _leaders(written(open_, "assign-open"), cfg.similarity, groups)
+    refs = leaders.select(F.concat(F.lit("1"), "id").alias("ref"), F.concat(F.lit("1"), "id").alias("rank"), "vector")
+    met = compare(snippets.select("id", "vector"), refs, cfg.similarity, "climb", **groups)
+    met = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ref", "cos"))).alias("met"))
+
+    def higher(found: Column, step: Column) -> Column:
+        top = F.coalesce(F.try_element_at(found, F.lit(-1))["cos"], F.lit(-2.0))
+        return F.when(step["cos"] > top, F.concat(found, F.array(step))).otherwise(found)
+
+    steps = written(
+        start.join(met, "id", "left").select(
+            "key",
+            F.aggregate(F.coalesce("met", F.array().cast(_STEPS)), F.col("steps"), higher).alias("steps"),
+        ),
+        "assign-steps",
     )
+    placed = signals.withColumn("key", _snippet_key("evidence_snippet")).join(steps, "key").drop("key")
     now = F.concat(F.lit("1"), _stamp(F.col("ts")), F.col("signal_id"))
     earlier = F.filter("steps", lambda step: step["ref"] < now)
     best = F.coalesce(F.try_element_at(earlier, F.lit(-1)), F.get("steps", F.lit(0)))

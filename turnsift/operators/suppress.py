@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnsift.config import ScanConfig
 from turnsift.functions.grams import gram_embedding
-from turnsift.operators.durable import durable
-from turnsift.operators.vectors import BLOCKS_PER_LINEAGE, blocks, highest_similarity
+from turnsift.operators.durable import written
+from turnsift.operators.tiles import compare
 
 
 def _with_approval(
@@ -15,19 +15,27 @@ def _with_approval(
 ) -> DataFrame:
     """Add _approved: the text of an in-band row matches an approved fingerprint.
 
-    Only rows inside the band are embedded. ``approved`` has fingerprint_id and vector.
+    Only distinct texts inside the band are embedded and compared. ``approved`` has
+    fingerprint_id and vector. ``df`` is read twice.
     """
-    rest = df.withColumn("_vector", gram_embedding(F.when(in_band, F.col(text))))
-    rest = rest.withColumn("_approved", F.lit(False))
-    pending = 0
-    for block in blocks(approved, ["fingerprint_id"], ["vector"]):
-        if pending == BLOCKS_PER_LINEAGE:
-            rest, pending = durable(rest), 0
-        rest = highest_similarity(rest, block, "_vector", "_best")
-        similar = F.col("_best").isNotNull() & ~F.isnan("_best") & (F.col("_best") >= cfg.similarity)
-        rest = rest.withColumn("_approved", F.col("_approved") | similar).drop("_best")
-        pending += 1
-    return rest.drop("_vector")
+    inside = F.coalesce(in_band, F.lit(False)) & F.col(text).isNotNull()
+    texts = written(
+        df.filter(inside).select(F.col(text).alias("text")).distinct()
+        .select(F.sha2("text", 256).alias("id"), gram_embedding("text").alias("vector")),
+        "band-texts",
+    )
+    refs = approved.select(F.col("fingerprint_id").alias("ref"), F.col("fingerprint_id").alias("rank"), "vector")
+    alike = written(
+        compare(texts, refs, cfg.similarity, "first").select(F.col("id").alias("_key")).distinct()
+        .withColumn("_approved", F.lit(True)),
+        "band-approved",
+    )
+    # Rows outside the band get keys that match nothing but spread over the partitions.
+    key = F.when(inside, F.sha2(text, 256)).otherwise(F.concat(F.lit("-"), F.xxhash64(text).cast("string")))
+    return (
+        df.withColumn("_key", key).join(alike, "_key", "left")
+        .withColumn("_approved", F.coalesce("_approved", F.lit(False))).drop("_key")
+    )
 
 
 def drop_false_alarms(

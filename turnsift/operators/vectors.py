@@ -1,14 +1,7 @@
-"""Comparing rows with blocks of reference vectors.
-
-References are read block by block; one block has a fixed number of rows, so what is
-broadcast never grows with the data. Any number of blocks gives the exact result.
-"""
+"""Links between similar vectors, without comparing what cannot be similar."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -16,98 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from turnsift.operators.durable import durable
 
 BLOCK_ROWS = 2_048
-BLOCKS_PER_LINEAGE = 16
 MAX_PIVOTS = 1_024
 
 
-def blocks(
-    references: DataFrame, order: list, columns: list[str], size: int = BLOCK_ROWS
-) -> Iterator[list]:
-    """Rows of ``references`` in order, at most ``size`` of them at a time.
-
-    The table is sorted once; the driver pulls one sorted partition after the other and
-    holds one block.
-    """
-    rows = references.select(*columns, *order).orderBy(*order).toLocalIterator()
-    while block := list(islice(rows, size)):
-        yield block
-
-
-def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    present = vectors.notna().to_numpy()
-    kept = vectors[present]
-    if len(kept) == 0:
-        return present, np.zeros((0, 0))
-    return present, np.stack(kept.to_numpy()).astype(float)
-
-
-def highest_similarity(df: DataFrame, block: list, vector: str, out: str) -> DataFrame:
-    """Add the highest cosine between each row's vector and a block (null without vector)."""
-    shared = df.sparkSession.sparkContext.broadcast(np.array([r["vector"] for r in block], float))
-
-    @F.pandas_udf("double")
-    def best(vectors: pd.Series) -> pd.Series:
-        present, left = _matrix(vectors)
-        result = np.full(len(vectors), np.nan)
-        if len(left):
-            result[present] = (left @ shared.value.T).max(axis=1).clip(-1.0, 1.0)
-        return pd.Series(result)
-
-    return df.withColumn(out, best(F.col(vector)))
-
-
-def climb(
-    df: DataFrame, block: list, vector: str, steps: str, at_least: float, ordered: bool
-) -> DataFrame:
-    """Extend each row's list of ever better matches by the references of one block.
-
-    ``steps`` is an array of (ref string, cos double). With ``ordered`` every reference that
-    beats all references before it is appended; without, the best one replaces the list.
-    """
-    context = df.sparkSession.sparkContext
-    shared = context.broadcast(
-        ([r["ref"] for r in block], np.array([r["vector"] for r in block], float))
-    )
-
-    @F.pandas_udf("array<struct<ref:string,cos:double>>")
-    def extend(vectors: pd.Series, current: pd.Series) -> pd.Series:
-        refs, right = shared.value
-        present, left = _matrix(vectors)
-        scores = iter((left @ right.T).clip(-1.0, 1.0) if len(left) else ())
-        result = []
-        for has_vector, old in zip(present, current):
-            found = [] if old is None else [{"ref": s["ref"], "cos": s["cos"]} for s in old]
-            if has_vector:
-                row = next(scores)
-                top = found[-1]["cos"] if found else -np.inf
-                if ordered:
-                    peaks = np.maximum.accumulate(np.concatenate(([top], row)))
-                    better = np.flatnonzero((row > peaks[:-1]) & (row >= at_least))
-                else:
-                    best = int(row.argmax())
-                    better = [best] if row[best] > top and row[best] >= at_least else []
-                    found = [] if len(better) else found
-                found += [{"ref": refs[i], "cos": float(row[i])} for i in better]
-            result.append(found)
-        return pd.Series(result)
-
-    return df.withColumn(steps, extend(F.col(vector), F.col(steps)))
-
-
-def climb_all(
-    df: DataFrame, block_source: Iterator[list], vector: str, steps: str,
-    at_least: float, ordered: bool,
-) -> DataFrame:
-    """Run every block over the rows, cutting the lineage after a fixed number of them."""
-    pending = 0
-    for block in block_source:
-        if pending == BLOCKS_PER_LINEAGE:
-            df, pending = durable(df), 0
-        df = climb(df, block, vector, steps, at_least, ordered)
-        pending += 1
-    return df
-
-
 def similar_links(
     vectors: DataFrame,
     at_least: float,
@@ -259,23 +163,3 @@ def _forest(at_least: float):
 
     return forest
 
-
-def nearest(
-    df: DataFrame, references: DataFrame, vector: str, at_least: float, size: int = BLOCK_ROWS
-) -> DataFrame:
-    """Add ``nearest_id`` and ``nearest_cos``: the best reference with cosine >= at_least.
-
-    Equal cosines go to the reference with more hits, then the smaller id.
-    """
-    ranked = references.select(
-        (-F.col("hit_count")).alias("_hits"), F.col("fingerprint_id").alias("ref"), "vector"
-    )
-    source = blocks(ranked, ["_hits", "ref"], ["vector"], size)
-    start = df.withColumn("_steps", F.array().cast("array<struct<ref:string,cos:double>>"))
-    matched = climb_all(start, source, vector, "_steps", at_least, ordered=False)
-    top = F.get("_steps", F.lit(0))
-    return (
-        matched.withColumn("nearest_id", top["ref"])
-        .withColumn("nearest_cos", top["cos"])
-        .drop("_steps")
-    )
