@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from turnsift.plans import (
     behavior_reports,
+    classified,
     detection,
     evaluation,
     fingerprinting,
@@ -14,6 +15,7 @@ from turnsift.plans import (
 
 _MODULES = (
     detection,
+    classified,
     session_tables,
     behavior_reports,
     fingerprinting,
