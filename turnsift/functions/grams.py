@@ -18,33 +18,56 @@ SPREAD = 2_654_435
 MASK = 0xFFFFFFFF
 
 
-def gram_vector(text: str) -> np.ndarray:
-    padded = f" {text.lower()} ".encode("utf-32-le", "surrogatepass")
-    codes = np.frombuffer(padded, dtype=np.uint32).astype(np.uint64)
+#: Characters counted at once; bounds the arrays of a batch of long texts.
+SLICE_CHARS = 1 << 20
+
+
+def _counts(padded: list[str]) -> np.ndarray:
+    """Gram counts of padded texts, one row each, from a single code point buffer."""
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(padded)), [len(text) for text in padded])
     pairs = codes[:-1] * STEP + codes[1:]
     triples = pairs[:-1] * STEP + codes[2:]
-    keys = np.concatenate((pairs, triples)) & MASK
-    buckets = ((keys * SPREAD) & MASK) >> 24
-    counts = np.bincount(buckets.astype(np.int64), minlength=DIMENSIONS).astype(float)
-    norm = np.sqrt(counts @ counts)
-    return counts / (norm or 1.0)
+    keys = np.concatenate((pairs[row[:-1] == row[1:]], triples[row[:-2] == row[2:]])) & MASK
+    owner = np.concatenate((row[:-1][row[:-1] == row[1:]], row[:-2][row[:-2] == row[2:]]))
+    buckets = (((keys * SPREAD) & MASK) >> 24).astype(np.int64)
+    return np.bincount(owner * DIMENSIONS + buckets, minlength=len(padded) * DIMENSIONS).reshape(-1, DIMENSIONS)
+
+
+def gram_matrix(texts: list[str]) -> np.ndarray:
+    """Unit gram vectors, one row per text."""
+    out = np.zeros((len(texts), DIMENSIONS))
+    start, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        lowered = f" {text.lower()} "
+        held.append(lowered)
+        size += len(lowered)
+        if size >= SLICE_CHARS or i == len(texts) - 1:
+            out[start : i + 1] = _counts(held)
+            start, held, size = i + 1, [], 0
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm == 0, 1.0, norm)
+
+
+def gram_vector(text: str) -> np.ndarray:
+    return gram_matrix([text])[0]
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def gram_embedding(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: None if text is None else gram_vector(text))
+    present = texts.notna().to_numpy()
+    vectors = iter(gram_matrix(texts[present].tolist()))
+    return pd.Series([next(vectors) if there else None for there in present], dtype=object)
 
 
 @F.pandas_udf(DoubleType())
 def text_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Cosine of the gram vectors of two texts."""
-    return pd.Series(
-        [
-            None if a is None or b is None else float(gram_vector(a) @ gram_vector(b))
-            for a, b in zip(left, right)
-        ],
-        dtype="float64",
-    )
+    present = (left.notna() & right.notna()).to_numpy()
+    out = np.full(len(left), np.nan)
+    a, b = gram_matrix(left[present].tolist()), gram_matrix(right[present].tolist())
+    out[present] = (a * b).sum(axis=1)
+    return pd.Series(out).astype(object).where(present, None).astype("Float64")
 
 
 def dot(a: Column, b: Column) -> Column:

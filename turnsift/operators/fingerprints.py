@@ -233,6 +233,23 @@ def upsert_fingerprints(stored: DataFrame, assigned: DataFrame) -> DataFrame:
     )
 
 
+def merge_deltas(rows: DataFrame, batch: str) -> DataFrame:
+    """One row per fingerprint from a full table and the deltas of later batches: hits add up,
+    the first batch keeps snippet and vector, a name or an approval stays."""
+    def first(name: str) -> Column:
+        return F.min_by(name, batch).alias(name)
+
+    return rows.groupBy("fingerprint_id").agg(
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.sum("hit_count").alias("hit_count"),
+        first("representative_snippet"),
+        first("vector"),
+        F.max_by("campaign_name", F.when(F.col("campaign_name").isNotNull(), F.col(batch))).alias("campaign_name"),
+        F.bool_or("approved").alias("approved"),
+    )
+
+
 def session_links(assigned: DataFrame) -> DataFrame:
     """Which sessions a fingerprint was seen in, and since when."""
     return assigned.groupBy("fingerprint_id", "session_id").agg(F.min("ts").alias("first_seen"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from turnsift.config import ScanConfig
 from turnsift.operators import fingerprints as fp
+from turnsift.operators.durable import written
 
 Handler = Callable[[Row], None]
 ALERT_COLUMNS = (
@@ -41,15 +43,29 @@ def stop_on_signal(alert: Row) -> None:
 @dataclass
 class SignalSink:
     """``foreachBatch`` target. Every table is written per batch id with overwrite, so a
-    batch that runs twice leaves the same result."""
+    batch that runs twice leaves the same result.
+
+    Fingerprints are kept as deltas: a batch writes only the fingerprints it touched, and every
+    ``compact_every`` batches the deltas are merged into a new full table. A batch reads the last
+    full table and the deltas since, all of earlier batches, so a repeated batch sees what it saw.
+
+    ``handlers`` are called one alert at a time on the driver, in order; they can stop the
+    stream. ``partition_handlers`` get an iterator of alerts on the executors and scale with the
+    alerts; a batch that runs twice calls them twice.
+    """
 
     folder: str
     cfg: ScanConfig = field(default_factory=ScanConfig)
     handlers: list[Handler] = field(default_factory=list)
+    partition_handlers: list[Callable[[Iterator[Row]], None]] = field(default_factory=list)
+    compact_every: int = 16
 
     def on_signal(self, handler: Handler) -> None:
         self.handlers.append(handler)
 
+    def on_partition(self, handler: Callable[[Iterator[Row]], None]) -> None:
+        self.partition_handlers.append(handler)
+
     def path(self, table: str, batch_id: int | None = None) -> str:
         base = f"{self.folder}/{table}"
         return base if batch_id is None else f"{base}/batch_id={batch_id}"
@@ -68,26 +84,43 @@ class SignalSink:
         enriched.write.mode("overwrite").parquet(self.path("alerts", batch_id))
         self._fire(spark.read.parquet(self.path("alerts", batch_id)))
 
+    def fingerprints(self, spark: SparkSession, batches: int) -> DataFrame | None:
+        """The fingerprints after the first ``batches`` batches."""
+        full = batches // self.compact_every * self.compact_every - 1
+        tables = []
+        if full >= 0:
+            tables.append(spark.read.parquet(self.path("fingerprints", full)).withColumn("_batch", F.lit(-1)))
+        for number in range(full + 1, batches):
+            delta = spark.read.parquet(self.path("fingerprint_deltas", number))
+            tables.append(delta.withColumn("_batch", F.lit(number)))
+        if not tables:
+            return None
+        return fp.merge_deltas(reduce(DataFrame.unionByName, tables), "_batch")
+
     def _campaigns(self, signals: DataFrame, batch_id: int) -> DataFrame:
-        """Assign fingerprints and write the next version of their table."""
+        """Assign fingerprints and write what this batch adds to their table."""
         spark = signals.sparkSession
-        stored = None
-        if batch_id > 0:
-            stored = spark.read.parquet(self.path("fingerprints", batch_id - 1))
+        stored = self.fingerprints(spark, batch_id)
+        if stored is not None:
+            stored = written(stored, "stored-fingerprints")
         assigned = fp.assign_fingerprints(signals, stored, self.cfg)
         assigned.write.mode("overwrite").parquet(self.path("assigned", batch_id))
         assigned = spark.read.parquet(self.path("assigned", batch_id))
         links = fp.session_links(assigned)
         links.write.mode("overwrite").parquet(self.path("links", batch_id))
-        made = (
-            fp.new_fingerprints(assigned)
-            if stored is None
-            else fp.upsert_fingerprints(stored, assigned)
-        )
-        made.write.mode("overwrite").parquet(self.path("fingerprints", batch_id))
+        delta = fp.new_fingerprints(assigned)
+        delta.write.mode("overwrite").parquet(self.path("fingerprint_deltas", batch_id))
+        if (batch_id + 1) % self.compact_every == 0:
+            tables = [spark.read.parquet(self.path("fingerprint_deltas", batch_id)).withColumn("_batch", F.lit(1))]
+            if stored is not None:
+                tables.append(stored.withColumn("_batch", F.lit(0)))
+            merged = fp.merge_deltas(reduce(DataFrame.unionByName, tables), "_batch")
+            merged.write.mode("overwrite").parquet(self.path("fingerprints", batch_id))
         return fp.with_campaign_match(assigned, stored)
 
     def _fire(self, alerts: DataFrame) -> None:
+        for run in self.partition_handlers:
+            alerts.foreachPartition(run)
         handlers = [*self.handlers, *_everywhere]
         if not handlers:
             return
