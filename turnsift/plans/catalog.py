@@ -10,6 +10,7 @@ from turnsift.plans import (
     fingerprinting,
     ingest,
     session_tables,
+    settings,
     streams,
 )
 
@@ -21,6 +22,7 @@ _MODULES = (
     fingerprinting,
     evaluation,
     ingest,
+    settings,
     streams,
 )
 
