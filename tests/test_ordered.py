@@ -47,6 +47,23 @@ def test_chunks_do_not_change_results(spark, rows, width):
     assert found == dict(brute(rows))
 
 
+@pytest.mark.parametrize("width", [1, 2, 7, 64, 10_000])
+@pytest.mark.parametrize("size", [1, 2, 3, 5])
+def test_last_rows(spark, rows, width, size):
+    """Chunks with fewer rows than the window, gaps between chunks, and a null key."""
+    rows = [r for r in rows if r[0] != "hot" or r[1] < 60] + [(None, t, t) for t in (0, 1, 40, 41, 900)]
+    df = spark.createDataFrame(rows, "session_id string, turn int, value int").repartition(3)
+    got = ordered.with_last_rows(df, ["session_id"], ["turn"], ordered.chunk_of(F.col("turn"), width), ["turn", "value"], size)
+    assert got.columns == [*df.columns, "last_rows"]
+    found = {(r["session_id"], r["turn"]): [tuple(x) for x in r["last_rows"]] for r in got.collect()}
+    want = {}
+    for session in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == session)
+        for n, row in enumerate(own):
+            want[session, row[0]] = own[max(0, n - size + 1) : n + 1]
+    assert found == want
+
+
 def test_overlapping_chunks_cover_the_window(spark):
     df = spark.range(50).withColumn("k", F.lit("x"))
     spread = ordered.in_overlapping_chunks(df, "id", 2, 5)

@@ -1,5 +1,7 @@
 """Every registered query against its SQL, and what its plan must not contain."""
 
+import re
+
 import pytest
 
 from compare import compare, duck
@@ -36,7 +38,28 @@ def test_plan_has_no_pairwise_join_or_row_udf(spark, name):
 def test_scan_reads_only_needed_columns(spark):
     plan = ENTRIES["mixed_script"][0](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
-    assert "PushedFilters: [IsNotNull(" in plan or "PushedFilters" in plan
+
+
+def test_document_scan_moves_nothing(spark):
+    plan = ENTRIES["doc_scan"][0](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_windows_move_texts_once(spark):
+    """One hash exchange carries texts; a second branch may read the same one again."""
+    plan = ENTRIES["window_signals"][0](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    texts = set(re.findall(r"Exchange hashpartitioning\(_key#\d+, _chunk#\d+L?, \d+\)", plan))
+    assert len(texts) >= 1 and "RoundRobin" not in plan
+    assert plan.count("rangepartitioning") == 0
+
+
+BATCH = [n for n in ENTRIES if not n.startswith("stream_")]
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_no_pairwise_joins(spark, name):
+    plan = ENTRIES[name][0](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not [word for word in ("CartesianProduct", "BroadcastNestedLoopJoin") if word in plan]
 
 
 def test_entry_module():

@@ -14,12 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 CHUNK_ROWS = 10_000
 
 
-def _back(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join the per-chunk rows back; a null key is a key like any other."""
-    names = [*keys, "_chunk"]
-    renamed = small.withColumnsRenamed({name: f"_own_{i}" for i, name in enumerate(names)})
-    same = [F.col(name).eqNullSafe(F.col(f"_own_{i}")) for i, name in enumerate(names)]
-    return rows.join(renamed, same).drop(*[f"_own_{i}" for i in range(len(names))])
+def _marked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Add _key and _chunk. The struct of the keys is never null itself, so rows whose key is null
+    join like any other, and windows and joins on it share one partitioning."""
+    return df.withColumn("_key", F.struct(*keys)).withColumn("_chunk", chunk)
 
 
 def chunk_of(number: Column, width: int = CHUNK_ROWS) -> Column:
@@ -42,21 +40,21 @@ def with_position(
 
     ``order`` must be a total order inside a key and ``chunk`` must not decrease along it.
     """
-    keys = list(keys)
-    marked = df.withColumn("_chunk", chunk)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
+    marked = _marked(df, keys, chunk)
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        marked.groupBy(*keys, "_chunk")
+        marked.groupBy("_key", "_chunk")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+        .select("_key", "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    inside = Window.partitionBy("_key", "_chunk").orderBy(*order)
     return (
-        _back(marked.withColumn("_within", F.row_number().over(inside) - 1), offsets, keys)
+        marked.withColumn("_within", F.row_number().over(inside) - 1)
+        .join(offsets, ["_key", "_chunk"])
         .withColumn(out, (F.col("_base") + F.col("_within")).cast("long"))
-        .drop("_chunk", "_within", "_base")
+        .drop("_key", "_chunk", "_within", "_base")
     )
 
 
@@ -69,19 +67,19 @@ def with_previous(
     out: str = "previous",
 ) -> DataFrame:
     """Add a struct with ``columns`` of the row before in the same key (null for the first)."""
-    keys = list(keys)
-    marked = df.withColumn("_chunk", chunk).withColumn("_seen", F.struct(*columns))
-    chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    marked = _marked(df, keys, chunk).withColumn("_seen", F.struct(*columns))
+    chunks = Window.partitionBy("_key").orderBy("_chunk")
     tails = (
-        marked.groupBy(*keys, "_chunk")
+        marked.groupBy("_key", "_chunk")
         .agg(F.max_by("_seen", F.struct(*order)).alias("_tail"))
-        .select(*keys, "_chunk", F.lag("_tail").over(chunks).alias("_carried"))
+        .select("_key", "_chunk", F.lag("_tail").over(chunks).alias("_carried"))
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    inside = Window.partitionBy("_key", "_chunk").orderBy(*order)
     return (
-        _back(marked.withColumn("_near", F.lag("_seen").over(inside)), tails, keys)
+        marked.withColumn("_near", F.lag("_seen").over(inside))
+        .join(tails, ["_key", "_chunk"])
         .withColumn(out, F.coalesce("_near", "_carried"))
-        .drop("_chunk", "_seen", "_near", "_carried")
+        .drop("_key", "_chunk", "_seen", "_near", "_carried")
     )
 
 
@@ -97,32 +95,31 @@ def with_running(
     ``aggregates`` maps an output name to (function, column), where the function also
     combines its own results: F.sum, F.max or F.min.
     """
-    keys = list(keys)
-    marked = df.withColumn("_chunk", chunk)
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
+    marked = _marked(df, keys, chunk)
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
     inside = (
-        Window.partitionBy(*keys, "_chunk")
+        Window.partitionBy("_key", "_chunk")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     names = list(aggregates)
-    totals = marked.groupBy(*keys, "_chunk").agg(
+    totals = marked.groupBy("_key", "_chunk").agg(
         *[fn(column).alias(f"_t_{name}") for name, (fn, column) in aggregates.items()]
     )
     carried = totals.select(
-        *keys,
+        "_key",
         "_chunk",
         *[aggregates[n][0](f"_t_{n}").over(before).alias(f"_c_{n}") for n in names],
     )
     local = marked.select(
         "*", *[fn(column).over(inside).alias(f"_l_{n}") for n, (fn, column) in aggregates.items()]
     )
-    joined = _back(local, carried, keys)
+    joined = local.join(carried, ["_key", "_chunk"])
     merged = {n: _combine(aggregates[n][0], F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n in names}
     return joined.withColumns(merged).drop(
-        "_chunk", *[f"_c_{n}" for n in names], *[f"_l_{n}" for n in names]
+        "_key", "_chunk", *[f"_c_{n}" for n in names], *[f"_l_{n}" for n in names]
     )
 
 
@@ -136,6 +133,53 @@ def _combine(fn, carried: Column, local: Column) -> Column:
     raise ValueError("running aggregates combine only sum, max and min")
 
 
+def with_last_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    columns: Sequence[str],
+    size: int,
+    out: str = "last_rows",
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Add an array of structs of ``columns``: the last ``size`` rows up to the current one.
+
+    The rows are shuffled once, by (key, chunk). Only keys with several chunks hand the last
+    size - 1 rows of each chunk on to the next ones; both branches read the same shuffle.
+    ``source`` is any table with the same keys and chunks that is cheaper to read than ``df``.
+    """
+    marked = _marked(df, keys, chunk).withColumn("_seen", F.struct(*columns))
+    inside = Window.partitionBy("_key", "_chunk").orderBy(*order)
+    local = marked.withColumns(
+        {
+            "_n": F.row_number().over(inside),
+            "_near": F.collect_list("_seen").over(inside.rowsBetween(-(size - 1), 0)),
+            "_ahead": F.lead(F.lit(True), size - 1).over(inside) if size > 1 else F.lit(True),
+        }
+    )
+    if size < 2:
+        return local.withColumn(out, F.col("_near")).drop("_key", "_chunk", "_seen", "_n", "_near", "_ahead")
+    chunks = (df if source is None else source).select(F.struct(*keys).alias("_key"), chunk.alias("_chunk"))
+    several = chunks.groupBy("_key").agg((F.min("_chunk") < F.max("_chunk")).alias("_several")).filter("_several")
+    whole = F.struct("_n", *df.columns, "_seen")  # all columns, so that both branches share the shuffle
+    tails = (
+        local.filter(F.col("_ahead").isNull())
+        .groupBy("_key", "_chunk").agg(F.sort_array(F.collect_list(whole)).alias("_tail"))
+        .select("_key", "_chunk", F.transform("_tail", lambda r: r["_seen"]).alias("_tail"))
+        .join(several.select("_key"), "_key", "left_semi")
+    )
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(-(size - 1), -1)
+    earlier = F.flatten(F.collect_list("_tail").over(before))
+    carried = tails.select("_key", "_chunk", F.slice(F.reverse(earlier), 1, size - 1).alias("_carried"))
+    joined = local.join(carried, ["_key", "_chunk"], "left")
+    back = F.reverse(F.slice("_carried", 1, F.greatest(F.lit(0), F.lit(size) - F.col("_n"))))
+    complete = F.when(F.col("_carried").isNotNull() & (F.col("_n") < size), F.concat(back, "_near"))
+    return joined.withColumn(out, F.coalesce(complete, "_near")).drop(
+        "_key", "_chunk", "_seen", "_n", "_near", "_ahead", "_carried"
+    )
+
+
 def in_overlapping_chunks(
     df: DataFrame, position: str, before: int, width: int = CHUNK_ROWS
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from turnsift.functions import rules as R
 from turnsift.functions import text as X
 from turnsift.functions.rules import RULES, Rule
 from turnsift.operators.detect import Scorer, with_own_sources, with_scan
-from turnsift.operators.ordered import CHUNK_ROWS, chunk_of, in_overlapping_chunks, with_position
+from turnsift.operators.ordered import CHUNK_ROWS, chunk_of, with_last_rows
 from turnsift.operators.suppress import unflag_false_alarms
 
 TURN_JOIN = "\n\n---\n\n"
@@ -27,22 +27,18 @@ def turn_windows(
 
     ``turns`` has one row per stored turn: session_id, turn_index, ext_texts
     array<string>, sources array<string>; other columns are kept. Long sessions are
-    spread over chunks that overlap by size - 1 turns.
+    cut into chunks that hand on their last size - 1 turns.
     """
-    placed = with_position(turns, ["session_id"], order, chunk_of(F.col("turn_index"), chunk_rows))
-    spread = in_overlapping_chunks(placed, "pos", size - 1, chunk_rows)
-    last = Window.partitionBy("session_id", "_chunk").orderBy("pos").rowsBetween(-(size - 1), 0)
-    return (
-        spread.withColumns(
-            {
-                "window_texts": F.flatten(F.collect_list("ext_texts").over(last)),
-                "window_sources": F.flatten(F.collect_list("sources").over(last)),
-                "window_size": F.count(F.lit(1)).over(last),
-            }
-        )
-        .filter("_home")
-        .drop("_chunk", "_home")
+    last = with_last_rows(
+        turns, ["session_id"], order, chunk_of(F.col("turn_index"), chunk_rows), ["ext_texts", "sources"], size, "_last"
     )
+    return last.withColumns(
+        {
+            "window_texts": F.flatten(F.array_compact(F.transform("_last", lambda r: r["ext_texts"]))),
+            "window_sources": F.flatten(F.array_compact(F.transform("_last", lambda r: r["sources"]))),
+            "window_size": F.size("_last").cast("long"),
+        }
+    ).drop("_last")
 
 
 def window_signals(
@@ -104,8 +100,8 @@ def flat_signals(
 ) -> DataFrame:
     """Message and window signals of a log with one message per turn, in one pass.
 
-    Every message is scanned once; the turns then meet their window in a single shuffle,
-    and only the turns without a signal of their own are scanned again as a block.
+    Every message is scanned where it is read; the turns then meet their window in one shuffle of
+    texts (see ``with_last_rows``), and only the turns without a signal of their own are scanned again as a block.
     ``messages``: session_id, turn_index, role, content.
     """
     slim = with_own_sources(messages).select(
@@ -117,33 +113,25 @@ def flat_signals(
         ).alias("own_text"),
         "sources",
     )
-    placed = with_position(
-        slim, ["session_id"], ["turn_index"], chunk_of(F.col("turn_index"), chunk_rows)
-    )
-    own = with_scan(placed, "own_text", cfg, rules, scorer)
+    own = with_scan(slim, "own_text", cfg, rules, scorer)
     own = own.withColumn("flagged", own["own_text"].isNotNull() & (F.col("score") >= cfg.threshold))
     if approved is not None:
         own = unflag_false_alarms(own, "own_text", approved, cfg)
     own = own.select(
-        "session_id", "turn_index", "pos", "own_text", "sources", "flagged",
+        "session_id", "turn_index", "own_text", "sources", "flagged",
         F.col("rule_mask").alias("own_mask"), F.col("score").alias("own_score"),
     )
-    size = cfg.window_turns
-    if size >= 2:
-        spread = in_overlapping_chunks(own, "pos", size - 1, chunk_rows)
-        last = Window.partitionBy("session_id", "_chunk").orderBy("pos").rowsBetween(-(size - 1), 0)
-        texts = F.collect_list("own_text").over(last)
-        seen = spread.withColumns(
-            {
-                "_texts": texts,
-                "_sources": F.flatten(F.collect_list("sources").over(last)),
-                "_size": F.count(F.lit(1)).over(last),
-            }
-        ).filter("_home")
-    else:
-        seen = own.withColumns(
-            {"_texts": F.array().cast("array<string>"), "_sources": F.col("sources"), "_size": F.lit(1)}
-        )
+    last = with_last_rows(
+        own, ["session_id"], ["turn_index"], chunk_of(F.col("turn_index"), chunk_rows),
+        ["own_text", "sources"], max(cfg.window_turns, 1), "_last", messages.select("session_id", "turn_index"),
+    )
+    seen = last.withColumns(
+        {
+            "_texts": F.array_compact(F.transform("_last", lambda r: r["own_text"])),
+            "_sources": F.flatten(F.array_compact(F.transform("_last", lambda r: r["sources"]))),
+            "_size": F.size("_last") if cfg.window_turns >= 2 else F.lit(1),
+        }
+    ).drop("_last")
     return window_or_own_signals(seen, cfg, rules, scorer)
 
 
