@@ -29,5 +29,6 @@ def test_scratch_tables_go_after_an_error(spark):
 
 def test_unset_folder_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(durable, "_named_folder", lambda spark: None)
     with pytest.raises(ValueError):
         durable.ensure_checkpoint_dir(spark)
