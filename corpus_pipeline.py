@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from turnsift.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
-from turnsift.operators.durable import own_folder_if_unset, written
+from turnsift.operators.durable import own_folder_if_unset, scratch, written
 from turnsift.shipping import ship_package
 
 
@@ -60,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs

@@ -31,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from turnsift.llm.texts import text_slices
+from turnsift.llm.texts import bounded_batches, text_slices
 
 PIECE_CHARS = 20_000
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -96,7 +96,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", rank_path: str |
                 ids = [encode_text(encoder, t, piece_chars).astype(np.int32) for t in part.column(text).to_pylist()]
                 yield _with(part, out, pa.array(ids, pa.list_(pa.int32())))
 
-    return df.mapInArrow(run, _extended(df, out, ArrayType(IntegerType())))
+    return bounded_batches(df).mapInArrow(run, _extended(df, out, ArrayType(IntegerType())))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", rank_path: str | None = None) -> DataFrame:
@@ -109,7 +109,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "bytes", rank_path: str |
             raw = [decode_ids(encoder, x or []) for x in batch.column(ids).to_pylist()]
             yield _with(batch, out, pa.array(raw, pa.binary()))
 
-    return df.mapInArrow(run, _extended(df, out, BinaryType()))
+    return bounded_batches(df).mapInArrow(run, _extended(df, out, BinaryType()))
 
 
 def token_digests(docs: DataFrame, rank_path: str | None = None, piece_chars: int = PIECE_CHARS) -> DataFrame:
@@ -132,7 +132,7 @@ def token_digests(docs: DataFrame, rank_path: str | None = None, piece_chars: in
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
 
@@ -158,7 +158,7 @@ def round_trip(docs: DataFrame, rank_path: str | None = None, piece_chars: int =
                     ["doc_id", "lang", "source", "n_tokens", "ids", "intact"],
                 )
 
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(
+    return bounded_batches(docs).select("doc_id", "lang", "source", "text").mapInArrow(
         run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, intact boolean"
     )
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from turnsift.llm.texts import text_slices
+from turnsift.llm.texts import bounded_batches, text_slices
 from turnsift.operators.durable import written
 
 BUCKET_BYTES = 8 << 20
@@ -238,7 +238,7 @@ def _bucket_groups(batches: Iterator[pa.RecordBatch], names) -> Iterator[pa.Reco
 def copy_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     names = ("_level", "_bucket")
-    numbered = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    numbered = bounded_batches(docs).select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
     spilled = written(
         numbered.mapInArrow(
             lambda batches: _task_groups(batches, task_bytes),
@@ -329,7 +329,7 @@ def keep_one(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, task_bytes: int
     )
     names = (level, bucket)
     with_hash = StructType([*docs.schema.fields, StructField(value, LongType())])
-    records = docs.mapInArrow(
+    records = bounded_batches(docs).mapInArrow(
         lambda batches: _winners(((False, b) for b in batches), task_bytes, "text", None, "doc_id", (), value),
         with_hash,
     )

@@ -34,7 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from turnsift.llm.texts import text_slices
+from turnsift.llm.texts import bounded_batches, text_slices
 from turnsift.operators.durable import written
 
 SHARES = (0.001, 0.2)
@@ -120,7 +120,7 @@ def lexicon(docs: DataFrame, shares: tuple[float, float] = SHARES, most: int = M
 
     n_docs = docs.count()
     counted = written(
-        docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")),
+        bounded_batches(docs).select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")),
         "imatch-terms",
     )
     total = counted.agg(F.sum("n")).first()[0] or 0
@@ -168,7 +168,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n", "h", "body"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h long, body binary")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h long, body binary")
 
 
 def with_next(docs: DataFrame, words: Lexicon) -> DataFrame:
@@ -237,7 +237,7 @@ def fingerprints(docs: DataFrame, words: Lexicon) -> DataFrame:
                 own = [as_text(shared.value.fingerprint(t or "")) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnsift.llm.texts import mix, text_slices, word_hashes
+from turnsift.llm.texts import bounded_batches, mix, text_slices, word_hashes
 from turnsift.operators.durable import written
 
 BUCKETS = 1 << 16
@@ -107,7 +107,7 @@ def train(docs: DataFrame, targets: np.ndarray, buckets: int = BUCKETS) -> np.nd
         )
 
     rows = (
-        docs.select("doc_id", "text").mapInArrow(count, "block int, counts binary")
+        bounded_batches(docs).select("doc_id", "text").mapInArrow(count, "block int, counts binary")
         .repartition("block").mapInArrow(add, "block int, counts binary").collect()  # 16 bytes a bucket
     )
     sums = np.zeros((2, buckets), np.int64)
@@ -132,7 +132,7 @@ def weigh(docs: DataFrame, table: np.ndarray, chunk: int = CHUNK_GRAMS) -> DataF
                     ["doc_id", "n_grams", "log_ratio", "importance"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_ratio double, importance double")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_ratio double, importance double")
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:

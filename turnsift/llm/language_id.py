@@ -31,7 +31,7 @@ import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnsift.llm.texts import mix, span_hashes, text_slices
+from turnsift.llm.texts import bounded_batches, mix, span_hashes, text_slices
 
 UNKNOWN = "und"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -276,7 +276,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", path: str
             )
 
     rows = (
-        labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+        bounded_batches(labelled).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
         .filter("lang IS NOT NULL AND text IS NOT NULL")
         .mapInArrow(count, "lang string, piece int, n long")
         .groupBy("lang", "piece").agg(F.sum("n").alias("n"))
@@ -315,7 +315,7 @@ def _predicted(model, keep: list[str], least: float | None):
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train_on_fold(docs))
-    narrow = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
+    narrow = bounded_batches(docs).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     return narrow.mapInArrow(
         _predicted(shared, ["doc_id", "held_out"], None),
         "doc_id long, held_out boolean, lang_pred string, score double",
@@ -325,7 +325,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def accepted(docs: DataFrame, model: Model | None = None, least: float = LEAST_SCORE) -> DataFrame:
     """The rows whose text is in a known language with at least that score, columns as given."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train_on_fold(docs))
-    return docs.mapInArrow(_predicted(shared, [], least), docs.schema)
+    return bounded_batches(docs).mapInArrow(_predicted(shared, [], least), docs.schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnsift.llm.texts import SPACE, text_slices
+from turnsift.llm.texts import SPACE, bounded_batches, text_slices
 from turnsift.operators.durable import written
 
 LEAST_CHARS = 40
@@ -159,7 +159,7 @@ def line_refs(docs: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64())], ["key", "doc"])
 
     return (
-        docs.select(_doc(F.col("doc_id")).alias("doc"), "text")
+        bounded_batches(docs).select(_doc(F.col("doc_id")).alias("doc"), "text")
         .mapInArrow(run, "key binary, doc long")
         .select(_shard(F.col("key"), shards).alias("shard"), "key", "doc")
     )
@@ -349,7 +349,7 @@ def without_dropped(docs: DataFrame, drops: DataFrame) -> DataFrame:
                 )
 
     return (
-        docs.select("doc_id", "text", _doc(F.col("doc_id")).alias("doc")).join(per_doc, "doc", "left")
+        bounded_batches(docs).select("doc_id", "text", _doc(F.col("doc_id")).alias("doc")).join(per_doc, "doc", "left")
         .select("doc_id", "text", "gone")
         .mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
     )

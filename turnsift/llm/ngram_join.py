@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnsift.llm.linking import merge
-from turnsift.llm.texts import shingles, text_slices, word_hashes
+from turnsift.llm.texts import bounded_batches, shingles, text_slices, word_hashes
 from turnsift.operators.durable import written
 
 WIDTH = 5
@@ -343,7 +343,7 @@ def near_copies(
     least_gain: float = LEAST_GAIN,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     classes = spark.sparkContext.broadcast(_shingle_classes(docs, width, order_bits))
     found = written(
         _prefixes(docs, classes, width, similar).withColumn("gid", F.monotonically_increasing_id()),

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnsift.llm.texts import text_slices, utf8_bytes
+from turnsift.llm.texts import bounded_batches, text_slices, utf8_bytes
 
 KINDS = ("assign", "access", "hex", "markov")
 LEAST_TOKEN = 20
@@ -180,7 +180,7 @@ def train(docs: DataFrame) -> np.ndarray:
         )
 
     rows = (
-        docs.select("text").mapInArrow(count, "label int, pair int, n long")
+        bounded_batches(docs).select("text").mapInArrow(count, "label int, pair int, n long")
         .groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()  # two rows a character pair at most
     )
     counts = np.zeros((2, _N * _N), np.int64)
@@ -216,7 +216,7 @@ def scan(docs: DataFrame, table: np.ndarray | None = None, least_ratio: float =
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(
         run, "doc_id long, spans array<struct<kind: string, start: long, end: long, ratio: double>>"
     )
 

@@ -11,7 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+#: Bytes of a batch between Spark and a Python worker; rows alone do not bound long texts.
+BATCH_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -39,6 +42,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Have the session cut Arrow batches by size as well, and return the table."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def text_slices(
     batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
