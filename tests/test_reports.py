@@ -105,7 +105,7 @@ def test_model_scores_rank_injections_higher(spark):
         return lambda texts: [len(t) / 10_000 for t in texts]
 
     long = spark.createDataFrame([("x" * 5000,)], "t string")
-    assert model.python_scorer(load)(long, "t").first()["ml_score"] == 0.2
+    assert model.python_scorer(load)(long, "t").first()["ml_score"] == 0.5  # the whole text
     labels = spark.createDataFrame(
         [("LABEL_1", 0.9), ("LABEL_0", 0.9), ("Malicious", 0.3)], "l string, s double"
     ).select(F.round(model.injection_probability(F.col("l"), F.col("s")), 6))
