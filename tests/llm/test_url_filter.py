@@ -113,3 +113,17 @@ def test_no_links_and_empty(spark):
     pages = frame(spark, [(1, "http://q.org/", None), (2, "http://z.net/es/", "")])
     assert {r.page_id: r.verdict for r in U.judge(pages).collect()} == {1: "allow", 2: "block"}
     assert U.judge(pages.limit(0)).count() == 0
+
+
+def test_every_ruled_host_seeds_its_domains(spark, tmp_path):
+    urls = ["http://a.s.net/es/1", "http://a.s.net/en/2", "http://a.s.net/en/3", "http://b.s.net/en/4", "http://c.t.net/en/5",
+            "http://d.s.org/en/6", "http://e.s.com/en/7", "http://.net./en/8"]
+    frame(spark, [(i, u, None) for i, u in enumerate(urls)]).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in U.op2_url_filter(spark, str(tmp_path)).collect()}
+    assert [got[i].verdict for i in range(8)] == ["block"] * 5 + ["allow"] * 3
+    edges = {("a.s.net", "s.net"): 3, ("b.s.net", "s.net"): 1, ("s.net", "net"): 4, ("c.t.net", "t.net"): 1, ("t.net", "net"): 1,
+             ("d.s.org", "s.org"): 1, ("s.org", "org"): 1, ("e.s.com", "s.com"): 1, ("s.com", "com"): 1, (".net.", "net."): 1}
+    both = edges | {(b, a): w for (a, b), w in edges.items()}
+    for kind, seeds in (("distrust", {"a.s.net": 1}), ("trust", {"e.s.com": 1})):
+        want = pagerank(seeds, both)
+        assert [got[i][kind] for i in range(8)] == pytest.approx([want.get(got[i].host, 0.0) for i in range(8)], abs=1e-9)

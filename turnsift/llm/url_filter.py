@@ -5,11 +5,12 @@ starts with the rule's path; the longest rule (host and path together) wins, equ
 text. Urls no rule fits get their host's verdict from the graph:
 
 * Nodes are hosts. An edge is a link found in a page (absolute or ``//`` urls in href and src),
-  weighted by the number of such links; links to the own host say nothing. A host deeper than
-  ``SITE_LABELS`` labels and its site (the last labels) also point at each other, weighted by the
-  host's pages.
-* A host is a trusted seed with the number of its allowed pages if the rules allow most of its
-  pages, a blocked seed likewise.
+  weighted by the number of such links; links to the own host say nothing. Without ``labels``
+  every domain and its parent, up to the last label, also point at each other, weighted by the
+  domain's pages; so hosts are joined over all parent domains. With ``labels`` only a host of
+  more labels and its site (the last labels) do, weighted by the host's pages.
+* A host is a trusted seed with the number of its allowed pages and a blocked seed with the
+  number of its blocked pages; with ``majority`` only if that is most of its pages.
 * Trust is personalised PageRank from the trusted seeds along the edges; distrust is the same
   from the blocked seeds against the edges, so a host that links to blocked hosts gets some.
   Hosts without edges in the direction keep nothing to pass on; sending their share back to the
@@ -17,6 +18,9 @@ text. Urls no rule fits get their host's verdict from the graph:
 * A host is blocked if distrust / (trust + distrust) is above ``MOST_DISTRUST``. A host neither
   reaches is allowed.
 
+``op2_url_filter`` uses all parent domains and all ruled hosts; ``judge`` alone defaults to
+``SITE_LABELS`` and majorities.
+
 Contract: one row per input row. Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the
 end, A-Z lower-cased; path: from there up to ``?``, ``#`` or the end; both are empty for a null url or
 one without ``://``, which no rule and no score applies to. Null pages have no links. Repeated
@@ -119,6 +123,16 @@ def site_edges(hosts: DataFrame, labels: int = SITE_LABELS) -> DataFrame:
     return deep.unionByName(deep.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
+def domain_edges(hosts: DataFrame) -> DataFrame:
+    """Edges both ways between every domain of the hosts and its parent."""
+    domains = (
+        hosts.select(F.explode(_suffixes(F.col("host"))).alias("src"), "n_pages")
+        .groupBy("src").agg(F.sum("n_pages").cast("double").alias("weight"))
+    )
+    up = domains.select("src", F.regexp_extract("src", r"(?s)^[^.]*\.(.*)$", 1).alias("dst"), "weight").filter("src <> '' AND dst <> ''")
+    return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
 def _steps(edges: DataFrame) -> DataFrame:
     """kind, src, dst, share: trust goes along the edges, distrust against them."""
     along = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight")
@@ -157,7 +171,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame = RULES,
-          most_distrust: float = MOST_DISTRUST, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+          most_distrust: float = MOST_DISTRUST, damping: float = DAMPING, rounds: int = ROUNDS,
+          labels: int | None = SITE_LABELS, majority: bool = True) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     urls = written(
         pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "url-pages"
@@ -176,8 +191,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame =
     )
     seeds = by_host.select(
         "host", "n_pages", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "weight")
-    ).filter(2 * F.col("weight") > F.col("n_pages")).select("kind", "host", "weight")
-    edges = link_edges(pages).unionByName(site_edges(hosts))
+    ).filter(2 * F.col("weight") > F.col("n_pages") if majority else F.col("weight") > 0).select("kind", "host", "weight")
+    edges = link_edges(pages).unionByName(domain_edges(hosts) if labels is None else site_edges(hosts, labels))
     scores = written(propagate(seeds, edges, damping, rounds), "url-shares")
     bad = F.col("distrust") > most_distrust * (F.col("trust") + F.col("distrust"))
     by_graph = F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow")
@@ -188,4 +203,4 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame =
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), labels=None, majority=False)
