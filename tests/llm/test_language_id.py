@@ -120,3 +120,26 @@ def test_edges(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score) for r in L.identify(unlabelled).collect()} == {("und", 0.0)}
     assert L.identify(docs.limit(0)).count() == 0 and L.accepted(docs.limit(0)).count() == 0
+
+
+def test_rare_letters_do_not_underflow(model):
+    known = L.pieces(PATH).number
+    rare = next(c for c in map(chr, range(0xAC00, 0xD7A4)) if c not in known)
+    counts = np.zeros((len(known) + 1, 2))
+    for piece, number in known.items():
+        counts[number] = [1e9, 1.0] if piece in ("▁the", "▁and") else [1.0, 1e9] if piece in ("▁und", "▁die") else 0.0
+    big = L.Model(PATH, ["aa", "bb"], counts)
+    got = big.word_scores(L.Words([rare * 40]), np.arange(1))
+    single = np.log(big.share[[known["▁"], 0]])
+    assert got[0] == pytest.approx(single[0] + 40 * single[1])
+    texts = [rare * 400, "the and the", "", "die und " + rare * 40, "und die"]
+    languages, scores = L.Scorer(big).predict(texts)
+    assert languages[1:] == ["aa", "und", "bb", "bb"]
+    assert all(math.isfinite(s) for s in scores) and min(scores[1], scores[3], scores[4]) > 0.99
+
+
+def test_rescaling_changes_no_score(model, monkeypatch):
+    words = L.Words(["the einheit préavis " + "quxz" * 10])
+    want = model.word_scores(words, np.arange(4))
+    monkeypatch.setattr(L, "LEAST_FORWARD", 2.0**-20)
+    assert model.word_scores(words, np.arange(4)) == pytest.approx(want, rel=1e-13)

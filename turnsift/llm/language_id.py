@@ -13,7 +13,8 @@ Contract: one row per input row. A null text or one without letters is ``und`` w
 so is everything if no document is labelled. Equal posteriors go to the smaller label. Training
 documents are those with a non-null label and crc32(doc_id as text) mod 5 not 0; a row without
 doc_id is neither trained on nor held out. Runs over ``LONGEST`` letters are scored in stretches
-of that length, so no probability underflows; all of a text counts. Extra columns are ignored by
+of that length; all of a text counts. Forward probabilities are rescaled before they underflow,
+however rare a piece is, and scores are summed text by text. Extra columns are ignored by
 ``identify`` and kept by ``accepted``.
 """
 
@@ -39,6 +40,8 @@ FOLDS = 5
 SMOOTHING = 0.1
 LONGEST = 40
 LEAST_SCORE = 0.5
+#: Forward probabilities below this are rescaled (by powers of two, so nothing is rounded).
+LEAST_FORWARD = 2.0**-300
 #: Words whose probabilities a worker remembers, and words a task counts before it cuts them.
 CACHED_WORDS = 300_000
 
@@ -171,7 +174,14 @@ class Model:
                 letters[1:] = words.codes[words.starts[chosen[part]] + np.arange(size)[:, None]]
                 forward = np.zeros((n + 1, len(part), len(self.languages)))
                 forward[0] = 1.0
+                scale = np.zeros(forward.shape[1:], np.int64)  # powers of two taken out so far
                 for a in range(n):
+                    low = forward[a] < LEAST_FORWARD
+                    if low.any():
+                        power = np.where(low, np.frexp(forward[a])[1], 0)
+                        reached = slice(a, a + known.longest + 1)
+                        forward[reached] = np.ldexp(forward[reached], -power)
+                        scale += power
                     live = np.arange(len(part))
                     value = np.zeros(len(part), np.uint64)
                     for b in range(a + 1, n + 1):
@@ -187,7 +197,7 @@ class Model:
                         live, value = live[open_], value[open_]
                         if not len(live):
                             break
-                out[part] = np.log(forward[n])
+                out[part] = np.log(forward[n]) + scale * np.log(2.0)
         return out
 
 
@@ -225,8 +235,8 @@ class Scorer:
         words = Words(texts)
         if not len(self.model.languages) or not len(words.starts):
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        sums = np.concatenate((np.zeros((1, len(self.model.languages))), np.cumsum(self._scored(words), axis=0)))
-        totals = sums[words.rows[1:]] - sums[words.rows[:-1]]
+        row = np.repeat(np.arange(len(texts)), np.diff(words.rows))
+        totals = np.stack([np.bincount(row, column, minlength=len(texts)) for column in self._scored(words).T], axis=1)
         best = totals.argmax(axis=1)
         scores = 1.0 / np.exp(totals - totals[np.arange(len(texts)), best][:, None]).sum(axis=1)
         lettered = np.diff(words.rows) > 0
