@@ -62,3 +62,13 @@ def test_entry_module():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) >= 70
+
+
+def test_all_sessions_are_read_back(spark):
+    """Not only a list of ids: every session that has signals or events."""
+    from turnsift.plans import detection, overlay
+
+    sources = {"stored_signals_whole": detection.signals, "session_log_whole": overlay.conversations}
+    for name, source in sources.items():
+        got, want = ({r.session_id for r in f(spark, SMALL).select("session_id").distinct().collect()} for f in (ENTRIES[name][0], source))
+        assert got == want and len(got) > 1

@@ -27,21 +27,35 @@ def _folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored_signals(spark, sf_dir):
-    """Signals written to their table and read back for some sessions."""
+def _signals_read_back(spark, sf_dir):
     folder = _folder(spark, "signals")
     tables.write_signals(signals(spark, sf_dir), folder)
-    read = tables.session_signals(tables.read_table(spark, folder, S.SIGNALS), WANTED)
+    return tables.read_table(spark, folder, S.SIGNALS)
+
+
+def _signal_columns(read):
     return read.select("session_id", "turn_index", "msg_index", "stage", "score", joined("matched_heuristics").alias("rules"))
 
 
+def stored_signals(spark, sf_dir):
+    """Signals written to their table and read back for some sessions."""
+    return _signal_columns(tables.session_signals(_signals_read_back(spark, sf_dir), WANTED))
+
+
+def stored_signals_whole(spark, sf_dir):
+    """Signals written to their table and read back for all sessions."""
+    return _signal_columns(_signals_read_back(spark, sf_dir))
+
+
 _WANTED = ", ".join(f"'{n}'" for n in WANTED)
 STORED_SQL = f"""WITH {Q.ALL_SIGNALS}
 SELECT session_id, turn_index, msg_index, stage, score, rules FROM sig WHERE session_id IN ({_WANTED})"""
 
+STORED_WHOLE_SQL = f"""WITH {Q.ALL_SIGNALS}
+SELECT session_id, turn_index, msg_index, stage, score, rules FROM sig"""
 
-def session_log(spark, sf_dir):
-    """Events of some sessions, the filter pushed to the scan of the events table."""
+
+def _events_read_back(spark, sf_dir):
     folder = _folder(spark, "events")
     conv = overlay.conversations(spark, sf_dir)
     none = F.lit(None).cast("string")
@@ -54,14 +68,30 @@ def session_log(spark, sf_dir):
         F.lit("").alias("event_hash"),
     )
     tables.write_events(events, folder)
-    read = tables.session_events(tables.read_table(spark, folder, S.TRACE_EVENTS), WANTED)
+    return tables.read_table(spark, folder, S.TRACE_EVENTS)
+
+
+def _event_columns(read):
     return read.select("event_id", "session_id", "turn_index", "timestamp", F.col("message_out.role").alias("role"))
 
 
+def session_log(spark, sf_dir):
+    """Events of some sessions, the filter pushed to the scan of the events table."""
+    return _event_columns(tables.session_events(_events_read_back(spark, sf_dir), WANTED))
+
+
+def session_log_whole(spark, sf_dir):
+    """Events of all sessions, read back from the events table."""
+    return _event_columns(_events_read_back(spark, sf_dir))
+
+
 SESSION_LOG_SQL = f"""WITH {Q.CONV}
 SELECT session_id || ':' || turn_index AS event_id, session_id, turn_index, ts AS timestamp, role
 FROM conv WHERE session_id IN ({_WANTED})"""
 
+SESSION_LOG_WHOLE_SQL = f"""WITH {Q.CONV}
+SELECT session_id || ':' || turn_index AS event_id, session_id, turn_index, ts AS timestamp, role FROM conv"""
+
 
 def _length_model():
     """Stands for a loaded model: a score that depends on the whole text."""
@@ -230,7 +260,9 @@ SELECT session_id, turn_index, role, CASE role WHEN 'system' THEN '' ELSE conten
 
 QUERIES = {
     "stored_signals": (stored_signals, STORED_SQL),
+    "stored_signals_whole": (stored_signals_whole, STORED_WHOLE_SQL),
     "session_log": (session_log, SESSION_LOG_SQL),
+    "session_log_whole": (session_log_whole, SESSION_LOG_WHOLE_SQL),
     "model_formulas": (model_formulas, MODEL_SQL),
     "custom_rules": (custom_rules, CUSTOM_SQL),
     "configured_signals": (configured_signals, CONFIGURED_SQL),
