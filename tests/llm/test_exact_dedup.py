@@ -99,3 +99,16 @@ def test_losers_are_let_go(monkeypatch):
     out = list(E._winners(((False, b) for b in batches), None, "text", None, "doc_id", (), "h"))
     rows = {r["text"]: r["doc_id"] for b in out for r in b.to_pylist()}
     assert rows == {"Same" * 50: 590, "own 0": 571, "own 1": 581, "own 2": 591}
+
+
+def test_batches_of_copies_are_let_go():
+    before, most = pa.total_allocated_bytes(), []
+
+    def batches():
+        for n in range(20):
+            most.append(pa.total_allocated_bytes() - before)
+            yield False, pa.RecordBatch.from_pydict({"doc_id": [100 - n], "text": ["x" * 1_000_000]})
+
+    kept = list(E._winners(batches(), None, "text", None, "doc_id", (), None))
+    assert [row["doc_id"] for b in kept for row in b.to_pylist()] == [100]
+    assert max(most) < 5_000_000

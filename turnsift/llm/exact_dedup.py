@@ -313,7 +313,7 @@ def _winners(batches: Iterator[tuple[bool, pa.RecordBatch]], limit: int | None,
                 elif _larger(own, best[entry][0]):
                     best[entry] = (own, len(held), at)
                     used = True
-            held.append(part if used else part.slice(0, 0))
+            held.append(part if used else None)  # even an empty slice would keep the whole batch
             held_bytes += part.nbytes if used else 0
             if held_bytes > 2 * TASK_BYTES + table.bytes:
                 held, held_bytes = compact(), 0
