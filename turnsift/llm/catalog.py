@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from turnsift.llm import byte_bpe, exact_dedup, imatch, importance, language_id, line_dedup, mixing, ngram_join, secret_scan, url_filter
+from turnsift.llm import (
+    byte_bpe,
+    exact_dedup,
+    imatch,
+    importance,
+    language_id,
+    line_dedup,
+    merkle,
+    mixing,
+    ngram_join,
+    secret_scan,
+    url_filter,
+)
 
 
 def registered() -> dict:
@@ -17,4 +29,5 @@ def registered() -> dict:
         "op8_language_id": (language_id.op8_language_id, None),
         "op9_mixing": (mixing.op9_mixing, None),
         "op10_imatch": (imatch.op10_imatch, None),
+        "op13_merkle_manifest": (merkle.op13_merkle_manifest, merkle.ORACLE),
     }
