@@ -13,6 +13,7 @@ from turnsift.llm import (
     mixing,
     ngram_join,
     secret_scan,
+    sharding,
     url_filter,
 )
 
@@ -29,5 +30,6 @@ def registered() -> dict:
         "op8_language_id": (language_id.op8_language_id, None),
         "op9_mixing": (mixing.op9_mixing, None),
         "op10_imatch": (imatch.op10_imatch, None),
+        "op11_sharding": (sharding.op11_sharding, None),
         "op13_merkle_manifest": (merkle.op13_merkle_manifest, merkle.ORACLE),
     }
