@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from turnsift.llm import (
+    bond,
     byte_bpe,
     exact_dedup,
     imatch,
@@ -31,5 +32,6 @@ def registered() -> dict:
         "op9_mixing": (mixing.op9_mixing, None),
         "op10_imatch": (imatch.op10_imatch, None),
         "op11_sharding": (sharding.op11_sharding, None),
+        "op12_hard_negatives": (bond.op12_hard_negatives, bond.ORACLE),
         "op13_merkle_manifest": (merkle.op13_merkle_manifest, merkle.ORACLE),
     }
