@@ -8,11 +8,14 @@ from turnsift.config import ScanConfig
 from turnsift.functions.grams import gram_embedding
 from turnsift.operators.components import connected_components
 from turnsift.operators.durable import durable, written
+from turnsift.operators.lsh import LSH_ABOVE, covered
 from turnsift.operators.ordered import chunk_of_time, with_position
 from turnsift.operators.tiles import REF_GROUP, ROW_GROUP, best_of, compare, first_of
 from turnsift.operators.vectors import similar_links
 
 _STEPS = "array<struct<ref:string,cos:double>>"
+#: Snippets whose leaders are found at once.
+HEAD_ROWS = 2_048
 #: Hexadecimal digits of an id.
 ID_LENGTH = 64
 
@@ -50,27 +53,55 @@ def nearest_fingerprints(
     return keyed.join(written(best, "nearest-best"), "_key", "left").drop("_key")
 
 
-def _leaders(snippets: DataFrame, at_least: float, groups: dict) -> DataFrame:
-    """The snippets (id, vector) a pass in id order would make leaders: a snippet leads unless an
-    earlier leader is similar.
+def _rounds(snippets: DataFrame, at_least: float, groups: dict) -> DataFrame:
+    """Leaders of a bounded head of the snippets (id, vector).
 
     In every round the undecided snippets without an earlier undecided similar one lead, and what
     they cover is decided too. The earliest undecided snippet always leads, and a dense group
     is decided in one round, so the rounds follow the longest chain of snippets that decide each
     other, not their number.
     """
-    open_, chosen = snippets.select("id", "vector"), None
+    open_, chosen = snippets, snippets.limit(0)
     while not open_.isEmpty():
-        refs = open_.select(F.col("id").alias("ref"), F.col("id").alias("rank"), "vector")
+        refs = _as_refs(open_)
         first = first_of(compare(open_, refs, at_least, "first", **groups))
         later = first.filter("rank < id").select("id")
         fresh = written(open_.join(later, "id", "left_anti").select("id", "vector"), "leaders")
-        chosen = fresh if chosen is None else chosen.unionByName(fresh)
-        refs = fresh.select(F.col("id").alias("ref"), F.col("id").alias("rank"), "vector")
+        chosen = chosen.unionByName(fresh)
         rest = open_.join(fresh.select("id"), "id", "left_anti").select("id", "vector")
-        covered = compare(rest, refs, at_least, "first", **groups).select("id").distinct()
-        open_ = written(rest.join(covered, "id", "left_anti").select("id", "vector"), "leaders-open")
-    return snippets.limit(0) if chosen is None else chosen
+        done = compare(rest, _as_refs(fresh), at_least, "first", **groups).select("id").distinct()
+        open_ = written(rest.join(done, "id", "left_anti").select("id", "vector"), "leaders-open")
+    return chosen
+
+
+def _as_refs(snippets: DataFrame) -> DataFrame:
+    return snippets.select(F.col("id").alias("ref"), F.col("id").alias("rank"), "vector")
+
+
+def _leaders(
+    snippets: DataFrame, at_least: float, groups: dict, head_rows: int = HEAD_ROWS, lsh_above: int = LSH_ABOVE
+) -> DataFrame:
+    """The snippets (id, vector) a pass in id order would make leaders: a snippet leads unless an
+    earlier leader is similar.
+
+    Only a head of the open snippets is compared with itself; its leaders then cover what they can
+    of the rest, which is compared with leaders alone. So the work is snippets x leaders, and
+    leaders are not similar to each other. A head that covers less than half of the rest says that
+    leaders are many; the next one is twice as long, so the heads stay few.
+    """
+    open_, chosen = snippets.select("id", "vector"), snippets.select("id", "vector").limit(0)
+    left = open_.count()
+    while left:
+        cut = open_.select("id").orderBy("id").limit(head_rows).agg(F.max("id")).first()[0]
+        fresh = written(_rounds(open_.filter(F.col("id") <= cut), at_least, groups), "leaders-head")
+        chosen = chosen.unionByName(fresh)
+        rest = open_.filter(F.col("id") > cut)
+        done = covered(rest, _as_refs(fresh), at_least, lsh_above, **groups)
+        open_ = written(rest.join(done, "id", "left_anti").select("id", "vector"), "leaders-rest")
+        before, left = max(0, left - head_rows), open_.count()
+        if 2 * left > before:
+            head_rows *= 2
+    return chosen
 
 
 def assign_fingerprints(
@@ -79,6 +110,8 @@ def assign_fingerprints(
     cfg: ScanConfig = ScanConfig(),
     row_group: int = ROW_GROUP,
     ref_group: int = REF_GROUP,
+    head_rows: int = HEAD_ROWS,
+    lsh_above: int = LSH_ABOVE,
 ) -> DataFrame:
     """Fingerprint of every signal as if the signals had arrived one by one.
 
@@ -91,7 +124,8 @@ def assign_fingerprints(
 
     Equal snippets are embedded and compared once, all comparisons are tiles spread over the
     cluster. A snippet keeps every new leader that beats those before it; leaders are not similar
-    to each other, which bounds how many one snippet can be similar to. Equal cosines go to
+    to each other, which bounds how many one snippet can be similar to. More leaders than
+    ``lsh_above`` are met through hash tables first; the result is the same. Equal cosines go to
     the older new fingerprint, and among stored ones to the one with more hits.
     """
     groups = {"row_group": row_group, "ref_group": ref_group}
@@ -114,7 +148,7 @@ def assign_fingerprints(
         start = snippets.select("id", "key").join(stored, "id", "left").select(
             "id", "key", F.when(F.col("ref").isNotNull(), F.array(old)).otherwise(F.array().cast(_STEPS)).alias("steps")
         )
-    leaders = _leaders(written(open_, "assign-open"), cfg.similarity, groups)
+    leaders = _leaders(written(open_, "assign-open"), cfg.similarity, groups, head_rows, lsh_above)
     refs = leaders.select(F.concat(F.lit("1"), "id").alias("ref"), F.concat(F.lit("1"), "id").alias("rank"), "vector")
     met = compare(snippets.select("id", "vector"), refs, cfg.similarity, "climb", **groups)
     met = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ref", "cos"))).alias("met"))

@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnsift.config import ScanConfig
 from turnsift.functions.grams import gram_embedding
 from turnsift.operators.durable import written
-from turnsift.operators.tiles import compare
+from turnsift.operators.lsh import LSH_ABOVE, covered
 
 
 def _with_approval(
-    df: DataFrame, text: str, in_band: Column, approved: DataFrame, cfg: ScanConfig
+    df: DataFrame, text: str, in_band: Column, approved: DataFrame, cfg: ScanConfig, lsh_above: int
 ) -> DataFrame:
     """Add _approved: the text of an in-band row matches an approved fingerprint.
 
@@ -26,8 +26,7 @@ def _with_approval(
     )
     refs = approved.select(F.col("fingerprint_id").alias("ref"), F.col("fingerprint_id").alias("rank"), "vector")
     alike = written(
-        compare(texts, refs, cfg.similarity, "first").select(F.col("id").alias("_key")).distinct()
-        .withColumn("_approved", F.lit(True)),
+        covered(texts, refs, cfg.similarity, lsh_above).select(F.col("id").alias("_key")).withColumn("_approved", F.lit(True)),
         "band-approved",
     )
     # Rows outside the band get keys that match nothing but spread over the partitions.
@@ -39,18 +38,26 @@ def _with_approval(
 
 
 def drop_false_alarms(
-    flagged: DataFrame, text: str, approved: DataFrame, cfg: ScanConfig = ScanConfig()
+    flagged: DataFrame,
+    text: str,
+    approved: DataFrame,
+    cfg: ScanConfig = ScanConfig(),
+    lsh_above: int = LSH_ABOVE,
 ) -> DataFrame:
     """Drop rows below the high-confidence bar whose text matches an approved fingerprint."""
     in_band = F.col("score") < cfg.false_alarm_bar
-    checked = _with_approval(flagged, text, in_band, approved, cfg)
+    checked = _with_approval(flagged, text, in_band, approved, cfg, lsh_above)
     return checked.filter(~F.col("_approved")).drop("_approved")
 
 
 def unflag_false_alarms(
-    scanned: DataFrame, text: str, approved: DataFrame, cfg: ScanConfig = ScanConfig()
+    scanned: DataFrame,
+    text: str,
+    approved: DataFrame,
+    cfg: ScanConfig = ScanConfig(),
+    lsh_above: int = LSH_ABOVE,
 ) -> DataFrame:
     """The same for rows that stay in the table: only their ``flagged`` is taken back."""
     in_band = F.col("flagged") & (F.col("score") < cfg.false_alarm_bar)
-    checked = _with_approval(scanned, text, in_band, approved, cfg)
+    checked = _with_approval(scanned, text, in_band, approved, cfg, lsh_above)
     return checked.withColumn("flagged", F.col("flagged") & ~F.col("_approved")).drop("_approved")

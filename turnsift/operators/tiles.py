@@ -16,14 +16,20 @@ from pyspark.sql import DataFrame, functions as F
 
 ROW_GROUP = 65_536
 REF_GROUP = 16_384
+MOST_TASKS = 20_000
 
 _AT_ONCE = 512
+_LEAST_ROWS = 256
 _OUT = "id string, ref string, rank string, cos double"
 _DIGITS = 12
 
 
-def _groups(df: DataFrame, size: int) -> int:
-    return max(1, -(-df.count() // size))
+def grid(n_rows: int, n_refs: int, row_group: int, ref_group: int, tasks: int) -> tuple[int, int]:
+    """Row groups and reference groups: at most the given sizes, and as many tiles as ``tasks``
+    unless row groups would fall below ``_LEAST_ROWS``."""
+    down, across = max(1, -(-n_rows // row_group)), max(1, -(-n_refs // ref_group))
+    wanted = max(down, -(-tasks // across))
+    return max(down, min(wanted, n_rows // _LEAST_ROWS)), across
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -31,25 +37,29 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _best(scores: np.ndarray, at_least: float) -> list[np.ndarray]:
+_Picks = tuple[np.ndarray, np.ndarray]
+
+
+def _best(scores: np.ndarray, at_least: float) -> _Picks:
     """The best reference of each row, the first in rank among equals."""
     top = scores.argmax(axis=1)
-    good = scores[np.arange(len(top)), top] >= at_least
-    return [np.array([t]) if g else np.zeros(0, int) for t, g in zip(top, good)]
+    good = np.flatnonzero(scores[np.arange(len(top)), top] >= at_least)
+    return good, top[good]
 
 
-def _first(scores: np.ndarray, at_least: float) -> list[np.ndarray]:
+def _first(scores: np.ndarray, at_least: float) -> _Picks:
     """The first reference in rank that reaches the threshold."""
     near = scores >= at_least
     at = near.argmax(axis=1)
-    return [np.array([a]) if row[a] else np.zeros(0, int) for a, row in zip(at, near)]
+    good = np.flatnonzero(near[np.arange(len(at)), at])
+    return good, at[good]
 
 
-def _climb(scores: np.ndarray, at_least: float) -> list[np.ndarray]:
+def _climb(scores: np.ndarray, at_least: float) -> _Picks:
     """Every reference that beats all references before it in rank."""
     before = np.maximum.accumulate(scores, axis=1)
     before = np.hstack([np.full((len(scores), 1), -np.inf), before[:, :-1]])
-    return [np.flatnonzero(row) for row in (scores > before) & (scores >= at_least)]
+    return np.nonzero((scores > before) & (scores >= at_least))
 
 
 _CHOICES = {"best": _best, "first": _first, "climb": _climb}
@@ -66,10 +76,12 @@ def compare(
     """id, ref, rank, cos of the references each row chooses per tile.
 
     rows: id (string), vector; refs: ref (string), rank (string, the order of references),
-    vector. ``choose`` is "best", "first" or "climb"; merge the tiles' choices with ``merged``.
+    vector. ``choose`` is "best", "first" or "climb"; ``best_of`` and ``first_of`` merge the tiles'
+    choices.
     """
     pick = _CHOICES[choose]
-    n_rows, n_refs = _groups(rows, row_group), _groups(refs, ref_group)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n_rows, n_refs = grid(rows.count(), refs.count(), row_group, ref_group, cores)
     lines, columns = F.sequence(F.lit(0), F.lit(n_rows - 1)), F.sequence(F.lit(0), F.lit(n_refs - 1))
     left = rows.select(
         F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int").alias("i"), F.explode(columns).alias("j"),
@@ -104,9 +116,7 @@ def compare(
                 vectors = _vectors(part.column("vector"))
                 for at in range(0, len(own), _AT_ONCE):
                     scores = np.round((vectors[at : at + _AT_ONCE] @ matrix).clip(-1.0, 1.0), _DIGITS)
-                    chosen = pick(scores, at_least)
-                    rows_of = [k for k, c in enumerate(chosen) for _ in c]
-                    found = np.concatenate(chosen) if rows_of else np.zeros(0, int)
+                    rows_of, found = pick(scores, at_least)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([own[at + k] for k in rows_of], pa.string()),
@@ -119,7 +129,7 @@ def compare(
 
     return (
         left.unionByName(right)
-        .repartition("i", "j").sortWithinPartitions("i", "j", "kind", "rank")
+        .repartition(min(n_rows * n_refs, MOST_TASKS), "i", "j").sortWithinPartitions("i", "j", "kind", "rank")
         .mapInArrow(run, _OUT)
     )
 

@@ -110,6 +110,24 @@ SELECT signal_id, fingerprint_id, matched, round(match_cos, 6) AS match_cos,
     AS hit_count FROM assigned"""
 
 
+def campaign_assignment_lsh(spark, sf_dir):
+    """The same assignment with every coverage check through hash tables, from short heads."""
+    found = fp.assign_fingerprints(raised(spark, sf_dir), head_rows=256, lsh_above=0)
+    return found.select("signal_id", "fingerprint_id", "matched", F.round("match_cos", 6).alias("match_cos"))
+
+
+ASSIGNMENT_LSH_SQL = f"""WITH RECURSIVE {ASSIGNED}
+SELECT signal_id, fingerprint_id, matched, round(match_cos, 6) AS match_cos FROM assigned"""
+
+
+def false_alarm_gate_lsh(spark, sf_dir):
+    """The false-alarm gate with approved snippets in hash tables."""
+    approved = durable(document_snippets(spark, sf_dir).filter("approved"))
+    scanned = detect.with_scan(overlay.documents(spark, sf_dir), "text").filter("score >= 0.25")
+    kept = detect.drop_false_alarms(scanned, "text", approved, lsh_above=0)
+    return overlay.with_labels(kept.select("doc_id", "score"), spark, sf_dir).drop("labelled")
+
+
 def fingerprint_list(spark, sf_dir):
     made = fp.new_fingerprints(assigned(spark, sf_dir))
     return fp.list_fingerprints(made).select(
@@ -390,6 +408,7 @@ WHERE coalesce(cos, 0) < 0.8 AND round(0.5 * (1 - coalesce(cos, 0) / 0.8), 4) >=
 QUERIES = {
     "gram_embedding": (gram_embedding, GRAM_SQL),
     "campaign_assignment": (campaign_assignment, ASSIGNMENT_SQL),
+    "campaign_assignment_lsh": (campaign_assignment_lsh, ASSIGNMENT_LSH_SQL),
     "fingerprint_list": (fingerprint_list, LIST_SQL),
     "session_fingerprints": (session_fingerprints, LINKS_SQL),
     "campaigns": (campaigns, CAMPAIGNS_SQL),
@@ -398,6 +417,7 @@ QUERIES = {
     "false_alarm_marks": (false_alarm_marks, MARKS_SQL),
     "nearest_fingerprint": (nearest_fingerprint, NEAREST_SQL),
     "false_alarm_gate": (false_alarm_gate, GATE_SQL),
+    "false_alarm_gate_lsh": (false_alarm_gate_lsh, GATE_SQL),
     "fingerprint_dedupe": (fingerprint_dedupe, DEDUPE_SQL),
     "embedding_components": (embedding_components, EMBEDDING_SQL),
     "drift_scores": (drift_scores, DRIFT_SQL),
