@@ -57,3 +57,25 @@ def test_columns_and_raw_bytes(spark, encoder):
     cut = spark.createDataFrame([([encoder.encode_ordinary("🙂")[0]],), (None,)], "ids array<int>")
     raw = [bytes(r.bytes) for r in B.decode(cut).collect()]
     assert "🙂".encode().startswith(raw[0]) and raw[0] and raw[1] == b""
+
+
+def long_space_ids(encoder, before, space, after):
+    """The pattern's own split, part by part: the library cannot take the run through its regex."""
+    taken = space if not after else space[:-1]
+    ids = encoder.encode_ordinary(before) if before else []
+    ids = ids + encoder._encode_single_piece(taken)
+    return ids + (encoder.encode_ordinary(space[-1] + after) if after else [])
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", " \n\t\u3000", "\r\n"])
+@pytest.mark.parametrize(("before", "after"), [("", ""), ("word", ""), ("", "word"), ("a1 ", "'s it"), ("x", "\U0001f642")])
+def test_very_long_white_space(encoder, unit, before, after):
+    for chars in (B.LONG_SPACE - 1, B.LONG_SPACE, 20_001):
+        space = (unit * chars)[:chars]
+        text = before.rstrip() + space + after
+        assert B.encode_text(encoder, text).tolist() == encoder.encode_ordinary(text)
+        assert B.encode_text(encoder, text).tolist() == long_space_ids(encoder, before.rstrip(), space, after)
+    space = (unit * 3_000_000)[:3_000_000]
+    ids = B.encode_text(encoder, before.rstrip() + space + after)
+    assert ids.tolist() == long_space_ids(encoder, before.rstrip(), space, after)
+    assert B.decode_ids(encoder, ids.tolist()) == (before.rstrip() + space + after).encode()

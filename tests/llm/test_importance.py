@@ -54,6 +54,27 @@ def test_grams_of_words():
     assert own[0] == own[2] and own[1] == own[3] and own[4] == own[6] != own[5]
 
 
+def test_weights_against_plain_python(spark, rows, labels):
+    """The weight is the whole sum over words and word pairs, for short and for long texts."""
+    docs = frame(spark, [*rows, (900, "good1 bad2 " * 4000)])
+    table = I.train(docs, I.target_ids(labels))
+
+    def one(text):
+        words = (text or "").lower().split()
+        grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        return len(grams), sum(float(table[I.grams(pa.array([g]), len(table))[0][-1]]) for g in grams)
+
+    for temperature in (1.0, 4.0):
+        got = {r.doc_id: r for r in I.weigh(docs, table, temperature).collect()}
+        for i, text in [(500, None), (501, ""), *rows[:20]]:
+            n, total = one(text)
+            assert got[i].n_grams == n and got[i].importance == pytest.approx(total / temperature)
+            assert got[i].log_ratio == pytest.approx(total / max(n, 1))
+        word = [float(table[I.grams(pa.array([g]), len(table))[0][-1]]) for g in ("good1", "bad2", "good1 bad2", "bad2 good1")]
+        want = 4000 * (word[0] + word[1] + word[2]) + 3999 * word[3]
+        assert got[900].n_grams == 15_999 and got[900].importance == pytest.approx(want / temperature)
+
+
 def test_selection(spark, rows, labels):
     docs = frame(spark, rows)
     table = I.train(docs, I.target_ids(labels))

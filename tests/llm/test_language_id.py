@@ -49,7 +49,7 @@ def test_words():
     found = words.strings(np.arange(len(words.starts)))
     per_text = [found[a:b] for a, b in zip(words.rows, words.rows[1:])]
     assert per_text == [
-        ["the", "café", "l", "été"], [], [], ["x", "y", "a", "b"], ["i", "z"], ["a" * 40, "a" * 40, "a" * 15], ["日本語テスト"]
+        ["the", "café", "l", "été"], [], [], ["x", "y", "a", "b"], ["i", "z"], ["a" * 95], ["日本語テスト"]
     ]
     assert len(set(words.hashes.tolist())) == len(set(found))
 
@@ -143,3 +143,38 @@ def test_rescaling_changes_no_score(model, monkeypatch):
     want = model.word_scores(words, np.arange(4))
     monkeypatch.setattr(L, "LEAST_FORWARD", 2.0**-20)
     assert model.word_scores(words, np.arange(4)) == pytest.approx(want, rel=1e-13)
+
+
+def by_recursion(model, word):
+    """Log probability in exact fractions of logs: one forward step per letter, summed in logs."""
+    known = L.pieces(PATH).number
+    word = "▁" + word
+    logs = [np.zeros(2)]
+    for b in range(1, len(word) + 1):
+        terms = []
+        for a in range(max(0, b - L.pieces(PATH).longest), b):
+            at = known.get(word[a:b], 0 if b - a == 1 else None)
+            if at is not None:
+                terms.append(logs[a] + np.log(model.share[at]))
+        logs.append(np.logaddexp.reduce(terms, axis=0))
+    return logs[-1]
+
+
+@pytest.mark.parametrize("word", ["donau" * 8 + "s", "rechtsschutz" * 6, "日本語テスト中文" * 700, "q\u0378" * 50, "the" * 2000])
+def test_long_words_are_one_word(model, word, monkeypatch):
+    """Just above the length scored side by side, and far above the stretch looked up at once."""
+    words = L.Words([word])
+    assert len(words.starts) == 1 or "\u0378" in word
+    whole = word.replace("\u0378", "")
+    got = model.word_scores(L.Words([whole]), np.arange(1))[0]
+    assert got == pytest.approx(by_recursion(model, whole), rel=1e-11)
+    monkeypatch.setattr(L, "LOOKED_UP", 7)
+    assert model.word_scores(L.Words([whole]), np.arange(1))[0] == pytest.approx(got, rel=1e-12)
+
+
+def test_both_ways_agree(model, monkeypatch):
+    texts = ["einheitlichkeit préavis the", "xyzzyq ночь", "ununununununun"]
+    words = L.Words(texts)
+    want = model.word_scores(words, np.arange(len(words.starts)))
+    monkeypatch.setattr(L, "ABREAST", 0)
+    assert model.word_scores(words, np.arange(len(words.starts))) == pytest.approx(want, rel=1e-12)

@@ -1,10 +1,12 @@
 """Line deduplication against a dictionary, and insertions undone by deletions."""
 
+import hashlib
 import random
 import re
 import string
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from turnsift.llm import line_dedup as D
@@ -120,3 +122,34 @@ def test_crowded_filters_are_built_again(spark):
     row = more.filters.collect()[0]
     assert not D.CuckooFilter.load(row.slots, row.stash).crowded
     assert more.drops(more.refs).count() == 2
+
+
+def test_filter_above_65536_buckets():
+    """Bucket numbers of more than 16 bits, full enough to use the stash."""
+    keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(4000)]
+    held = D.CuckooFilter(np.zeros((1 << 17, 4), np.uint16), np.zeros(0, np.uint64))
+    held.slots[:] = 65535  # no free place: everything goes to the stash
+    for key in keys[:200]:
+        held.add(key)
+    assert len(held.stash) == 200 and held.stash.max() >= 1 << 32
+    again = D.CuckooFilter.load(*held.dump())
+    assert again.may_hold(keys[:200]).all()
+    before = len(again.stash)
+    assert all(again.remove(key) for key in keys[:200]) and len(again.stash) < before
+
+
+def test_shards_split_when_keys_grow(spark, monkeypatch):
+    """Inserting batch after batch ends in the same rows as one pass, with more shards."""
+    monkeypatch.setattr(D, "KEYS_A_SHARD", 20)
+    monkeypatch.setattr(D, "ROWS_A_PLACE", 30)
+    lines = [f"shared line number {i:03} that is long enough to count" for i in range(60)]
+    rows = [(d, "\n".join(lines[(d * 7 + j) % 60] for j in range(8)) + f"\nonly in {d}") for d in range(90)]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index = D.LineIndex.empty(spark, shards=1)
+    for at in range(0, 90, 30):
+        index = index.insert(frame(rows[at : at + 30]))
+    assert index.shards > 1
+    got = D.without_dropped(frame(rows), index.drops(index.refs)).collect()
+    want = D.dedupe(frame(rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert sum(r.n_dropped for r in got) > 0

@@ -13,7 +13,10 @@ split pattern spans, so the regex engine and the merge step only ever see bounde
 * between a letter and a digit, in either order: no alternative mixes them, and a contraction
   (apostrophe plus letters) holds no digit.
 
-A run without any such boundary stays whole, because cutting it would change the ids.
+A run without any such boundary stays whole, because cutting it would change the ids. White space
+has none inside, and the look-ahead recurses on it, so a run of ``LONG_SPACE`` or more never meets
+the regex: the pattern takes all of it at the end of a text, else all but its last character (which
+belongs to what follows), and those bytes are merged as the one match they are.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from turnsift.llm.texts import bounded_batches, text_slices
 
 PIECE_CHARS = 20_000
+LONG_SPACE = 2_000
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
+_LONG_SPACE = regex.compile(rf"\s{{{LONG_SPACE},}}")
 _BOUNDARY = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 
 
@@ -60,9 +65,25 @@ def pieces(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def _matches(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in parts; the flagged ones are one match of the split pattern each."""
+    start = 0
+    for run in _LONG_SPACE.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[start : run.start()], False
+        yield text[run.start() : stop], True
+        start = stop
+    yield text[start:], False
+
+
 def encode_text(encoder: tiktoken.Encoding, text: str | None, piece_chars: int = PIECE_CHARS) -> np.ndarray:
-    parts = [encoder.encode_ordinary(piece) for piece in pieces(text or "", piece_chars)]
-    return np.concatenate([np.asarray(part, np.uint32) for part in parts])
+    ids = [np.zeros(0, np.uint32)]
+    for part, whole in _matches(text or ""):
+        if whole:
+            ids.append(np.asarray(encoder._encode_single_piece(part), np.uint32))
+        else:
+            ids += [np.asarray(encoder.encode_ordinary(piece), np.uint32) for piece in pieces(part, piece_chars)]
+    return np.concatenate(ids)
 
 
 def decode_ids(encoder: tiktoken.Encoding, ids) -> bytes:

@@ -2,8 +2,9 @@
 
 Words and word pairs are hashed to ``BUCKETS`` buckets. Two bag-of-n-gram models, one of target
 documents (labelled good and not toxic) and one of all raw documents, give every bucket a log
-ratio of smoothed probabilities. A document's importance is its mean log ratio times the number
-of its n-grams, at most ``CHUNK_GRAMS``, so that all longer documents weigh as chunks of one length.
+ratio of smoothed probabilities. A document's log importance is the sum of the log ratios of all its
+n-grams, the log of the ratio of the two generative models, whatever its length; it is divided by
+``TEMPERATURE`` (1: the plain ratio).
 Sampling without replacement in proportion to importance is a top-k: every document gets
 importance plus Gumbel noise, and the k largest keys are selected. The noise is a hash of the
 doc_id, so a rerun selects the same rows.
@@ -33,7 +34,7 @@ from turnsift.operators.durable import written
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-CHUNK_GRAMS = 100
+TEMPERATURE = 1.0
 KEEP_SHARE = 0.85
 TARGET_ROWS = 20_000
 SEED = 77
@@ -117,7 +118,7 @@ def train(docs: DataFrame, targets: np.ndarray, buckets: int = BUCKETS) -> np.nd
     return log_ratios(sums[0].astype(float), sums[1].astype(float))
 
 
-def weigh(docs: DataFrame, table: np.ndarray, chunk: int = CHUNK_GRAMS) -> DataFrame:
+def weigh(docs: DataFrame, table: np.ndarray, temperature: float = TEMPERATURE) -> DataFrame:
     """doc_id, n_grams, log_ratio (mean per n-gram), importance."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -126,9 +127,9 @@ def weigh(docs: DataFrame, table: np.ndarray, chunk: int = CHUNK_GRAMS) -> DataF
             for part in text_slices(batch):
                 bucket, row = grams(part.column("text"), len(shared.value))
                 n = np.bincount(row, minlength=part.num_rows)
-                mean = np.bincount(row, shared.value[bucket], minlength=part.num_rows) / np.maximum(n, 1)
+                total = np.bincount(row, shared.value[bucket], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(mean), pa.array(mean * np.minimum(n, chunk))],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(total / np.maximum(n, 1)), pa.array(total / temperature)],
                     ["doc_id", "n_grams", "log_ratio", "importance"],
                 )
 

@@ -12,9 +12,10 @@ one number per language and piece. Nothing but the text and the label is used.
 Contract: one row per input row. A null text or one without letters is ``und`` with score 0, and
 so is everything if no document is labelled. Equal posteriors go to the smaller label. Training
 documents are those with a non-null label and crc32(doc_id as text) mod 5 not 0; a row without
-doc_id is neither trained on nor held out. Runs over ``LONGEST`` letters are scored in stretches
-of that length; all of a text counts. Forward probabilities are rescaled before they underflow,
-however rare a piece is, and scores are summed text by text. Extra columns are ignored by
+doc_id is neither trained on nor held out. A run of letters is one word however long it is; short
+words are scored side by side, longer ones one by one in constant memory, with the same result.
+Forward probabilities are rescaled before they underflow, however rare a piece is, and scores are
+summed text by text. Extra columns are ignored by
 ``identify`` and kept by ``accepted``.
 """
 
@@ -38,10 +39,13 @@ UNKNOWN = "und"
 PIECE_FILE = "piece_bpe_32k.model"
 FOLDS = 5
 SMOOTHING = 0.1
-LONGEST = 40
 LEAST_SCORE = 0.5
 #: Forward probabilities below this are rescaled (by powers of two, so nothing is rounded).
 LEAST_FORWARD = 2.0**-300
+#: Longer words are scored one by one.
+ABREAST = 40
+#: Letters of a long word whose pieces are looked up at once.
+LOOKED_UP = 4096
 #: Words whose probabilities a worker remembers, and words a task counts before it cuts them.
 CACHED_WORDS = 300_000
 
@@ -123,7 +127,7 @@ def _letter_table() -> np.ndarray:
 
 class Words:
     """The words of some texts as code points, in the order of the texts: maximal runs of letters,
-    lower-cased, longer ones in stretches of ``LONGEST``."""
+    lower-cased."""
 
     def __init__(self, texts: list[str | None]):
         plain = [text.replace("\0", " ") if text else "" for text in texts]
@@ -131,11 +135,6 @@ class Words:
         inside = np.concatenate(([False], _letter_table()[self.codes], [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
-        parts = -(-(ends - starts) // LONGEST)
-        if (parts > 1).any():
-            number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            starts, ends = np.repeat(starts, parts) + number * LONGEST, np.repeat(ends, parts)
-            ends = np.minimum(ends, starts + LONGEST)
         self.starts, self.sizes = starts, ends - starts
         self.hashes = span_hashes(self.codes, starts, ends)
         breaks = np.flatnonzero(self.codes == 0)
@@ -165,7 +164,10 @@ class Model:
         known = pieces(self.path)
         out = np.zeros((len(chosen), len(self.languages)))
         sizes = words.sizes[chosen]
-        for size in np.unique(sizes):
+        for k in np.flatnonzero(sizes > ABREAST):
+            start = words.starts[chosen[k]]
+            out[k] = self._long_word(words.codes[start : start + sizes[k]])
+        for size in np.unique(sizes[sizes <= ABREAST]):
             members = np.flatnonzero(sizes == size)
             n = int(size) + 1
             for start in range(0, len(members), 8192):
@@ -201,6 +203,43 @@ class Model:
         return out
 
 
+    def _long_word(self, codes: np.ndarray) -> np.ndarray:
+        """The same for one word. Pieces of a stretch of letters are looked up together; the recursion
+        keeps as many columns as a piece has letters, the newest first."""
+        known, longest = pieces(self.path), pieces(self.path).longest
+        letters = np.concatenate(([ord(_MARK)], codes)).astype(np.uint64)
+        ring = np.zeros((longest, len(self.languages)))
+        ring[0] = 1.0
+        scale = np.zeros(len(self.languages), np.int64)
+        for start in range(0, len(letters), LOOKED_UP):
+            ends = np.arange(start, min(start + LOOKED_UP, len(letters)))
+            first = max(0, start - longest + 1)
+            # numbers[n - 1, e]: piece of n letters that ends with letter e
+            numbers = np.zeros((longest, len(ends)), np.int64)
+            begins = np.arange(first, ends[-1] + 1)
+            value = np.zeros(len(begins), np.uint64)
+            for n in range(1, longest + 1):
+                inner = begins + n <= len(letters)
+                begins, value = begins[inner], value[inner]
+                value = known.longer(value, letters[begins + n - 1])
+                number = known.find(value)
+                here = (number > 0) & (begins + n - 1 >= start) & (begins + n - 1 <= ends[-1])
+                numbers[n - 1, begins[here] + n - 1 - start] = number[here]
+                begins, value = begins[number != 0], value[number != 0]
+            for column in numbers.T:
+                share = self.share[column]
+                share[1:][column[1:] == 0] = 0.0  # only a single letter may be unknown
+                now = (ring * share).sum(axis=0)
+                ring[1:] = ring[:-1].copy()
+                ring[0] = now
+                low = now < LEAST_FORWARD
+                if low.any():
+                    power = np.where(low, np.frexp(now)[1], 0)
+                    ring = np.ldexp(ring, -power)
+                    scale += power
+        return np.log(ring[0]) + scale * np.log(2.0)
+
+
 class Scorer:
     """Text scores of a model, with a bounded memory of words already scored."""
 

@@ -20,8 +20,9 @@ Contract: rows with equal doc_id are one document, a null doc_id is one document
 all others. One row per input row; an empty table gives no rows; other columns are ignored.
 
 Scale. Texts move once, to meet their dropped keys. A line that a third of all documents hold is
-counted before the shuffle, and probed in ``SALTS`` places per shard. A filter holds one shard's
-frequent keys, and the number of shards grows with the documents.
+counted before the shuffle, and its shard is probed in as many places as its rows need
+(``ROWS_A_PLACE``). A filter holds one shard's frequent keys; the number of shards grows with the
+documents of ``dedupe`` and doubles whenever ``insert`` finds more than ``KEYS_A_SHARD`` keys a shard.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ from turnsift.operators.durable import written
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
-SALTS = 16
+ROWS_A_PLACE = 50_000
+KEYS_A_SHARD = 50_000
 DOCS_A_SHARD = 1000
 LEAST_SHARDS = 64
 
@@ -60,11 +62,11 @@ class CuckooFilter:
     @classmethod
     def sized(cls, keys: int) -> CuckooFilter:
         buckets = 1 << max(2, int(np.ceil(np.log2(max(1, keys) / (_WAYS * 0.6)))))
-        return cls(np.zeros((buckets, _WAYS), np.uint16), np.zeros(0, np.uint32))
+        return cls(np.zeros((buckets, _WAYS), np.uint16), np.zeros(0, np.uint64))
 
     @classmethod
     def load(cls, slots: bytes, stash: bytes) -> CuckooFilter:
-        return cls(np.frombuffer(slots, np.uint16).reshape(-1, _WAYS).copy(), np.frombuffer(stash, np.uint32).copy())
+        return cls(np.frombuffer(slots, np.uint16).reshape(-1, _WAYS).copy(), np.frombuffer(stash, np.uint64).copy())
 
     def dump(self) -> tuple[bytes, bytes]:
         return self.slots.tobytes(), self.stash.tobytes()
@@ -86,7 +88,7 @@ class CuckooFilter:
         mark, a, b = self._places(keys)
         found = (self.slots[a] == mark[:, None]).any(axis=1) | (self.slots[b] == mark[:, None]).any(axis=1)
         if len(self.stash):
-            low = np.minimum(a, b).astype(np.uint32) << 16 | mark
+            low = np.minimum(a, b).astype(np.uint64) << np.uint64(16) | mark.astype(np.uint64)
             found |= np.isin(low, self.stash)
         return found
 
@@ -109,7 +111,7 @@ class CuckooFilter:
             if self._put(mark, at):
                 return
         low = min(at, at ^ int(self._other(mark)))
-        self.stash = np.append(self.stash, np.uint32(low << 16 | mark))
+        self.stash = np.append(self.stash, np.uint64(low << 16 | mark))
 
     def remove(self, key: bytes) -> bool:
         """Take out a key that was added."""
@@ -119,7 +121,7 @@ class CuckooFilter:
             if len(held):
                 self.slots[bucket, held[0]] = 0
                 return True
-        held = np.flatnonzero(self.stash == (min(a, b) << 16 | mark))
+        held = np.flatnonzero(self.stash == np.uint64(min(a, b) << 16 | mark))
         if len(held):
             self.stash = np.delete(self.stash, held[0])
         return bool(len(held))
@@ -221,7 +223,20 @@ class LineIndex:
                 "lines-counts",
             )
             refs = written(self.refs.unionByName(fresh), "lines-refs")
-        return self._with(refs, counts)
+        shards, keys = self.shards, counts.count()
+        while shards * KEYS_A_SHARD < keys:
+            shards *= 2
+        return self._with(refs, counts) if shards == self.shards else self._split(refs, counts, shards)
+
+    def _split(self, refs: DataFrame, counts: DataFrame, shards: int) -> LineIndex:
+        """The tables dealt to more shards, with new filters."""
+        refs, counts = (
+            written(table.withColumn("shard", _shard(F.col("key"), shards)), f"lines-{name}")
+            for name, table in (("refs", refs), ("counts", counts))
+        )
+        index = LineIndex(refs, counts, self.filters, shards, self.least_docs)
+        filters = written(_built(index.frequent()), "lines-filters")
+        return LineIndex(refs, counts, filters, shards, self.least_docs)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents of ``doc_ids`` (column doc_id)."""
@@ -295,14 +310,17 @@ def _changed(filters: DataFrame, changes: DataFrame, now: DataFrame) -> DataFram
 
 
 def _probed(refs: DataFrame, filters: DataFrame) -> DataFrame:
-    """key, doc of the rows their shard's filter may hold. A shard's filter goes to ``SALTS``
-    places, its rows to one of them; in a place the filter comes first."""
-    asked = refs.select(
-        "shard", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"),
+    """key, doc of the rows their shard's filter may hold. A shard's filter goes to one place per
+    ``ROWS_A_PLACE`` rows, a row to one of them; in a place the filter comes first."""
+    places = written(
+        refs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ROWS_A_PLACE).cast("int").alias("places")), "lines-places"
+    )
+    asked = refs.join(places, "shard").select(
+        "shard", F.pmod(F.xxhash64("doc"), F.col("places")).cast("int").alias("salt"), F.lit(1).alias("kind"),
         "key", "doc", F.lit(None).cast("binary").alias("slots"), F.lit(None).cast("binary").alias("stash"),
     )
-    told = filters.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"),
+    told = filters.join(places, "shard").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"), F.lit(0).alias("kind"),
         F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc"), "slots", "stash",
     )
 

@@ -92,14 +92,18 @@ class _Slice:
         self.row_of = np.searchsorted(self.rows, self.starts, "right") - 1
         self.spans: list[list[Span]] = [[] for _ in range(len(self.rows) - 1)]
         self.values: list[tuple[int, int]] = []  # bytes of what the rules found, without the names
+        ruled: list[tuple[int, int]] = []  # bytes of whole rule spans
         for row, (a, b) in enumerate(zip(self.rows[:-1], self.rows[1:])):
             low = lowered[a:b]
             if any(word in low for word in _ASSIGN_WORDS):
                 text = self.raw[a:b].decode()
+                at, counted = int(a), 0  # bytes up to the characters counted so far
                 for start, end, value in _assignments(text, low):
                     self.spans[row].append((start, 0, end))
-                    at = a + len(text[:value].encode())
+                    head = at + len(text[counted:start].encode())
+                    at, counted = head + len(text[start:value].encode()), value
                     self.values.append((at, at + end - value))
+                    ruled.append((head, at + end - value))
         for i in np.flatnonzero(self.ends - self.starts >= _LEAST_ACCESS):
             token = self.raw[self.starts[i] : self.ends[i]].decode()
             row = self.row_of[i]
@@ -110,22 +114,21 @@ class _Slice:
                         start = self.point(row, at)
                         self.spans[row].append((start, kind, start + m.end() - m.start()))
                         self.values.append((at, at + m.end() - m.start()))
+                        ruled.append((at, at + m.end() - m.start()))
+        ruled.sort()
+        spans = np.array(ruled, np.int64).reshape(-1, 2)
+        #: Starts of the rule spans, ascending, and the largest end so far.
+        self.ruled_from, self.ruled_to = spans[:, 0], np.maximum.accumulate(spans[:, 1])
 
     def point(self, row: int, at: int) -> int:
         return int(self.points[at] - self.points[self.rows[row]])
 
     def unruled(self, least: int) -> np.ndarray:
         """Numbers of the runs of at least ``least`` characters that touch no rule span."""
-        out = []
-        for i in np.flatnonzero(self.ends - self.starts >= least):
-            spans = self.spans[self.row_of[i]]
-            if spans:
-                start = self.point(self.row_of[i], self.starts[i])
-                end = start + int(self.ends[i] - self.starts[i])
-                if any(s < end and start < e for s, _, e in spans):
-                    continue
-            out.append(i)
-        return np.array(out, np.int64)
+        runs = np.flatnonzero(self.ends - self.starts >= least)
+        earlier = np.searchsorted(self.ruled_from, self.ends[runs])
+        reach = np.concatenate(([-1], self.ruled_to))[earlier]
+        return runs[reach <= self.starts[runs]]
 
 
 def _steps(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
