@@ -2,7 +2,8 @@
 
 A text is folded to lower case once; every rule then looks for the plain words it
 cannot match without before its regex runs, so almost all text is rejected by byte
-search. The hits of all rules travel as one BIGINT bit mask.
+search. The hits of up to ``MASK_BITS`` rules travel as one BIGINT bit mask, those of more rules as
+a list of rule numbers (``many_rules``); ``has_hit`` reads both.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from turnsift.functions import many_rules
 from turnsift.functions.text import (
     SPACE,
     SPACE_CHARS,
@@ -28,6 +30,7 @@ HEURISTIC = "heuristic"
 BOUNDARY = "boundary"
 MIXED_SCRIPT = "mixed_script"
 
+MASK_BITS = 62
 EVIDENCE_REACH = 40
 EVIDENCE_CHARS = 500
 EVIDENCE_JOIN = " … "
@@ -201,13 +204,14 @@ def _bit_sql(mask: str, position: int) -> str:
 def with_rule_mask(
     df: DataFrame, text: str, rules: Sequence[Rule] = RULES, out: str = "rule_mask"
 ) -> DataFrame:
-    """Add the bit mask of matching rules.
+    """Add the bit mask of matching rules, or for a longer table the list of their numbers.
 
     The mask leaves through a one-element generator: a later filter on it or on a score
     then stays above the regexes instead of being pushed down as a second copy of them.
     """
-    if len(rules) > 62:
-        raise ValueError("a mask holds at most 62 rules")
+    if len(rules) > MASK_BITS:
+        mixed = mixed_script(text) if any(r.family == MIXED_SCRIPT for r in rules) else None
+        return many_rules.with_hits(df, text, rules, fold_case(text), jvm_regex, mixed, MIXED_SCRIPT, out)
     bits = [
         f"IF({_hit_sql(rule, quote_name(text), '_folded')}, {1 << i}L, 0L)"
         for i, rule in enumerate(rules)
@@ -219,8 +223,15 @@ def with_rule_mask(
     )
 
 
+def has_hit(mask: str = "rule_mask", rules: Sequence[Rule] = RULES) -> Column:
+    """Whether any rule matched."""
+    return F.size(mask) > 0 if len(rules) > MASK_BITS else F.col(mask) != 0
+
+
 def rule_ids(mask: str = "rule_mask", rules: Sequence[Rule] = RULES) -> Column:
     """Matched rule ids in table order."""
+    if len(rules) > MASK_BITS:
+        return many_rules.ids(mask, rules)
     name = quote_name(mask)
     ids = [f"IF({_bit_sql(name, i)}, {literal(r.rule_id)}, NULL)" for i, r in enumerate(rules)]
     return F.expr(f"array_compact(array({', '.join(ids)}))")
@@ -230,6 +241,8 @@ def points(
     families: Sequence[str], mask: str = "rule_mask", rules: Sequence[Rule] = RULES
 ) -> Column:
     """Capped sum of the weights, in hundredths so that no float noise builds up."""
+    if len(rules) > MASK_BITS:
+        return many_rules.points(families, mask, rules)
     name = quote_name(mask)
     parts = [
         f"IF({_bit_sql(name, i)}, {r.points}, 0)"
@@ -247,28 +260,51 @@ def boundary_points(mask: str = "rule_mask", rules: Sequence[Rule] = RULES) -> C
     return points((BOUNDARY,), mask, rules)
 
 
+def _found_sql(folded: str, regexes: str) -> str:
+    """Start and size in characters of the first match of every regex; the text is folded once."""
+    return (
+        f"transform(array({folded}), f -> transform({regexes}, x -> "
+        "named_struct('s', length(split(f, x, 2)[0]), 'm', length(regexp_substr(f, x)))))[0]"
+    )
+
+
+def _around_sql(text: str, found: str) -> str:
+    """The surroundings of every match."""
+    first = f"greatest(p.s - {EVIDENCE_REACH}, 0)"
+    last = f"least(p.s + p.m + {EVIDENCE_REACH}, length({text}))"
+    around = f"substring({text}, {first} + 1, {last} - {first})"
+    return f"transform({found}, p -> {strip_sql(around)})"
+
+
 def _family_evidence_sql(text: str, folded: str, mask: str, families, rules) -> str:
     regexes = ", ".join(
         f"IF({_bit_sql(mask, i)}, {literal(jvm_regex(r))}, NULL)"
         for i, r in enumerate(rules)
         if r.family in families and r.family != MIXED_SCRIPT
     )
-    # start and size of every match in characters; the text is folded once for all rules
-    found = (
-        f"transform(array({folded}), f -> transform(array_compact(array({regexes})), x -> "
-        "named_struct('s', length(split(f, x, 2)[0]), 'm', length(regexp_substr(f, x)))))[0]"
+    parts = _around_sql(text, _found_sql(folded, f"array_compact(array({regexes}))"))
+    for i, rule in enumerate(rules):
+        if rule.family == MIXED_SCRIPT and rule.family in families:
+            parts = _with_head_sql(parts, text, _bit_sql(mask, i))
+    return f"left(array_join({parts}, {literal(EVIDENCE_JOIN)}), {EVIDENCE_CHARS})"
+
+
+def _with_head_sql(parts: str, text: str, hit: str) -> str:
+    """The head of the text for a mixed-script hit."""
+    head = strip_sql(f"left({text}, 100)")
+    return f"concat({parts}, IF({hit}, array({head}), CAST(array() AS array<string>)))"
+
+
+def _listed_evidence_sql(text: str, folded: str, hits: str, families, rules) -> str:
+    """The same for a list of rule numbers."""
+    patterns = ", ".join(
+        literal(jvm_regex(r)) if r.family in families and r.family != MIXED_SCRIPT else "NULL" for r in rules
     )
-    first = f"greatest(p.s - {EVIDENCE_REACH}, 0)"
-    last = f"least(p.s + p.m + {EVIDENCE_REACH}, length({text}))"
-    around = f"substring({text}, {first} + 1, {last} - {first})"
-    parts = f"transform({found}, p -> {strip_sql(around)})"
+    chosen = f"array_compact(transform({hits}, i -> get(array({patterns}), i)))"
+    parts = _around_sql(text, _found_sql(folded, chosen))
     for i, rule in enumerate(rules):
         if rule.family == MIXED_SCRIPT and rule.family in families:
-            head = strip_sql(f"left({text}, 100)")
-            parts = (
-                f"concat({parts}, "
-                f"IF({_bit_sql(mask, i)}, array({head}), CAST(array() AS array<string>)))"
-            )
+            parts = _with_head_sql(parts, text, f"array_contains({hits}, {i})")
     return f"left(array_join({parts}, {literal(EVIDENCE_JOIN)}), {EVIDENCE_CHARS})"
 
 
@@ -279,6 +315,7 @@ def evidence(text: str, mask: str = "rule_mask", rules: Sequence[Rule] = RULES)
     """
     body, bits = quote_name(text), quote_name(mask)
     folded = fold_case_sql(body)
-    heuristic = _family_evidence_sql(body, folded, bits, (HEURISTIC, MIXED_SCRIPT), rules)
-    boundary = _family_evidence_sql(body, folded, bits, (BOUNDARY,), rules)
+    family = _listed_evidence_sql if len(rules) > MASK_BITS else _family_evidence_sql
+    heuristic = family(body, folded, bits, (HEURISTIC, MIXED_SCRIPT), rules)
+    boundary = family(body, folded, bits, (BOUNDARY,), rules)
     return F.expr(f"coalesce(nullif({heuristic}, ''), {boundary})")

@@ -121,7 +121,7 @@ def text_check(
 ) -> DataFrame:
     """Averaged score with its components, verdict, rules and up to 300 evidence chars."""
     scanned = with_scan(df, text, cfg, rules, scorer)
-    hit = F.when(F.col("rule_mask") != 0, F.left(R.evidence(text, rules=rules), F.lit(300)))
+    hit = F.when(R.has_hit(rules=rules), F.left(R.evidence(text, rules=rules), F.lit(300)))
     model = F.round("ml_score", 3) if "ml_score" in scanned.columns else F.lit(None).cast("double")
     return scanned.withColumns(
         {
@@ -151,7 +151,7 @@ def text_scan(
             R.heuristic_points(rules=rules), R.boundary_points(rules=rules), model
         ),
     )
-    hit = F.when(F.col("rule_mask") != 0, R.evidence(text, rules=rules))
+    hit = F.when(R.has_hit(rules=rules), R.evidence(text, rules=rules))
     return scanned.withColumns(
         {
             "verdict": scoring.three_way(F.col("score")),

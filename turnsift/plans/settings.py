@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnsift import schema as S
 from turnsift.config import ScanConfig
 from turnsift.functions import scoring
-from turnsift.functions.rules import RULES
+from turnsift.functions.rules import HEURISTIC, RULES, Rule
 from turnsift.operators import chain, detect, evaluate, model
 from turnsift.operators.durable import ensure_checkpoint_dir
 from turnsift.plans import overlay, sql as Q
@@ -148,6 +148,34 @@ s AS (SELECT session_id, turn_index, ({_chosen('H')} + {_chosen('IB')}) / 200.0
 SELECT session_id, turn_index, score, {Q.three_way('score')} AS verdict, rules FROM s"""
 
 
+def numbered_rules(count: int = 500) -> list[Rule]:
+    """Rule n looks for two letters, a vowel and a letter, all following from n; worth 1 to 4 points."""
+    def letter(n: int) -> str:
+        return chr(97 + n % 26)
+
+    return [
+        Rule(f"M{n:03}", HEURISTIC, n % 4 + 1, f"{letter(n)}{letter(n // 26)}[aeiou]{letter(n * 7)}", f"rule {n}",
+             ((letter(n) + letter(n // 26),),))
+        for n in range(count)
+    ]
+
+
+def many_rules(spark, sf_dir):
+    """Every document against five hundred rules."""
+    rules = numbered_rules()
+    scanned = detect.text_scan(overlay.table(spark, sf_dir, "documents"), "text", rules)
+    return scanned.select("doc_id", "score", F.array_join("matched_heuristics", ",").alias("rules"))
+
+
+MANY_SQL = """WITH rules AS (SELECT n, 'M' || lpad(CAST(n AS VARCHAR), 3, '0') AS rule_id, n % 4 + 1 AS points,
+  chr(CAST(97 + n % 26 AS INTEGER)) || chr(CAST(97 + (n // 26) % 26 AS INTEGER)) || '[aeiou]'
+    || chr(CAST(97 + (n * 7) % 26 AS INTEGER)) AS pattern FROM range(500) t(n)),
+hits AS (SELECT doc_id, string_agg(rule_id, ',' ORDER BY n) AS rules, sum(points) AS points
+  FROM documents, rules WHERE regexp_matches(lower(text), pattern) GROUP BY doc_id)
+SELECT d.doc_id, least(100, coalesce(points, 0)) / 100.0 AS score, coalesce(rules, '') AS rules
+FROM documents d LEFT JOIN hits USING (doc_id)"""
+
+
 def configured_signals(spark, sf_dir):
     """Message signals at the threshold a session setting names; a bad setting is ignored."""
     names = {"spark.turnsift.threshold": "0.4", "spark.turnsift.window_turns": "many"}
@@ -265,6 +293,7 @@ QUERIES = {
     "session_log_whole": (session_log_whole, SESSION_LOG_WHOLE_SQL),
     "model_formulas": (model_formulas, MODEL_SQL),
     "custom_rules": (custom_rules, CUSTOM_SQL),
+    "many_rules": (many_rules, MANY_SQL),
     "configured_signals": (configured_signals, CONFIGURED_SQL),
     "alert_rows": (alert_rows, ALERTS_SQL),
     "imported_hashes": (imported_hashes, IMPORTED_SQL),

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnsift.operators import chain
-from turnsift.operators.durable import ensure_checkpoint_dir
+from turnsift.operators.durable import ensure_checkpoint_dir, written
 from turnsift.plans import overlay, sql as Q
 from turnsift.plans.detection import TURN_SIGNALS_SQL, _shown
 from turnsift.plans.fingerprinting import ASSIGNED
 from turnsift.plans.session_tables import PAIRS_SQL
-from turnsift.streaming import jobs
+from turnsift.streaming import jobs, turns
 from turnsift.streaming.sinks import SignalSink
 
 
@@ -81,6 +81,26 @@ ch AS (SELECT session_id, n, '' AS prev_hash, sha256(digest) AS event_hash FROM
 SELECT session_id, CAST(n - 1 AS INTEGER) AS turn_index, prev_hash, event_hash, false AS late FROM ch"""
 
 
+def stream_continued_chain(spark, sf_dir):
+    """The first two turns of every session as a stored chain, the others as a stream that starts
+    with its heads: together the chain of the whole session."""
+    content = ["session_id", "turn_index", "role", "content"]
+    digest = chain.content_digest(content)
+    stored = overlay.conversations(spark, sf_dir).filter("turn_index < 2").withColumn(
+        "event_id", F.concat_ws(":", "session_id", F.lpad(F.col("turn_index").cast("string"), 9, "0"))
+    ).withColumn("digest", digest)
+    built = written(chain.build_chain(stored), "stored-chain")
+    heads = turns.heads_of(stored, built)
+    messages = _messages(spark, sf_dir).filter("turn_index >= 2").withColumn("digest", digest)
+    with turns.state_in_rocksdb(spark):
+        done = _to_table(turns.continued_turns(messages, heads), _folder(spark))
+    columns = ["session_id", "turn_index", "prev_hash", "event_hash"]
+    return built.select(*columns).unionByName(done.select(*columns))
+
+
+STREAM_CONTINUED_SQL = STREAM_CHAIN_SQL.replace(", false AS late", "")
+
+
 def stream_running_max(spark, sf_dir):
     """Highest score per session in update mode, last update of every session."""
     folder = _folder(spark)
@@ -165,6 +185,7 @@ QUERIES = {
     "stream_turn_signals": (stream_turn_signals, TURN_SIGNALS_SQL),
     "stream_windows": (stream_windows, STREAM_WINDOWS_SQL),
     "stream_chain": (stream_chain, STREAM_CHAIN_SQL),
+    "stream_continued_chain": (stream_continued_chain, STREAM_CONTINUED_SQL),
     "stream_running_max": (stream_running_max, STREAM_MAX_SQL),
     "stream_unique_events": (stream_unique_events, UNIQUE_SQL),
     "stream_pairs": (stream_pairs, PAIRS_SQL),
