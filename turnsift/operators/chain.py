@@ -92,6 +92,51 @@ def chain_validity(checked: DataFrame) -> DataFrame:
     )
 
 
+def chain_ledger(checked: DataFrame) -> DataFrame:
+    """session_id, last_turn, last_hash, chain_valid, total_turns after a full verification; ``checked``
+    has link_ok and hash_ok."""
+    return checked.groupBy("session_id").agg(
+        F.max("turn_index").alias("last_turn"),
+        F.max_by("event_hash", "turn_index").alias("last_hash"),
+        F.bool_and(F.col("link_ok") & F.col("hash_ok")).alias("chain_valid"),
+        F.count(F.lit(1)).alias("total_turns"),
+    )
+
+
+def extended_ledger(
+    ledger: DataFrame, events: DataFrame, digest: Column, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """The ledger after verifying only events behind its last turns.
+
+    ``events``: session_id, turn_index, prev_hash, event_hash and what ``digest`` needs. Events up to a
+    session's last verified turn are left out before anything is hashed; the first one behind it
+    has to link to the ledger's hash. A chain found broken stays broken. What happened to verified
+    events since is not seen: that takes a full verification, or a ledger kept apart.
+    """
+    known = ledger.select("session_id", "last_turn", "last_hash")
+    fresh = (
+        events.join(known, "session_id", "left")
+        .filter(F.col("last_turn").isNull() | (F.col("turn_index") > F.col("last_turn")))
+        .drop("last_turn")
+    )
+    linked = with_previous(fresh, ["session_id"], ["turn_index"], chunk_of(F.col("turn_index"), chunk_rows), ["event_hash"])
+    expected = F.coalesce(F.col("previous.event_hash"), F.col("last_hash"), F.lit(""))
+    checked = with_hash_check(
+        linked.withColumn("link_ok", F.col("prev_hash").eqNullSafe(expected)).drop("previous"), digest
+    )
+    new = chain_ledger(checked).withColumn("_step", F.lit(1))
+    return (
+        ledger.withColumn("_step", F.lit(0)).unionByName(new)
+        .groupBy("session_id")
+        .agg(
+            F.max("last_turn").alias("last_turn"),
+            F.max_by("last_hash", "_step").alias("last_hash"),
+            F.bool_and("chain_valid").alias("chain_valid"),
+            F.sum("total_turns").alias("total_turns"),
+        )
+    )
+
+
 @F.pandas_udf(StringType())
 def imported_event_hash(payload: pd.Series, prev_hash: pd.Series) -> pd.Series:
     """Hash of an imported trace event: prev_hash + sorted-key JSON without event_hash."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from turnsift.functions import scoring
-from turnsift.operators import detect, evaluate, model
+from turnsift.operators import detect, evaluate, model, naive_bayes
 from turnsift.plans import overlay, sql as Q
 from turnsift.sources import tables
 
@@ -129,7 +129,32 @@ def ml_scores(spark, sf_dir):
     return overlay.with_labels(checked, spark, sf_dir).drop("labelled")
 
 
+def nb_scores(spark, sf_dir):
+    """Probability of every document under word counts of the labelled ones, and the score with it."""
+    docs = overlay.documents(spark, sf_dir)
+    labelled = overlay.with_labels(docs.select("doc_id", "text"), spark, sf_dir).filter("labelled")
+    weights = naive_bayes.train(labelled, "text", "label")
+    scanned = detect.with_scan(docs.select("doc_id", "text"), "text", scorer=naive_bayes.scorer(weights, "doc_id"))
+    return scanned.select("doc_id", F.round("ml_score", 6).alias("ml_score"), "score")
+
+
+NB_SQL = f"""WITH {Q.DOCS},
+{Q.with_rules('docs', 'text', 'ruled')},
+w AS (SELECT doc_id, label, labelled, unnest(regexp_extract_all(translate(text,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS word FROM docs),
+c AS (SELECT word, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0
+  FROM w WHERE labelled GROUP BY word),
+t AS (SELECT count(*) AS v, sum(n1) AS t1, sum(n0) AS t0 FROM c),
+p AS (SELECT ln(count(*) FILTER (label = 1) / count(*) FILTER (label = 0)) AS prior FROM docs WHERE labelled),
+weight AS (SELECT word, ln((n1 + 1) / (t1 + v)) - ln((n0 + 1) / (t0 + v)) AS weight FROM c, t),
+odds AS (SELECT doc_id, sum(weight) AS odds FROM w JOIN weight USING (word) GROUP BY doc_id),
+ml AS (SELECT doc_id, hp, ibp, 0.5 * (1 + tanh((prior + coalesce(odds, 0)) / 2)) AS ml
+  FROM ruled LEFT JOIN odds USING (doc_id), p)
+SELECT doc_id, round(ml, 6) AS ml_score, round((hp + ibp) * 0.003 + ml * 0.4, 4) AS score FROM ml"""
+
+
 QUERIES = {
+    "nb_scores": (nb_scores, NB_SQL),
     "detection_counts": (detection_counts, COUNTS_SQL),
     "detection_by_group": (detection_by_group, BY_GROUP_SQL),
     "rule_frequency": (rule_frequency, FREQUENCY_SQL),

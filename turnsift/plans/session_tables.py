@@ -273,6 +273,19 @@ CHAIN_VERIFY_SQL = f"""WITH RECURSIVE {Q.CONV},
 SELECT session_id, chain_valid, total_turns FROM chains"""
 
 
+def chain_increment(spark, sf_dir):
+    """The same verdicts from a ledger over the first two turns and the turns behind them."""
+    stored = durable(chain_build(spark, sf_dir))
+    now = overlay.conversations(spark, sf_dir).select(
+        "session_id", "turn_index", "role", "content"
+    ).withColumn("digest", chain.content_digest(_CONTENT))
+    events = stored.join(now.select("session_id", "turn_index", "digest"), ["session_id", "turn_index"])
+    digest = F.col("digest")
+    first = chain.with_hash_check(chain.with_link_check(events.filter("turn_index < 2")), digest)
+    ledger = durable(chain.chain_ledger(first))
+    return chain.extended_ledger(ledger, events, digest).select("session_id", "chain_valid", "total_turns")
+
+
 def chain_links(spark, sf_dir):
     """Link check on a chain with its odd-length messages' events removed."""
     stored = durable(chain_build(spark, sf_dir))
@@ -319,6 +332,7 @@ QUERIES = {
     "exported_events": (exported_events, EXPORT_SQL),
     "chain_build": (chain_build, CHAIN_BUILD_SQL),
     "chain_verify": (chain_verify, CHAIN_VERIFY_SQL),
+    "chain_increment": (chain_increment, CHAIN_VERIFY_SQL),
     "chain_links": (chain_links, CHAIN_LINKS_SQL),
     "evidence_lines": (evidence_lines, EVIDENCE_LINES_SQL),
 }

@@ -20,7 +20,12 @@ from turnsift.plans.ingest import CALLS, _calls, _json, _parsed, _unnested
 from turnsift.sources import logs, tables
 from turnsift.streaming.sinks import SignalSink, alert_feed
 
-WANTED = [str(n) for n in range(1, 400, 5)]
+def _wanted(spark, sf_dir):
+    """Sessions to look up, taken from the data: those with a signal of 0.5 or more."""
+    return signals(spark, sf_dir).filter("score >= 0.5").select("session_id").distinct()
+
+
+_WANTED_SQL = "(SELECT session_id FROM sig WHERE score >= 0.5)"
 
 
 def _folder(spark, name: str) -> str:
@@ -38,8 +43,8 @@ def _signal_columns(read):
 
 
 def stored_signals(spark, sf_dir):
-    """Signals written to their table and read back for some sessions."""
-    return _signal_columns(tables.session_signals(_signals_read_back(spark, sf_dir), WANTED))
+    """Signals written to their table and read back for the sessions with a strong one."""
+    return _signal_columns(tables.wanted_rows(_signals_read_back(spark, sf_dir), _wanted(spark, sf_dir)))
 
 
 def stored_signals_whole(spark, sf_dir):
@@ -47,9 +52,8 @@ def stored_signals_whole(spark, sf_dir):
     return _signal_columns(_signals_read_back(spark, sf_dir))
 
 
-_WANTED = ", ".join(f"'{n}'" for n in WANTED)
 STORED_SQL = f"""WITH {Q.ALL_SIGNALS}
-SELECT session_id, turn_index, msg_index, stage, score, rules FROM sig WHERE session_id IN ({_WANTED})"""
+SELECT session_id, turn_index, msg_index, stage, score, rules FROM sig WHERE session_id IN {_WANTED_SQL}"""
 
 STORED_WHOLE_SQL = f"""WITH {Q.ALL_SIGNALS}
 SELECT session_id, turn_index, msg_index, stage, score, rules FROM sig"""
@@ -76,8 +80,8 @@ def _event_columns(read):
 
 
 def session_log(spark, sf_dir):
-    """Events of some sessions, the filter pushed to the scan of the events table."""
-    return _event_columns(tables.session_events(_events_read_back(spark, sf_dir), WANTED))
+    """Events of the sessions with a strong signal, found by a table of ids."""
+    return _event_columns(tables.wanted_rows(_events_read_back(spark, sf_dir), _wanted(spark, sf_dir)))
 
 
 def session_log_whole(spark, sf_dir):
@@ -85,9 +89,22 @@ def session_log_whole(spark, sf_dir):
     return _event_columns(_events_read_back(spark, sf_dir))
 
 
-SESSION_LOG_SQL = f"""WITH {Q.CONV}
+SESSION_LOG_SQL = f"""WITH {Q.ALL_SIGNALS}
+SELECT session_id || ':' || turn_index AS event_id, session_id, turn_index, ts AS timestamp, role
+FROM conv WHERE session_id IN {_WANTED_SQL}"""
+
+
+def wanted_sessions(spark, sf_dir):
+    """Events of the sessions whose number is divisible by 100, from a table bucketed by session."""
+    read = _events_read_back(spark, sf_dir)
+    stored = tables.write_bucketed(read, f"events_{uuid.uuid4().hex}", _folder(spark, "bucketed"))
+    wanted = overlay.conversations(spark, sf_dir).filter("CAST(session_id AS bigint) % 100 = 0").select("session_id")
+    return _event_columns(tables.wanted_rows(stored, wanted))
+
+
+WANTED_SQL = f"""WITH {Q.CONV}
 SELECT session_id || ':' || turn_index AS event_id, session_id, turn_index, ts AS timestamp, role
-FROM conv WHERE session_id IN ({_WANTED})"""
+FROM conv WHERE CAST(session_id AS BIGINT) % 100 = 0"""
 
 SESSION_LOG_WHOLE_SQL = f"""WITH {Q.CONV}
 SELECT session_id || ':' || turn_index AS event_id, session_id, turn_index, ts AS timestamp, role FROM conv"""
@@ -290,6 +307,7 @@ QUERIES = {
     "stored_signals": (stored_signals, STORED_SQL),
     "stored_signals_whole": (stored_signals_whole, STORED_WHOLE_SQL),
     "session_log": (session_log, SESSION_LOG_SQL),
+    "wanted_sessions": (wanted_sessions, WANTED_SQL),
     "session_log_whole": (session_log_whole, SESSION_LOG_WHOLE_SQL),
     "model_formulas": (model_formulas, MODEL_SQL),
     "custom_rules": (custom_rules, CUSTOM_SQL),

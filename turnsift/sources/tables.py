@@ -47,6 +47,24 @@ def session_signals(signals: DataFrame, session_ids: list[str]) -> DataFrame:
     )
 
 
+def wanted_rows(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the sessions in ``wanted`` (session_id), any number of them. On a table from
+    ``write_bucketed`` only the ids move, never the rows."""
+    return table.join(wanted.select("session_id").distinct(), "session_id", "left_semi").select(*table.columns)
+
+
+def write_bucketed(rows: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """The rows as table ``name`` at ``path``, dealt and sorted by session, for lookups and joins by
+    session. A session's rows share a bucket, so take enough buckets for a task to hold the largest ones,
+    and no fewer than shuffle partitions: Spark shuffles a table of fewer buckets after all."""
+    (
+        rows.repartition(buckets, "session_id")
+        .write.mode("overwrite").format("parquet").option("path", path)
+        .bucketBy(buckets, "session_id").sortBy("session_id").saveAsTable(name)
+    )
+    return rows.sparkSession.table(name)
+
+
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """Partitioned by date. Range partitioning keeps files even when one day or session is
     large, and clusters sessions so that a session filter skips row groups."""
