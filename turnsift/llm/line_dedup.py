@@ -41,7 +41,7 @@ from turnsift.operators.durable import written
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
-ROWS_A_PLACE = 50_000
+ROWS_A_PLACE = 2_000
 KEYS_A_SHARD = 50_000
 DOCS_A_SHARD = 1000
 LEAST_SHARDS = 64
