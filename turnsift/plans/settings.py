@@ -12,12 +12,13 @@ from turnsift.config import ScanConfig
 from turnsift.functions import scoring
 from turnsift.functions.rules import HEURISTIC, RULES, Rule
 from turnsift.operators import chain, detect, evaluate, model
-from turnsift.operators.durable import ensure_checkpoint_dir
+from turnsift.operators.durable import durable, ensure_checkpoint_dir
 from turnsift.plans import overlay, sql as Q
 from turnsift.plans.detection import joined, signals
 from turnsift.plans.fingerprinting import arrived
 from turnsift.plans.ingest import CALLS, _calls, _json, _parsed, _unnested
 from turnsift.sources import logs, tables
+from turnsift.streaming.outbox import Outbox
 from turnsift.streaming.sinks import SignalSink, alert_feed
 
 def _wanted(spark, sf_dir):
@@ -228,6 +229,38 @@ ALERTS_SQL = f"""WITH {Q.ALL_SIGNALS}
 SELECT session_id, turn_index, score, rules AS matched_heuristics, source, ev AS evidence_snippet FROM sig"""
 
 
+def _takes(alert, event) -> None:
+    pass
+
+
+def _refuses_tools(alert, event) -> None:
+    if event.role == "tool":
+        raise ValueError(f"refused {len(event.content)}")
+
+
+def alert_deliveries(spark, sf_dir):
+    """The delivery log of all alerts for two handlers, one of which refuses the messages of tools; the
+    batch runs twice."""
+    found = durable(signals(spark, sf_dir))
+    alerts = durable(arrived(found).join(
+        found.withColumn("signal_id", F.concat_ws(":", "session_id", F.col("turn_index").cast("string"), "stage"))
+        .select("signal_id", "turn_index"), "signal_id",
+    ))
+    events = overlay.conversations(spark, sf_dir).select("session_id", "turn_index", "role", "content")
+    box = Outbox(_folder(spark, "outbox"), {"log": _takes, "strict": _refuses_tools})
+    for _ in range(2):
+        box.deliver(alerts, 0, events)
+    return box.log(spark).select("handler", "signal_id", "status", "attempts", "error")
+
+
+DELIVERIES_SQL = f"""WITH {Q.ALL_SIGNALS},
+a AS (SELECT sig.session_id || ':' || sig.turn_index || ':' || stage AS signal_id, role = 'tool' AS refused,
+  length(content) AS chars FROM sig JOIN conv USING (session_id, turn_index))
+SELECT 'log' AS handler, signal_id, 'delivered' AS status, 1 AS attempts, CAST(NULL AS VARCHAR) AS error FROM a
+UNION ALL SELECT 'strict', signal_id, CASE WHEN refused THEN 'dead' ELSE 'delivered' END,
+  CASE WHEN refused THEN 2 ELSE 1 END, CASE WHEN refused THEN 'ValueError: refused ' || chars END FROM a"""
+
+
 def imported_hashes(spark, sf_dir):
     """Verified imported traces; every seventh was changed after it was hashed."""
     conv = overlay.conversations(spark, sf_dir)
@@ -313,6 +346,7 @@ QUERIES = {
     "custom_rules": (custom_rules, CUSTOM_SQL),
     "many_rules": (many_rules, MANY_SQL),
     "configured_signals": (configured_signals, CONFIGURED_SQL),
+    "alert_deliveries": (alert_deliveries, DELIVERIES_SQL),
     "alert_rows": (alert_rows, ALERTS_SQL),
     "imported_hashes": (imported_hashes, IMPORTED_SQL),
     "stage_timings": (stage_timings, TIMINGS_SQL),

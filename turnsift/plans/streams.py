@@ -13,6 +13,7 @@ from turnsift.plans.detection import TURN_SIGNALS_SQL, _shown
 from turnsift.plans.fingerprinting import ASSIGNED
 from turnsift.plans.session_tables import PAIRS_SQL
 from turnsift.streaming import jobs, turns
+from turnsift.streaming.outputs import TurnSink
 from turnsift.streaming.sinks import SignalSink
 
 
@@ -152,6 +153,90 @@ def stream_pairs(spark, sf_dir):
     return done.filter("matched").drop("matched", "error")
 
 
+def _in_order(spark, messages: DataFrame, part, parts: int) -> DataFrame:
+    """The messages as a stream of ``parts`` files, one a batch, in the order of ``part``."""
+    folder = f"{_folder(spark)}/in"
+    for number in range(parts):
+        messages.filter(part == number).coalesce(1).write.mode("append").parquet(folder)
+    return jobs.read_log(spark, folder, messages.schema, files_per_trigger=1)
+
+
+_NO_SESSION = "nobody"
+
+
+def stream_unmatched(spark, sf_dir):
+    """All runs that user turns start, from four batches in the order of time: answered by the turn
+    behind, failed where that is a tool's, or never ended. What never ended leaves the state of
+    the join when the watermark has passed."""
+    messages = written(
+        overlay.conversations(spark, sf_dir).select("session_id", "turn_index", "role", "ts", F.length("content").alias("n")),
+        "run-messages",
+    )
+    times = messages.select(F.unix_seconds("ts").alias("seconds"))
+    quarter = times.approxQuantile("seconds", [0.25, 0.5, 0.75], 0.01)
+    part = sum((F.unix_seconds("ts") > q).cast("int") for q in quarter)
+    # a message of nobody, long after all others, lets the watermark pass them
+    end = messages.agg(F.max("ts").alias("ts")).select(
+        F.lit(_NO_SESSION).alias("session_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turn_index"),
+        (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
+    ).select(
+        "session_id", "turn_index", F.when(F.col("turn_index") == 0, "user").otherwise("assistant").alias("role"), "ts",
+        F.lit(0).alias("n"),
+    )
+    marked = messages.withColumn("part", part).unionByName(end.withColumn("part", F.lit(4)))
+    log = _in_order(spark, marked, F.col("part"), 5)
+    starts = log.filter("role = 'user'").select(
+        F.concat_ws(":", "session_id", "turn_index").alias("run_id"), "session_id",
+        F.col("ts").alias("started_at"), F.col("n").alias("request"),
+    )
+    tool = F.col("role") == "tool"
+    ends = log.filter("role <> 'user'").select(
+        F.concat_ws(":", "session_id", F.col("turn_index") - 1).alias("run_id"), F.col("ts").alias("ended_at"),
+        F.when(~tool, F.col("n")).alias("response"), F.when(tool, F.lit("tool")).alias("error"),
+    )
+    done = _to_table(jobs.paired_calls(starts, ends, "10 minutes"), _folder(spark))
+    return done.filter(F.col("session_id") != _NO_SESSION)
+
+
+UNMATCHED_SQL = f"""WITH {Q.CONV}
+SELECT s.session_id || ':' || s.turn_index AS run_id, s.session_id, s.ts AS started_at,
+  length(s.content) AS request, e.ts AS ended_at,
+  CASE WHEN e.role <> 'tool' THEN length(e.content) END AS response,
+  CASE WHEN e.role = 'tool' THEN 'tool' END AS error, e.session_id IS NOT NULL AS matched
+FROM conv s LEFT JOIN conv e ON s.session_id = e.session_id AND e.turn_index = s.turn_index + 1 AND e.role <> 'user'
+WHERE s.role = 'user'"""
+
+
+def stream_late_signals(spark, sf_dir):
+    """The third turn of every third session comes after all others: it is late, is neither numbered nor
+    chained, and its signal is found all the same."""
+    content = ["session_id", "turn_index", "role", "content"]
+    messages = overlay.conversations(spark, sf_dir).withColumn("digest", chain.content_digest(content)).withColumn(
+        "event_id", F.concat_ws(":", "session_id", "turn_index")
+    )
+    last = messages.groupBy("session_id").agg(F.max("turn_index").alias("last"))
+    late = (F.col("session_id").cast("long") % 3 == 0) & (F.col("turn_index") == 2) & (F.col("last") >= 4)
+    marked = written(messages.join(last, "session_id").withColumn("part", late.cast("int")), "late-messages")
+    sink = TurnSink(f"{_folder(spark)}/tables")
+    given = jobs.session_turns(_in_order(spark, marked, F.col("part"), 2), late_seconds=60)
+    _finish(given.writeStream.foreachBatch(sink), _folder(spark))
+    found = sink.read(spark, "signals").filter("turn_index IS NULL")
+    missed = sink.read(spark, "late").select("session_id", "event_id")
+    chained = sink.read(spark, "chain").groupBy("session_id").agg(F.count(F.lit(1)).alias("chained"))
+    return (
+        missed.join(found.select("session_id", "score", F.array_join("matched_heuristics", ",").alias("rules"),
+                                 "evidence_snippet"), "session_id", "left")
+        .join(chained, "session_id")
+    )
+
+
+LATE_SQL = f"""WITH {Q.MESSAGE_SIGNALS},
+n AS (SELECT session_id, max(turn_index) AS last, count(*) AS turns FROM conv GROUP BY 1),
+late AS (SELECT session_id, turns FROM n WHERE CAST(session_id AS BIGINT) % 3 = 0 AND last >= 4)
+SELECT l.session_id, l.session_id || ':2' AS event_id, m.score, m.rules, m.ev AS evidence_snippet, turns - 1 AS chained
+FROM late l LEFT JOIN msg m ON m.session_id = l.session_id AND m.turn_index = 2"""
+
+
 def stream_campaigns(spark, sf_dir):
     """Signals streamed through the sink: campaign matches of the alerts."""
     folder = _folder(spark)
@@ -189,5 +274,7 @@ QUERIES = {
     "stream_running_max": (stream_running_max, STREAM_MAX_SQL),
     "stream_unique_events": (stream_unique_events, UNIQUE_SQL),
     "stream_pairs": (stream_pairs, PAIRS_SQL),
+    "stream_unmatched": (stream_unmatched, UNMATCHED_SQL),
+    "stream_late_signals": (stream_late_signals, LATE_SQL),
     "stream_campaigns": (stream_campaigns, STREAM_CAMPAIGNS_SQL),
 }

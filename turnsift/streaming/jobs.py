@@ -20,11 +20,15 @@ from turnsift.operators.windows import window_or_own_signals
 
 def read_log(
     spark: SparkSession, path: str, schema: StructType, glob: str | None = None,
-    bytes_per_trigger: int = 1 << 30,
+    bytes_per_trigger: int = 1 << 30, files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Parquet folder as a stream with a declared schema. The size of a micro-batch bounds
     what a single session can bring into one task of a keyed operator."""
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_trigger)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    else:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,8 +11,8 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from turnsift.config import ScanConfig
 from turnsift.operators import fingerprints as fp
 from turnsift.operators.durable import written
+from turnsift.streaming.outbox import Handler, Outbox, StopOnSignal
 
-Handler = Callable[[Row], None]
 ALERT_COLUMNS = (
     "session_id", "turn_index", "score", "matched_heuristics", "source", "evidence_snippet",
 )
@@ -21,10 +20,6 @@ ALERT_COLUMNS = (
 _everywhere: list[Handler] = []
 
 
-class StopOnSignal(Exception):
-    """Raised by a handler to stop the stream; other exceptions only warn."""
-
-
 def register_everywhere(handler: Handler) -> None:
     """Call the handler for the alerts of every sink in this process; once per handler."""
     if handler not in _everywhere:
@@ -36,7 +31,7 @@ def unregister_everywhere(handler: Handler) -> None:
         _everywhere.remove(handler)
 
 
-def stop_on_signal(alert: Row) -> None:
+def stop_on_signal(alert: Row, event: Row | None = None) -> None:
     raise StopOnSignal(f"signal in session {alert['session_id']}")
 
 
@@ -49,9 +44,10 @@ class SignalSink:
     ``compact_every`` batches the deltas are merged into a new full table. A batch reads the last
     full table and the deltas since, all of earlier batches, so a repeated batch sees what it saw.
 
-    ``handlers`` are called one alert at a time on the driver, in order; they can stop the
-    stream. ``partition_handlers`` get an iterator of alerts on the executors and scale with the
-    alerts; a batch that runs twice calls them twice.
+    ``handlers`` are called on the executors with the alert and its event (from ``events``: session_id,
+    turn_index and more) through an ``Outbox``: once per alert even if the batch runs twice, what
+    fails goes to the dead letters. ``StopOnSignal`` from one of them stops the stream after the
+    batch. ``partition_handlers`` get an iterator of alerts; a batch that runs twice calls them twice.
     """
 
     folder: str
@@ -59,6 +55,7 @@ class SignalSink:
     handlers: list[Handler] = field(default_factory=list)
     partition_handlers: list[Callable[[Iterator[Row]], None]] = field(default_factory=list)
     compact_every: int = 16
+    events: DataFrame | None = None
 
     def on_signal(self, handler: Handler) -> None:
         self.handlers.append(handler)
@@ -82,7 +79,14 @@ class SignalSink:
         if self.cfg.fingerprinting:
             enriched = self._campaigns(signals, batch_id)
         enriched.write.mode("overwrite").parquet(self.path("alerts", batch_id))
-        self._fire(spark.read.parquet(self.path("alerts", batch_id)))
+        self._fire(spark.read.parquet(self.path("alerts", batch_id)), batch_id)
+
+    def outbox(self) -> Outbox:
+        """The delivery log of all handlers, those of this process last; a handler is known by its
+        place and name."""
+        found = [*self.handlers, *_everywhere]
+        names = {f"{i}:{getattr(h, '__qualname__', type(h).__name__)}": h for i, h in enumerate(found)}
+        return Outbox(self.path("outbox"), names)
 
     def fingerprints(self, spark: SparkSession, batches: int) -> DataFrame | None:
         """The fingerprints after the first ``batches`` batches."""
@@ -118,20 +122,16 @@ class SignalSink:
             merged.write.mode("overwrite").parquet(self.path("fingerprints", batch_id))
         return fp.with_campaign_match(assigned, stored)
 
-    def _fire(self, alerts: DataFrame) -> None:
+    def _fire(self, alerts: DataFrame, batch_id: int) -> None:
         for run in self.partition_handlers:
             alerts.foreachPartition(run)
-        handlers = [*self.handlers, *_everywhere]
-        if not handlers:
+        outbox = self.outbox()
+        if not outbox.handlers:
             return
-        for alert in alerts.orderBy("ts", "signal_id").toLocalIterator():
-            for handler in handlers:
-                try:
-                    handler(alert)
-                except StopOnSignal:
-                    raise
-                except Exception as error:  # noqa: BLE001 - one handler must not stop others
-                    warnings.warn(f"alert handler {handler!r} failed: {error}", stacklevel=2)
+        outbox.deliver(alerts, batch_id, self.events)
+        stops = outbox.stops(alerts.sparkSession, batch_id)
+        if stops:
+            raise StopOnSignal(f"{stops} alerts of batch {batch_id} stop the stream")
 
 
 def alert_feed(alerts: DataFrame) -> DataFrame:
