@@ -1,16 +1,20 @@
 """I-Match fingerprints over randomised subsets of a mid-frequency lexicon.
 
-A text's terms are its lower-cased words without repeats. The lexicon holds the terms whose share
-of documents lies in a band (their inverse document frequency is neither near zero nor so high
-that one edit changes it). ``SUBSETS`` random subsets of the lexicon are drawn by hashing terms;
-the fingerprint has one hash per subset, of the text's sorted lexicon terms in it. Likeness of
-two fingerprints is the share of subsets that agree. A text with fewer than ``LEAST_TERMS``
-lexicon terms is hashed over all its terms instead.
-
-The lexicon can be broadcast: the document frequencies of all terms sum to (documents x mean
-distinct terms), so at most mean / share terms reach a share of documents, however many documents
-there are; the lower share is raised where that would exceed ``MOST_TERMS``. Terms over
-``LONGEST_TERM`` characters are no lexicon terms.
+A text's terms are its lower-cased words without repeats, as 64-bit hashes. The lexicon holds the terms
+whose share of documents lies in a band (their inverse document frequency is neither near zero nor
+so high that one edit changes it). Random subsets of the lexicon are drawn by hashing terms, and a
+fingerprint has one hash per subset, of the text's sorted lexicon terms in it.
+
+A subset that holds many of a text's terms changes with any edit, one that holds none says nothing. So
+subsets come in levels: a subset of level l holds a term with probability 4**-l, and a text of T
+lexicon terms is hashed at three neighbouring levels around log4(T), where a subset holds about one of
+its terms. ``likeness`` compares two fingerprints at the finer of their levels: of the subsets that
+hold a term of either text, the share whose hashes agree. Without any such subset it is 1 or 0 by a
+hash over all terms. Texts of very different size (three levels or more) have likeness 0.
+
+The lexicon can be broadcast: the document frequencies of all terms sum to (documents x mean distinct
+terms), so at most mean / lower share terms reach the lower share (1,000 times the mean number of
+distinct terms), however many documents there are; a term is eight bytes.
 
 ``with_next`` gives every document the one that follows by descending doc_id, and after the last
 the first. Texts are range-partitioned once, compressed; inside a partition the follower is the
@@ -24,8 +28,9 @@ follows itself. An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,61 +39,87 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from turnsift.llm.texts import bounded_batches, text_slices
+from turnsift.llm.texts import bounded_batches, mix, text_slices
 from turnsift.operators.durable import written
 
 SHARES = (0.001, 0.2)
-MOST_TERMS = 500_000
-LONGEST_TERM = 64
-SUBSETS = 10
-#: A term is in a subset with this probability.
-SUBSET_SHARE = 0.7
-LEAST_TERMS = 3
+#: Subsets of a level.
+SUBSETS = 16
+LEVELS = 3
 SEED = 1
 
-_COUNTED = 200_000
+#: Terms a task holds before it passes on their counts.
+_COUNTED = 2_000_000
 
 
 def terms(text: str) -> set[str]:
     return set(text.lower().split())
 
 
-def _hash(term: str, seed: int = 0) -> int:
-    return xxhash.xxh3_64_intdigest(term.encode(), seed)
+def term_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the terms, ascending."""
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) for t in terms(text)), np.uint64))
 
 
-class Lexicon:
-    """The terms of the band with their hashes and subsets."""
-
-    def __init__(self, words: list[str], subsets: int = SUBSETS, seed: int = SEED):
-        self.subsets, self.seed = subsets, seed
-        words = sorted(words)
-        self.at = dict(zip(words, range(len(words))))
-        self.hashes = np.array([_hash(w) for w in words], np.uint64)
-        self.member = np.array([self._subsets(w) for w in words], bool).reshape(-1, subsets)
-
-    def _subsets(self, term: str) -> list[bool]:
-        return [_hash(term, self.seed + k) < SUBSET_SHARE * 2.0**64 for k in range(1, self.subsets + 1)]
+@dataclass(frozen=True)
+class Print:
+    """``marks[j, k]``: hash of the terms in subset k of level ``level - 1 + j``, 0 without any."""
 
-    def fingerprint(self, text: str) -> np.ndarray:
-        """One 64-bit hash per subset."""
-        own = terms(text)
-        at = np.sort(np.fromiter((self.at[t] for t in own & self.at.keys()), np.int64))
-        if len(at) < LEAST_TERMS:
-            rest = np.sort(np.array([_hash(t) for t in own], np.uint64)).tobytes()
-            return np.array([xxhash.xxh3_64_intdigest(rest, k + 1) for k in range(self.subsets)], np.uint64)
-        hashes, member = self.hashes[at], self.member[at]
-        return np.array(
-            [xxhash.xxh3_64_intdigest(hashes[member[:, k]].tobytes(), 1000 + k) for k in range(self.subsets)], np.uint64
-        )
+    level: int
+    whole: int
+    marks: np.ndarray
 
+    def __str__(self) -> str:
+        return f"{self.level:02x}{self.whole:016x}{self.marks.astype('>u4').tobytes().hex()}"
 
-def as_text(fingerprint: np.ndarray) -> str:
-    return "-".join(f"{int(x):016x}" for x in fingerprint)
+    @staticmethod
+    def parse(text: str) -> Print:
+        marks = np.frombuffer(bytes.fromhex(text[18:]), ">u4").reshape(LEVELS, -1)
+        return Print(int(text[:2], 16), int(text[2:18], 16), marks)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return float((a == b).mean())
+class Lexicon:
+    """The terms of the band by their hashes."""
+
+    def __init__(self, hashes: np.ndarray, subsets: int = SUBSETS, seed: int = SEED):
+        self.hashes, self.subsets = np.unique(np.asarray(hashes, np.uint64)), subsets
+        self.seeds = mix(np.arange(1, subsets + 1, dtype=np.uint64) + np.uint64(seed << 20))
+
+    def within(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return hashes[:0]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return hashes[self.hashes[at] == hashes]
+
+    def places(self, own: np.ndarray) -> np.ndarray:
+        """Per term and subset the deepest level that holds it."""
+        lots = mix(own[:, None] ^ self.seeds[None, :])
+        # level l holds lots below 2**(64 - 2 l): one level per two leading zeros
+        return ((64 - np.frexp((lots >> np.uint64(12)).astype(float))[1] - 12) // 2).astype(np.int64)
+
+    def fingerprint(self, text: str) -> Print:
+        hashes = term_hashes(text)
+        own = self.within(hashes)
+        level = max(1, math.ceil(math.log(max(1, len(own)), 4)))
+        deepest = self.places(own)
+        marks = np.zeros((LEVELS, self.subsets), np.uint32)
+        for j in range(LEVELS):
+            holds = deepest >= level - 1 + j
+            for k in np.flatnonzero(holds.any(axis=0)):
+                marks[j, k] = (xxhash.xxh3_64_intdigest(own[holds[:, k]].tobytes(), int(k)) & 0xFFFFFFFF) or 1
+        return Print(level, xxhash.xxh3_64_intdigest(hashes.tobytes()), marks)
+
+
+def likeness(a: Print, b: Print) -> float:
+    near, far = sorted((a.level, b.level))
+    if far - near > 2:
+        return 0.0
+    level = min(far, near + 1)
+    x, y = a.marks[level - a.level + 1], b.marks[level - b.level + 1]
+    told = (x != 0) | (y != 0)
+    if not told.any():
+        return float(a.whole == b.whole)
+    return float((x == y)[told].mean())
 
 
 def edited(text: str, following: str) -> str:
@@ -97,38 +128,34 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def lexicon(docs: DataFrame, shares: tuple[float, float] = SHARES, most: int = MOST_TERMS,
-            subsets: int = SUBSETS, seed: int = SEED) -> Lexicon:
+def lexicon(docs: DataFrame, shares: tuple[float, float] = SHARES, subsets: int = SUBSETS, seed: int = SEED) -> Lexicon:
     """The lexicon of a corpus, from the document frequencies of all its terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[np.ndarray] = []
+        size = 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"]
-            )
+            term, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n, pa.int64())], ["term", "n"])
 
         for batch in batches:
             for part in text_slices(batch):
                 for text in part.column(0).to_pylist():
-                    held.update(terms(text or ""))
-                if len(held) > _COUNTED:
+                    held.append(term_hashes(text or ""))
+                    size += len(held[-1])
+                if size > _COUNTED:
                     yield rows()
-                    held = Counter()
+                    held, size = [], 0
         yield rows()
 
     n_docs = docs.count()
-    counted = written(
-        bounded_batches(docs).select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")),
-        "imatch-terms",
-    )
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    low = max(shares[0] * n_docs, total / most)
-    band = counted.filter(
-        (F.col("n") >= low) & (F.col("n") <= shares[1] * n_docs) & (F.length("term") <= LONGEST_TERM)
+    counted = (
+        bounded_batches(docs).select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     )
-    return Lexicon(band.select("term").toArrow().column(0).to_pylist(), subsets, seed)  # at most `most` terms
+    band = counted.filter((F.col("n") >= shares[0] * n_docs) & (F.col("n") <= shares[1] * n_docs)).select("term")
+    found = band.toArrow().column(0).to_numpy()  # at most mean distinct terms / lower share
+    return Lexicon(found.astype(np.int64).view(np.uint64), subsets, seed)
 
 
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -136,11 +163,11 @@ _NAMES = [c.split()[0] for c in _RESULT.split(", ")]
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
-def _result(words: Lexicon, doc_id, text: str, own: np.ndarray, following: str, other: np.ndarray) -> tuple:
+def _result(words: Lexicon, doc_id, text: str, own: Print, following: str, other: Print) -> tuple:
     changed = edited(text, following)
     new = words.fingerprint(changed)
     return (
-        doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), as_text(own), as_text(new),
+        doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), str(own), str(new),
         likeness(own, new), likeness(own, other),
     )
 
@@ -197,7 +224,8 @@ def with_next(docs: DataFrame, words: Lexicon) -> DataFrame:
             yield _table([(before[0], *[None] * 6, number, "last", before[3])], names, types)
 
     found = written(
-        _packed(docs).repartitionByRange(order[0]).sortWithinPartitions(*order)
+        _packed(docs).withColumn("row", F.monotonically_increasing_id())
+        .repartitionByRange(*order, "row").sortWithinPartitions(*order, "row").drop("row")
         .mapInArrow(run, f"{_RESULT}, part int, edge string, body binary"),
         "imatch-rows",
     )
@@ -234,7 +262,7 @@ def fingerprints(docs: DataFrame, words: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                own = [as_text(shared.value.fingerprint(t or "")) for t in part.column("text").to_pylist()]
+                own = [str(shared.value.fingerprint(t or "")) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.string())], ["doc_id", "fingerprint"])
 
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
