@@ -90,3 +90,26 @@ def test_naive_bayes(spark, monkeypatch, limit):
     one_class = naive_bayes.train(docs.filter("label = 1"), "text", "label")
     assert {r.ml_score for r in naive_bayes.probability(docs, "id", "text", one_class).collect()} == {0.5}
     assert naive_bayes.probability(docs.limit(0), "id", "text", weights).count() == 0
+
+
+def test_purge_rewrites_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = [(f"s{i % 7}", i, f"2024-01-{1 + i // 20:02}") for i in range(100)] + [("alone", 0, "2024-02-01"), ("s1", 0, None)]
+    table = spark.createDataFrame(rows, "session_id string, turn_index int, day string").withColumn("event_date", F.col("day").cast("date"))
+    table.write.partitionBy("event_date").parquet(path)
+    later = spark.createDataFrame([("other", k, "2024-03-01") for k in range(5)], "session_id string, turn_index int, day string")
+    later.withColumn("event_date", F.col("day").cast("date")).write.mode("append").partitionBy("event_date").parquet(path)
+
+    def files(day):
+        folder = tmp_path / "events" / f"event_date={day}"
+        return sorted(f.name for f in folder.glob("*.parquet")) if folder.exists() else None
+
+    before = files("2024-03-01")
+    gone = spark.createDataFrame([("s1",), ("alone",), ("s1",), ("missing",)], "session_id string")
+    tables.purge_stored(spark, path, gone)
+    left = sorted((r.session_id, r.turn_index) for r in spark.read.parquet(path).collect())
+    assert left == sorted([(s, t) for s, t, _ in rows if s not in ("s1", "alone")] + [("other", k) for k in range(5)])
+    assert files("2024-03-01") == before and files("2024-02-01") is None
+    held = {str(f.name) for f in (tmp_path / "events").rglob("*.parquet")}
+    tables.purge_stored(spark, path, gone)
+    assert {str(f.name) for f in (tmp_path / "events").rglob("*.parquet")} == held

@@ -229,6 +229,20 @@ ALERTS_SQL = f"""WITH {Q.ALL_SIGNALS}
 SELECT session_id, turn_index, score, rules AS matched_heuristics, source, ev AS evidence_snippet FROM sig"""
 
 
+def purge_partitions(spark, sf_dir):
+    """Events left in the partitioned table after the compromised sessions were purged from it."""
+    folder = _folder(spark, "purged")
+    tables.write_events(_events_read_back(spark, sf_dir), folder)
+    gone = signals(spark, sf_dir).filter("score >= 0.75").select("session_id")
+    tables.purge_stored(spark, folder, gone)
+    return tables.read_table(spark, folder, S.TRACE_EVENTS).select("event_id", "session_id", "turn_index")
+
+
+PURGED_SQL = f"""WITH {Q.ALL_SIGNALS}
+SELECT session_id || ':' || turn_index AS event_id, session_id, turn_index FROM conv
+WHERE session_id NOT IN (SELECT session_id FROM sig WHERE score >= 0.75)"""
+
+
 def _takes(alert, event) -> None:
     pass
 
@@ -346,6 +360,7 @@ QUERIES = {
     "custom_rules": (custom_rules, CUSTOM_SQL),
     "many_rules": (many_rules, MANY_SQL),
     "configured_signals": (configured_signals, CONFIGURED_SQL),
+    "purge_partitions": (purge_partitions, PURGED_SQL),
     "alert_deliveries": (alert_deliveries, DELIVERIES_SQL),
     "alert_rows": (alert_rows, ALERTS_SQL),
     "imported_hashes": (imported_hashes, IMPORTED_SQL),

@@ -7,6 +7,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from turnsift import schema as S
 from turnsift.functions.text import safe_session_id, strip
+from turnsift.operators.durable import written
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -78,6 +79,35 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def purge_stored(spark: SparkSession, path: str, session_ids: DataFrame, partition: str = "event_date") -> None:
+    """Delete sessions from a partitioned table by rewriting only the partitions that hold them.
+
+    Their values are looked up first (one per partition of the table at most), so only those are read
+    in full; what stays of them is stored apart before it replaces them, and a partition of which
+    nothing stays is removed. Files of other partitions are not touched.
+    """
+    table = spark.read.parquet(path)
+    gone = session_ids.select("session_id").distinct()
+    touched = [r[0] for r in table.join(gone, "session_id", "left_semi").select(partition).distinct().collect()]
+    if not touched:
+        return
+    named = [value for value in touched if value is not None]
+    mine = F.col(partition).isin(named) if named else F.lit(False)
+    if None in touched:
+        mine = mine | F.col(partition).isNull()
+    rest = written(table.filter(mine).join(gone, "session_id", "left_anti").select(*table.columns), "purge-rest")
+    (
+        rest.repartitionByRange(partition, "session_id").sortWithinPartitions(partition, "session_id")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    )
+    left = {r[0] for r in rest.select(partition).distinct().collect()}
+    for value in touched:
+        if value not in left:
+            name = "__HIVE_DEFAULT_PARTITION__" if value is None else value
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={name}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_signals(signals: DataFrame, path: str, mode: str = "append") -> None:
     wide = signals
     if "campaign_match" not in signals.columns:
