@@ -64,15 +64,6 @@ def test_last_rows(spark, rows, width, size):
     assert found == want
 
 
-def test_overlapping_chunks_cover_the_window(spark):
-    df = spark.range(50).withColumn("k", F.lit("x"))
-    spread = ordered.in_overlapping_chunks(df, "id", 2, 5)
-    assert spread.filter("_home").count() == 50
-    assert spread.filter("NOT _home").count() == 20
-    with pytest.raises(ValueError):
-        ordered.in_overlapping_chunks(df, "id", 5, 5)
-
-
 def test_turn_numbers_continue(spark):
     log = spark.createDataFrame(
         [("a", 2, "2024-01-01 05:00:00"), ("a", 1, "2024-01-01 00:00:00"), ("b", 3, "2024-01-01 00:00:00"),
@@ -131,3 +122,29 @@ def test_components_against_union_find(spark):
         spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([], "src string, dst string")
     )
     assert empty.first()["component"] == "a"
+
+
+def test_rank_of_a_burst_in_one_second(spark, monkeypatch):
+    """A key whose rows all lie in one second is split over several tasks, and null keys are a key."""
+    kept, stored = [], ordered.written
+    monkeypatch.setattr(ordered, "written", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        burst = spark.range(4000).select(
+            F.when(F.col("id") % 4 > 0, "hot").when(F.col("id") % 8 == 0, F.concat(F.lit("k"), (F.col("id") % 5).cast("string"))).alias("k"),
+            F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), (F.col("id") * 7919 % 4001).alias("event"),
+        )
+        got = ordered.with_rank(burst, ["k"], ["ts", "event"], "pos")
+        rows = got.select("k", "event", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(rows) == 4000
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r.k, []).append((r.event, r.pos))
+    assert set(by_key) == {"hot", None, "k0", "k1", "k2", "k3", "k4"}
+    for found in by_key.values():
+        assert [p for _, p in sorted(found)] == list(range(len(found)))
+    assert kept[0].filter("k = 'hot'").select(F.shiftright("_at", 33)).distinct().count() >= 3
+    assert ordered.with_rank(burst.limit(0), ["k"], ["event"]).count() == 0

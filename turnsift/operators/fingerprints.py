@@ -9,7 +9,7 @@ from turnsift.functions.grams import gram_embedding
 from turnsift.operators.components import connected_components
 from turnsift.operators.durable import durable, written
 from turnsift.operators.lsh import LSH_ABOVE, covered
-from turnsift.operators.ordered import chunk_of_time, with_position
+from turnsift.operators.ordered import with_rank
 from turnsift.operators.tiles import REF_GROUP, ROW_GROUP, best_of, compare, first_of
 from turnsift.operators.vectors import similar_links
 
@@ -191,9 +191,7 @@ def with_campaign_match(
     assigned: DataFrame, fingerprints: DataFrame | None = None
 ) -> DataFrame:
     """campaign_match of matched signals: hit count at that moment and campaign name."""
-    numbered = with_position(
-        assigned, ["fingerprint_id"], ["ts", "signal_id"], chunk_of_time(F.col("ts")), "_nth"
-    )
+    numbered = with_rank(assigned, ["fingerprint_id"], ["ts", "signal_id"], "_nth")
     if fingerprints is None:
         known = numbered.withColumns(
             {"_hits": F.lit(0), "_name": F.lit(None).cast("string")}

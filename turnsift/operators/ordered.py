@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnsift.operators.durable import written
+
 CHUNK_ROWS = 10_000
 
 
@@ -25,14 +27,6 @@ def chunk_of(number: Column, width: int = CHUNK_ROWS) -> Column:
     return F.coalesce(F.floor(number / width).cast("long"), F.lit(-1).cast("long"))
 
 
-def chunk_of_time(ts: Column, seconds: int = 600) -> Column:
-    """Chunk of an event time: a span of the clock."""
-    return F.coalesce(
-        F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds).cast("long"),
-        F.lit(-1).cast("long"),
-    )
-
-
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str = "pos"
 ) -> DataFrame:
@@ -58,6 +52,35 @@ def with_position(
     )
 
 
+def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos") -> DataFrame:
+    """0-based dense position of every row inside its key, whatever its order looks like.
+
+    Rows are dealt in ranges of (key, order), so a key whose rows all lie in one second is as many
+    tasks as it needs; only one row per key and range travels to place the ranges. ``order`` should be
+    unique in a key: equal rows share a range.
+    """
+    columns = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    placed = written(
+        df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+        .withColumn("_at", F.monotonically_increasing_id()).withColumn("_key", F.struct(*keys)),
+        "ranked-rows",
+    ).withColumn("_chunk", F.shiftright("_at", 33))
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        placed.groupBy("_key", "_chunk")
+        .agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .select(
+            "_key", "_chunk",
+            (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_base"),
+        )
+    )
+    return (
+        placed.join(bases, ["_key", "_chunk"])
+        .withColumn(out, (F.col("_at") + F.col("_base")).cast("long"))
+        .drop("_key", "_chunk", "_at", "_base")
+    )
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -178,24 +201,3 @@ def with_last_rows(
     return joined.withColumn(out, F.coalesce(complete, "_near")).drop(
         "_key", "_chunk", "_seen", "_n", "_near", "_ahead", "_carried"
     )
-
-
-def in_overlapping_chunks(
-    df: DataFrame, position: str, before: int, width: int = CHUNK_ROWS
-) -> DataFrame:
-    """Copy the last ``before`` rows of every chunk in front of the next one.
-
-    Adds ``_chunk`` and ``_home``; a window of ``before`` preceding rows over
-    (key, _chunk) is then complete for every row with ``_home``.
-    """
-    if before >= width:
-        raise ValueError("the window must be shorter than a chunk")
-    home = F.floor(F.col(position) / width)
-    late = F.col(position) % width >= width - before
-    chunks = F.when(late, F.array(home, home + 1)).otherwise(F.array(home))
-    return (
-        df.withColumn("_mine", home)
-        .withColumn("_chunk", F.explode(chunks))
-        .withColumn("_home", F.col("_chunk") == F.col("_mine"))
-        .drop("_mine")
-    )

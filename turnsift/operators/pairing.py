@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnsift.operators.ordered import chunk_of_time, with_position, with_previous
+from turnsift.operators.ordered import chunk_of, with_previous, with_rank
 
 
 def pair_by_run(starts: DataFrame, ends: DataFrame, errors: DataFrame | None = None) -> DataFrame:
@@ -38,7 +38,8 @@ def pair_in_session(
     waiting one; an end or error uses it up. An end without a waiting start keeps an
     empty request unless ``keep_unmatched`` is off.
     """
-    chunk = chunk_of_time(F.col("ts")) if chunk is None else chunk
+    if chunk is None:  # by rank, so that a burst within a second is split like any other rows
+        log, chunk = with_rank(log, ["session_id"], ["ts", "seq"], "_nth"), chunk_of(F.col("_nth"))
     linked = with_previous(log, ["session_id"], ["ts", "seq"], chunk, ["kind", "text", "ts"])
     waiting = F.col("previous.kind").eqNullSafe("start")
     pairs = linked.filter(F.col("kind") == "end").select(
@@ -53,15 +54,12 @@ def pair_in_session(
     return pairs if keep_unmatched else pairs.filter("matched")
 
 
-def number_turns(
-    events: DataFrame, last_turns: DataFrame | None = None, chunk: Column | None = None
-) -> DataFrame:
+def number_turns(events: DataFrame, last_turns: DataFrame | None = None) -> DataFrame:
     """turn_index of new events by (ts, event_id), continuing after the last stored turn.
 
     last_turns: session_id, last_turn.
     """
-    chunk = chunk_of_time(F.col("ts")) if chunk is None else chunk
-    placed = with_position(events, ["session_id"], ["ts", "event_id"], chunk, "_nth")
+    placed = with_rank(events, ["session_id"], ["ts", "event_id"], "_nth")
     if last_turns is None:
         return placed.withColumn("turn_index", F.col("_nth").cast("int")).drop("_nth")
     known = placed.join(last_turns.select("session_id", "last_turn"), "session_id", "left")
