@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from turnsift.operators.durable import durable
+from turnsift.operators.durable import durable, written
 
+#: Rows of a node that is not split any further, and of the rows compared with it at once.
 BLOCK_ROWS = 2_048
-MAX_PIVOTS = 1_024
+#: Rows of one task while nodes are split or searched.
+PART_ROWS = 8_192
+#: Children of a node: one hexadecimal digit of a path.
+FAN = 16
+
+_SLACK = 1e-6
+_TIE = 1e-7
+_DRAWN = 4 * FAN
 
 
-def similar_links(
-    vectors: DataFrame,
-    at_least: float,
-    block_rows: int = BLOCK_ROWS,
-    max_pivots: int = MAX_PIVOTS,
-) -> DataFrame:
+def similar_links(vectors: DataFrame, at_least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (src, dst) whose connected components are those of "cosine >= at_least".
 
     ``vectors`` has unique string ``id`` and unit ``vector``. Equal vectors are linked to one
-    of them and compared once. Every row belongs to its nearest pivot; rows within half the
-    threshold angle of their pivot are all similar to each other, so a crowd of near copies is
-    linked as a star without any comparison. The rest meets block by block, but only where
-    the triangle inequality leaves a chance, and a pair of blocks is one bounded task that
-    returns a spanning forest, never all its pairs.
+    of them and compared once. The rest is dealt to a tree of balls: every node of more than
+    ``block_rows`` rows draws up to ``FAN`` of its own rows as pivots, its rows go to the nearest
+    pivot, and the node's children are what the pivots got. The tree grows with the data, level by
+    level; a node is split by as many tasks as its rows need, and its path is the key.
+
+    A pivot is a row, so rows similar to it are linked on the way down, one edge per group of
+    similar pivots. Such rows share a label, and rows of one label need no comparison: a crowd of
+    near copies costs a few edges a row. Then every row searches the tree for leaves after its own
+    that can hold similar rows, by the triangle inequality and the smallest and largest angle of
+    each node to all pivots beside it; what is left of it meets the leaf's rows in bounded tasks that return spanning
+    forests, never all pairs.
     """
     keyed = durable(
         vectors.select("id", "vector", F.sha2(F.to_json(F.struct("vector")), 256).alias("key"))
@@ -39,34 +50,92 @@ def similar_links(
         .filter(F.col("src") != F.col("dst"))
         .select("src", "dst")
     )
-    wanted = min(max_pivots, -(-unique.count() // block_rows))
-    if wanted == 0:
-        return copies
-    pivots = unique.orderBy("key").limit(wanted).select("vector").collect()
-    grid = _Grid(_unit(np.array([row["vector"] for row in pivots], float)), float(at_least))
-    placed = durable(_placed(unique, grid))
-    zones = placed.groupBy("zone").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("angle").alias("radius"), F.min("id").alias("hub")
-    )
-    known = zones.collect()
-    grid.measure(known, block_rows)
-    hubs = F.broadcast(zones.sparkSession.createDataFrame(known, zones.schema).select("zone", "hub"))
-    stars = (
-        placed.filter(F.col("zone") % 2 == 0)
-        .join(hubs, "zone")
-        .filter(F.col("id") != F.col("hub"))
-        .select(F.col("hub").alias("src"), F.col("id").alias("dst"))
-    )
-    met = (
-        _with_meetings(placed, grid)
-        .select("id", "vector", "_meet.block", F.explode("_meet.pairs").alias("_pair"))
-        .select("id", "vector", "block", "_pair.i", "_pair.j")
-    )
-    found = met.groupBy("i", "j").applyInPandas(_forest(at_least), "src string, dst string")
-    return copies.unionByName(stars).unionByName(found)
+    leaves, kids, edges = _grown(unique.select("id", "vector"), float(at_least), block_rows)
+    met = _met(leaves, _visits(leaves, kids, float(at_least)) if kids else None, block_rows)
+    found = met.groupBy("leaf", "piece").applyInPandas(_forest(at_least), "src string, dst string")
+    return reduce(DataFrame.unionByName, edges, copies).unionByName(found)
 
 
-_SLACK = 1e-6
+def _sized(rows: DataFrame) -> DataFrame:
+    return written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows")), "tree-sizes")
+
+
+def _parts(size: Column) -> Column:
+    return F.ceil(size / PART_ROWS).cast("int")
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Add the part of its node that a row is handled in."""
+    part = F.pmod(F.xxhash64("id", F.lit("part")), _parts(F.col("rows"))).cast("int")
+    return rows.join(sizes, "node").withColumn("part", part).drop("rows")
+
+
+def _each_part(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    return nodes.join(sizes, "node").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), _parts(F.col("rows")) - 1))
+    ).drop("rows")
+
+
+def _grown(unique: DataFrame, at_least: float, block_rows: int):
+    """(leaves: id, vector, label, node; per level the children of split nodes; edges to pivots)."""
+    rows = unique.select("id", "vector", F.lit(None).cast("string").alias("label"), F.lit("").alias("node"))
+    leaves, kids, edges = [], [], []
+    while True:
+        sizes = _sized(rows)
+        large = sizes.filter(F.col("rows") > block_rows)
+        if large.isEmpty():
+            leaves.append(rows)
+            return reduce(DataFrame.unionByName, leaves), kids, edges
+        if kids:
+            leaves.append(rows.join(large, "node", "left_anti").select(*rows.columns))
+        draw = F.pmod(F.xxhash64("id", F.lit(len(kids))), F.lit(1 << 30))
+        pivots = written(
+            rows.select("node", "id", "vector", draw.alias("draw")).join(large, "node")
+            .filter(F.col("draw") * F.col("rows") < F.lit(_DRAWN << 30))
+            .groupBy("node").agg(F.sort_array(F.collect_list(F.struct("draw", "id", "vector"))).alias("drawn"))
+            .select("node", F.slice("drawn", 1, FAN).alias("drawn"))
+            .select("node", F.col("drawn.id").alias("ids"), F.col("drawn.vector").alias("vectors")),
+            "tree-pivots",
+        )
+        split = written(
+            _dealt(rows, large).groupBy("node", "part")
+            .cogroup(_each_part(pivots, large).groupBy("node", "part"))
+            .applyInPandas(
+                _split(at_least),
+                "id string, vector array<double>, label string, node string, angles array<double>, links array<string>",
+            ),
+            "tree-rows",
+        )
+        edges.append(
+            split.select(F.col("id").alias("src"), F.explode("links").alias("dst")).filter("src <> dst")
+        )
+        only = F.when(
+            (F.min("label") == F.max("label")) & (F.count("label") == F.count(F.lit(1))), F.min("label")
+        )
+        balls = split.groupBy("node").agg(
+            *[F.array(*[pick(F.get("angles", F.lit(i))) for i in range(FAN)]).alias(name)
+              for name, pick in (("low", F.min), ("high", F.max))],
+            only.alias("only"),
+        )
+        placed = pivots.select("node", F.posexplode(F.col("vectors")).alias("at", "pivot")).select(
+            F.col("node").alias("parent"), F.concat("node", F.lower(F.hex("at"))).alias("node"), "pivot"
+        )
+        one = F.struct(F.col("node").alias("child"), "pivot", "low", "high", "only")
+        children = placed.join(balls, "node").groupBy("parent").agg(F.sort_array(F.collect_list(one)).alias("found"))
+        kids.append(
+            written(
+                children.select(
+                    F.col("parent").alias("node"),
+                    *[F.col(f"found.{c}").alias(c) for c in ("child", "pivot", "low", "high", "only")],
+                ),
+                "tree-children",
+            )
+        )
+        rows = split.select(*rows.columns)
+
+
+def _stacked(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in vectors])
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -74,77 +143,133 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-class _Grid:
-    """Pivots and the zones around them: zone 2c is the core of pivot c, 2c + 1 its rim."""
-
-    def __init__(self, pivots: np.ndarray, at_least: float):
-        self.pivots = pivots
-        self.reach = float(np.arccos(np.clip(at_least, -1.0, 1.0)))
-
-    def angles(self, vectors: np.ndarray) -> np.ndarray:
-        return np.arccos((_unit(vectors) @ self.pivots.T).clip(-1.0, 1.0))
-
-    def measure(self, zones: list, block_rows: int) -> None:
-        count = 2 * len(self.pivots)
-        self.radius = np.full(count, -np.inf)
-        self.blocks = np.zeros(count, int)
-        for zone in zones:
-            self.radius[zone["zone"]] = zone["radius"]
-            self.blocks[zone["zone"]] = -(-zone["rows"] // block_rows)
-        self.start = np.concatenate(([0], np.cumsum(self.blocks)[:-1]))
-
-
-def _placed(unique: DataFrame, grid: _Grid) -> DataFrame:
-    shared = unique.sparkSession.sparkContext.broadcast(grid)
-
-    @F.pandas_udf("struct<zone:int,angle:double>")
-    def place(vectors: pd.Series) -> pd.DataFrame:
-        angles = shared.value.angles(np.stack(vectors.to_numpy()).astype(float))
-        cell = angles.argmin(axis=1)
-        angle = angles[np.arange(len(cell)), cell]
-        rim = angle > shared.value.reach / 2 - _SLACK
-        return pd.DataFrame({"zone": (2 * cell + rim).astype("int32"), "angle": angle})
-
-    return unique.withColumn("_spot", place("vector")).select("id", "vector", "_spot.*")
-
-
-def _with_meetings(placed: DataFrame, grid: _Grid) -> DataFrame:
-    """Add the block of a row and the block pairs it has to appear in."""
-    shared = placed.sparkSession.sparkContext.broadcast(grid)
-
-    @F.pandas_udf("struct<block:int,pairs:array<struct<i:int,j:int>>>")
-    def meet(vectors: pd.Series, zones: pd.Series, hashes: pd.Series) -> pd.DataFrame:
-        g = shared.value
-        angles = np.repeat(g.angles(np.stack(vectors.to_numpy()).astype(float)), 2, axis=1)
-        near = angles <= g.reach + g.radius[None, :] + _SLACK
-        blocks, pairs = [], []
-        for row, (zone, number) in enumerate(zip(zones, hashes)):
-            mine = int(g.start[zone] + number % g.blocks[zone])
-            others = near[row].copy()
-            if zone % 2 == 0:
-                others[zone] = False
-            blocks.append(mine)
-            pairs.append(
-                [
-                    {"i": min(mine, other), "j": max(mine, other)}
-                    for z in np.flatnonzero(others)
-                    for other in range(int(g.start[z]), int(g.start[z] + g.blocks[z]))
-                ]
-            )
-        return pd.DataFrame({"block": np.array(blocks, "int32"), "pairs": pairs})
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos((_unit(vectors) @ _unit(pivots).T).clip(-1.0, 1.0))
+
+
+def _groups(near: np.ndarray) -> np.ndarray:
+    """The smallest member of every row's component of a small similarity matrix."""
+    group = np.arange(len(near))
+    while True:
+        lower = np.where(near, group[None, :], len(near)).min(axis=1).clip(max=group)
+        if (lower == group).all():
+            return group
+        group = lower
+
+
+def _split(at_least: float):
+    def split(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        columns = ["id", "vector", "label", "node", "angles", "links"]
+        if not len(rows) or not len(pivots):
+            return pd.DataFrame(columns=columns)
+        node, names = pivots["node"].iloc[0], np.array(list(pivots["ids"].iloc[0]), object)
+        matrix, centres = _stacked(rows["vector"]), _stacked(pivots["vectors"].iloc[0])
+        angle = _angles(matrix, centres)
+        near = angle <= angle.min(axis=1, keepdims=True) + _TIE
+        # Equally near pivots share the rows, so a node of rows no angle can tell apart is split too.
+        hashed = pd.util.hash_array(rows["id"].to_numpy(object)) % np.uint64(1 << 32)
+        nth = hashed.astype(np.int64) % near.sum(axis=1) + 1
+        child = ((near.cumsum(axis=1) == nth[:, None]) & near).argmax(axis=1)
+        linked = matrix @ centres.T >= at_least
+        group = _groups(centres @ centres.T >= at_least)
+        first = np.zeros_like(linked)
+        for g in np.unique(group):
+            members = np.flatnonzero(group == g)
+            at = linked[:, members].argmax(axis=1)
+            first[np.arange(len(rows)), members[at]] = linked[np.arange(len(rows)), members[at]]
+        chosen = np.where(rows["id"].isin(names).to_numpy()[:, None], linked, first)
+        own = np.where(linked.any(axis=1), group[linked.argmax(axis=1)], -1)
+        label = [
+            old if isinstance(old, str) else f"{node}/{g}" if g >= 0 else None
+            for old, g in zip(rows["label"], own)
+        ]
+        return pd.DataFrame(
+            {
+                "id": rows["id"], "vector": rows["vector"], "label": pd.Series(label, rows.index, object),
+                "node": [f"{node}{c:x}" for c in child],
+                "angles": list(angle),
+                "links": [list(names[c]) for c in chosen],
+            }
+        )[columns]
+
+    return split
+
 
-    number = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
-    return placed.withColumn("_meet", meet("vector", "zone", number))
+def _search(at_least: float):
+    reach = float(np.arccos(np.clip(at_least, -1.0, 1.0)))
+
+    def search(rows: pd.DataFrame, kids: pd.DataFrame) -> pd.DataFrame:
+        columns = ["id", "vector", "label", "home", "node"]
+        if not len(rows) or not len(kids):
+            return pd.DataFrame(columns=columns)
+        child, only = (list(kids[c].iloc[0]) for c in ("child", "only"))
+        centres = _stacked(kids["pivot"].iloc[0])
+        angle = _angles(_stacked(rows["vector"]), centres)
+        open_ = angle <= angle.min(axis=1, keepdims=True) + 2 * reach + _SLACK
+        places = [int(path[-1], 16) for path in child]
+        for at in range(len(child)):
+            low, high = (np.asarray(kids[c].iloc[0][at], float)[places] for c in ("low", "high"))
+            open_[:, at] &= ((angle >= low - reach - _SLACK) & (angle <= high + reach + _SLACK)).all(axis=1)
+        homes = rows["home"].to_numpy(object)
+        labels = rows["label"].to_numpy(object)
+        for at, path in enumerate(child):
+            inside = np.array([home.startswith(path) for home in homes], bool)
+            later = np.array([home < path for home in homes], bool)
+            if only[at] is not None:
+                later &= labels != only[at]
+            # Leaves before the own one are searched by their rows; the way home has others beside it.
+            open_[:, at] = inside | (open_[:, at] & later)
+        row, at = np.nonzero(open_)
+        out = rows.iloc[row][["id", "vector", "label", "home"]].reset_index(drop=True)
+        out["node"] = np.array(child, object)[at]
+        return out[columns]
+
+    return search
+
+
+def _visits(leaves: DataFrame, kids: list[DataFrame], at_least: float) -> DataFrame:
+    """id, vector, node: rows and the leaves after their own that may hold similar rows."""
+    rows = leaves.select("id", "vector", "label", F.col("node").alias("home"), F.lit("").alias("node"))
+    ended = []
+    for level in kids:
+        sizes = _sized(rows)
+        rows = written(
+            _dealt(rows, sizes).groupBy("node", "part").cogroup(_each_part(level, sizes).groupBy("node", "part"))
+            .applyInPandas(_search(at_least), "id string, vector array<double>, label string, home string, node string"),
+            "tree-visits",
+        )
+        ended.append(rows)
+    split = reduce(DataFrame.unionByName, [level.select("node") for level in kids])
+    for at, rows in enumerate(ended):  # a node that is split is no leaf
+        ended[at] = rows.filter("node <> home").join(split, "node", "left_anti").select("id", "vector", "node")
+    return reduce(DataFrame.unionByName, ended)
+
+
+def _met(leaves: DataFrame, visits: DataFrame | None, block_rows: int) -> DataFrame:
+    """id, vector, leaf, piece, visitor: the rows of a leaf with all its visitors, a block at a time."""
+    homes = leaves.select("id", "vector", F.col("node").alias("leaf"))
+    if visits is None:
+        return homes.withColumn("piece", F.lit(0)).withColumn("visitor", F.lit(False))
+    visits = written(visits.withColumnRenamed("node", "leaf"), "tree-meetings")
+    pieces = written(
+        visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("pieces")), "tree-pieces"
+    )
+    piece = F.pmod(F.xxhash64("id", F.lit("piece")), F.col("pieces")).cast("int")
+    guests = visits.join(pieces, "leaf").select("id", "vector", "leaf", piece.alias("piece"), F.lit(True).alias("visitor"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))
+    own = homes.join(pieces, "leaf", "left").select("id", "vector", "leaf", every.alias("piece"), F.lit(False).alias("visitor"))
+    return own.unionByName(guests)
 
 
 def _forest(at_least: float):
     def forest(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
-        matrix = np.stack(group["vector"].to_numpy()).astype(float)
+        matrix = _stacked(group["vector"])
         near = matrix @ matrix.T >= at_least
-        if group["i"].iloc[0] != group["j"].iloc[0]:
-            block = group["block"].to_numpy()
-            near &= block[:, None] != block[None, :]
+        visitor = group["visitor"].to_numpy(bool)
+        near &= ~(visitor[:, None] & visitor[None, :])
+        if group["piece"].iloc[0] > 0:  # the leaf's own rows meet in its first piece
+            near &= visitor[:, None] | visitor[None, :]
         ids = group["id"].to_numpy()
         unseen = np.ones(len(ids), bool)
         src, dst = [], []
@@ -162,4 +287,3 @@ def _forest(at_least: float):
         return pd.DataFrame({"src": src, "dst": dst}, dtype=object)
 
     return forest
-
