@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnsift import schema as S
 from turnsift.operators import chain
 from turnsift.operators.windows import flat_signals
+from turnsift.plans import overlay, streams
 from turnsift.streaming import jobs, sinks
 from turnsift.streaming.outbox import Outbox
 from turnsift.streaming.outputs import TurnSink
@@ -275,3 +276,16 @@ def test_outputs_of_a_batch_are_one_commit(spark, tmp_path):
     batch.write.parquet(sink.path("turns", 1))  # broke before the commit
     batch.filter("late").select("session_id", "event_id", "own_text", "sources").write.parquet(sink.path("late", 1))
     assert {t: sorted(map(repr, sink.read(spark, t).collect())) for t in tables} == once
+
+
+def test_a_table_in_a_folder_of_files_is_streamed_whole(spark, tmp_path):
+    talk = [(c, t, "user" if t % 2 else "assistant", f"plain words {c} {t}") for c in range(1, 40) for t in range(4)]
+    table = spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string")
+    table.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = flat_signals(overlay.conversations(spark, str(tmp_path)))
+    want = found.filter("stage = 'message'").groupBy("session_id").agg(F.max("score").alias("max_score"))
+    best = streams.stream_running_max(spark, str(tmp_path)).select("session_id", "max_score")
+    assert sorted(best.collect()) == sorted(want.collect()) and best.count() > 5
+    alerts = streams.stream_campaigns(spark, str(tmp_path))
+    assert alerts.count() == found.count() > 5
+    assert streams.stream_chain(spark, str(tmp_path)).count() == len(talk)

@@ -24,8 +24,9 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _table_stream(spark, sf_dir, name) -> DataFrame:
+    """The table as a stream, be it one file or a folder of files."""
     schema = overlay.table(spark, sf_dir, name).schema
-    return jobs.read_log(spark, sf_dir, schema, glob=f"{name}.parquet")
+    return jobs.read_log(spark, f"{sf_dir}/{name}[.]parquet", schema)
 
 
 def _messages(spark, sf_dir) -> DataFrame:
