@@ -289,3 +289,9 @@ def test_a_table_in_a_folder_of_files_is_streamed_whole(spark, tmp_path):
     alerts = streams.stream_campaigns(spark, str(tmp_path))
     assert alerts.count() == found.count() > 5
     assert streams.stream_chain(spark, str(tmp_path)).count() == len(talk)
+
+
+def test_a_stream_without_rows_has_no_highest_score(spark, tmp_path):
+    empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    empty.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert streams.stream_running_max(spark, str(tmp_path)).count() == 0

@@ -107,6 +107,8 @@ def stream_running_max(spark, sf_dir):
     """Highest score per session in update mode, last update of every session."""
     folder = _folder(spark)
     scores = jobs.running_scores(jobs.scan_messages(_messages(spark, sf_dir)))
+    # the updates of a stream that never has a batch
+    spark.createDataFrame([], scores.schema).write.parquet(f"{folder}/out/batch_id=-1")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
