@@ -8,21 +8,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from turnsift.functions.grams import cosine
+from turnsift.operators.components import connected_components
 from turnsift.operators.durable import durable, written
 
-#: Rows of a node that is not split any further, and of the rows compared with it at once.
+#: Rows of a node that is not split any further, and of a random block.
 BLOCK_ROWS = 2_048
-#: Rows of one task while nodes are split or searched.
+#: Rows of one task while nodes are split.
 PART_ROWS = 8_192
+#: Rows of a group; a task compares two groups.
+GROUP_ROWS = 8_192
+#: Times that all rows meet in random blocks.
+ROUNDS = 2
 #: Children of a node: one hexadecimal digit of a path.
 FAN = 16
 
 _SLACK = 1e-6
 _TIE = 1e-7
 _DRAWN = 4 * FAN
+_AT_ONCE = 256
 
 
-def similar_links(vectors: DataFrame, at_least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_links(
+    vectors: DataFrame, at_least: float, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """Edges (src, dst) whose connected components are those of "cosine >= at_least".
 
     ``vectors`` has unique string ``id`` and unit ``vector``. Equal vectors are linked to one
@@ -32,11 +41,14 @@ def similar_links(vectors: DataFrame, at_least: float, block_rows: int = BLOCK_R
     level; a node is split by as many tasks as its rows need, and its path is the key.
 
     A pivot is a row, so rows similar to it are linked on the way down, one edge per group of
-    similar pivots. Such rows share a label, and rows of one label need no comparison: a crowd of
-    near copies costs a few edges a row. Then every row searches the tree for leaves after its own
-    that can hold similar rows, by the triangle inequality and the smallest and largest angle of
-    each node to all pivots beside it; what is left of it meets the leaf's rows in bounded tasks that return spanning
-    forests, never all pairs.
+    similar pivots. Rows of a leaf meet in that leaf, and all rows meet in a few rounds of random blocks;
+    what these links connect has one label. Rows of one label need no comparison, so a crowd of near
+    copies, or the one large component of many similar rows, is never compared with itself.
+
+    The rest is exact: rows are put into groups by label and, where labels are small, by their place in
+    the tree, and all pairs of groups that are of different labels and not too far apart, by the
+    triangle inequality, are compared. A task holds two groups and returns a spanning forest of their
+    labels. A row moves once per group it is compared with, not once per similar row or leaf.
     """
     keyed = durable(
         vectors.select("id", "vector", F.sha2(F.to_json(F.struct("vector")), 256).alias("key"))
@@ -50,10 +62,12 @@ def similar_links(vectors: DataFrame, at_least: float, block_rows: int = BLOCK_R
         .filter(F.col("src") != F.col("dst"))
         .select("src", "dst")
     )
-    leaves, kids, edges = _grown(unique.select("id", "vector"), float(at_least), block_rows)
-    met = _met(leaves, _visits(leaves, kids, float(at_least)) if kids else None, block_rows)
-    found = met.groupBy("leaf", "piece").applyInPandas(_forest(at_least), "src string, dst string")
-    return reduce(DataFrame.unionByName, edges, copies).unionByName(found)
+    leaves, edges = _grown(unique.select("id", "vector"), float(at_least), block_rows)
+    if not edges:
+        return copies.unionByName(_blocks_forest(leaves, F.col("node"), at_least))
+    rows = _labelled(leaves, edges, at_least, block_rows)
+    known = rows.select(F.col("label").alias("src"), F.col("id").alias("dst")).filter("src <> dst")
+    return copies.unionByName(known).unionByName(_across(_grouped(rows, group_rows), at_least))
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -76,19 +90,19 @@ def _each_part(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     ).drop("rows")
 
 
-def _grown(unique: DataFrame, at_least: float, block_rows: int):
-    """(leaves: id, vector, label, node; per level the children of split nodes; edges to pivots)."""
-    rows = unique.select("id", "vector", F.lit(None).cast("string").alias("label"), F.lit("").alias("node"))
-    leaves, kids, edges = [], [], []
+def _grown(unique: DataFrame, at_least: float, block_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(leaves: id, vector, node; per level the edges to pivots)."""
+    rows = unique.select("id", "vector", F.lit("").alias("node"))
+    leaves, edges = [], []
     while True:
         sizes = _sized(rows)
         large = sizes.filter(F.col("rows") > block_rows)
         if large.isEmpty():
             leaves.append(rows)
-            return reduce(DataFrame.unionByName, leaves), kids, edges
-        if kids:
+            return reduce(DataFrame.unionByName, leaves), edges
+        if edges:
             leaves.append(rows.join(large, "node", "left_anti").select(*rows.columns))
-        draw = F.pmod(F.xxhash64("id", F.lit(len(kids))), F.lit(1 << 30))
+        draw = F.pmod(F.xxhash64("id", F.lit(len(edges))), F.lit(1 << 30))
         pivots = written(
             rows.select("node", "id", "vector", draw.alias("draw")).join(large, "node")
             .filter(F.col("draw") * F.col("rows") < F.lit(_DRAWN << 30))
@@ -100,37 +114,12 @@ def _grown(unique: DataFrame, at_least: float, block_rows: int):
         split = written(
             _dealt(rows, large).groupBy("node", "part")
             .cogroup(_each_part(pivots, large).groupBy("node", "part"))
-            .applyInPandas(
-                _split(at_least),
-                "id string, vector array<double>, label string, node string, angles array<double>, links array<string>",
-            ),
+            .applyInPandas(_split(at_least), "id string, vector array<double>, node string, links array<string>"),
             "tree-rows",
         )
         edges.append(
             split.select(F.col("id").alias("src"), F.explode("links").alias("dst")).filter("src <> dst")
         )
-        only = F.when(
-            (F.min("label") == F.max("label")) & (F.count("label") == F.count(F.lit(1))), F.min("label")
-        )
-        balls = split.groupBy("node").agg(
-            *[F.array(*[pick(F.get("angles", F.lit(i))) for i in range(FAN)]).alias(name)
-              for name, pick in (("low", F.min), ("high", F.max))],
-            only.alias("only"),
-        )
-        placed = pivots.select("node", F.posexplode(F.col("vectors")).alias("at", "pivot")).select(
-            F.col("node").alias("parent"), F.concat("node", F.lower(F.hex("at"))).alias("node"), "pivot"
-        )
-        one = F.struct(F.col("node").alias("child"), "pivot", "low", "high", "only")
-        children = placed.join(balls, "node").groupBy("parent").agg(F.sort_array(F.collect_list(one)).alias("found"))
-        kids.append(
-            written(
-                children.select(
-                    F.col("parent").alias("node"),
-                    *[F.col(f"found.{c}").alias(c) for c in ("child", "pivot", "low", "high", "only")],
-                ),
-                "tree-children",
-            )
-        )
         rows = split.select(*rows.columns)
 
 
@@ -159,7 +148,7 @@ def _groups(near: np.ndarray) -> np.ndarray:
 
 def _split(at_least: float):
     def split(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "vector", "label", "node", "angles", "links"]
+        columns = ["id", "vector", "node", "links"]
         if not len(rows) or not len(pivots):
             return pd.DataFrame(columns=columns)
         node, names = pivots["node"].iloc[0], np.array(list(pivots["ids"].iloc[0]), object)
@@ -178,16 +167,10 @@ def _split(at_least: float):
             at = linked[:, members].argmax(axis=1)
             first[np.arange(len(rows)), members[at]] = linked[np.arange(len(rows)), members[at]]
         chosen = np.where(rows["id"].isin(names).to_numpy()[:, None], linked, first)
-        own = np.where(linked.any(axis=1), group[linked.argmax(axis=1)], -1)
-        label = [
-            old if isinstance(old, str) else f"{node}/{g}" if g >= 0 else None
-            for old, g in zip(rows["label"], own)
-        ]
         return pd.DataFrame(
             {
-                "id": rows["id"], "vector": rows["vector"], "label": pd.Series(label, rows.index, object),
+                "id": rows["id"], "vector": rows["vector"],
                 "node": [f"{node}{c:x}" for c in child],
-                "angles": list(angle),
                 "links": [list(names[c]) for c in chosen],
             }
         )[columns]
@@ -195,70 +178,134 @@ def _split(at_least: float):
     return split
 
 
-def _search(at_least: float):
+def _blocks_forest(rows: DataFrame, block: Column, at_least: float) -> DataFrame:
+    """Edges of a spanning forest of every block of rows (id, vector)."""
+    return rows.select("id", "vector", block.alias("block")).groupBy("block").applyInPandas(
+        _forest(at_least), "src string, dst string"
+    )
+
+
+def _labelled(leaves: DataFrame, edges: list[DataFrame], at_least: float, block_rows: int) -> DataFrame:
+    """id, vector, node, label: the smallest id that the links found without a search connect a row with.
+
+    These are the links to pivots, those inside leaves, and those inside ``ROUNDS`` random blocks: rows
+    with many similar ones are connected by few of them.
+    """
+    size = leaves.count()
+    found = [*edges, _blocks_forest(leaves, F.col("node"), at_least)]
+    for number in range(ROUNDS):
+        block = F.pmod(F.xxhash64("id", F.lit(f"round {number}")), F.lit(-(-size // block_rows)))
+        found.append(_blocks_forest(leaves, block, at_least))
+    labels = connected_components(leaves, reduce(DataFrame.unionByName, found))
+    return written(
+        leaves.select("id", "vector", "node").join(labels.withColumnRenamed("component", "label"), "id"), "tree-labels"
+    )
+
+
+def _grouped(rows: DataFrame, group_rows: int) -> DataFrame:
+    """Add the group of a row. Labels of many rows have groups of their own (``pure`` is the label);
+    the other rows share groups by the parts of the tree that hold few enough of them."""
+    sizes = written(rows.groupBy("label").agg(F.count(F.lit(1)).alias("rows")), "tree-label-sizes")
+    many = sizes.filter(F.col("rows") > group_rows // 4)
+    own = rows.join(F.broadcast(many), "label").select(
+        "id", "vector", "label", F.col("label").alias("pure"),
+        F.concat(
+            F.lit("="), "label", F.lit("/"),
+            F.pmod(F.xxhash64("id", F.lit("group")), F.ceil(F.col("rows") / group_rows)).cast("string"),
+        ).alias("group"),
+    )
+    few = rows.join(F.broadcast(many), "label", "left_anti")
+    leaf = few.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    above = leaf.select(
+        "node", "rows", F.explode(F.sequence(F.lit(0), F.length("node"))).alias("depth")
+    ).withColumn("part", F.expr("left(node, depth)"))
+    fits = above.groupBy("part").agg(F.sum("rows").alias("rows")).filter(F.col("rows") <= group_rows).select("part")
+    chosen = written(
+        leaf.select("node").join(
+            above.join(fits, "part").groupBy("node").agg(F.min("depth").alias("depth")), "node", "left"
+        ).select("node", F.expr("left(node, coalesce(depth, length(node)))").alias("group")),
+        "tree-groups",
+    )
+    rest = few.join(chosen, "node").select("id", "vector", "label", F.lit(None).cast("string").alias("pure"), "group")
+    return written(own.unionByName(rest), "tree-grouped")
+
+
+def _ball(group: pd.DataFrame) -> pd.DataFrame:
+    matrix = _stacked(group["vector"])
+    centre = _unit(matrix.mean(axis=0, keepdims=True))
+    return pd.DataFrame(
+        {
+            "group": [group["group"].iloc[0]], "pure": [group["pure"].iloc[0]],
+            "centre": [centre[0]], "radius": [float(_angles(matrix, centre).max())],
+        }
+    )
+
+
+def _apart(at_least: float) -> Column:
+    """Whether two balls are so far apart that no row of one is similar to a row of the other."""
     reach = float(np.arccos(np.clip(at_least, -1.0, 1.0)))
+    between = F.acos(cosine(F.col("a.centre"), F.col("b.centre")))
+    return between - F.col("a.radius") - F.col("b.radius") > reach + _SLACK
 
-    def search(rows: pd.DataFrame, kids: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "vector", "label", "home", "node"]
-        if not len(rows) or not len(kids):
-            return pd.DataFrame(columns=columns)
-        child, only = (list(kids[c].iloc[0]) for c in ("child", "only"))
-        centres = _stacked(kids["pivot"].iloc[0])
-        angle = _angles(_stacked(rows["vector"]), centres)
-        open_ = angle <= angle.min(axis=1, keepdims=True) + 2 * reach + _SLACK
-        places = [int(path[-1], 16) for path in child]
-        for at in range(len(child)):
-            low, high = (np.asarray(kids[c].iloc[0][at], float)[places] for c in ("low", "high"))
-            open_[:, at] &= ((angle >= low - reach - _SLACK) & (angle <= high + reach + _SLACK)).all(axis=1)
-        homes = rows["home"].to_numpy(object)
-        labels = rows["label"].to_numpy(object)
-        for at, path in enumerate(child):
-            inside = np.array([home.startswith(path) for home in homes], bool)
-            later = np.array([home < path for home in homes], bool)
-            if only[at] is not None:
-                later &= labels != only[at]
-            # Leaves before the own one are searched by their rows; the way home has others beside it.
-            open_[:, at] = inside | (open_[:, at] & later)
-        row, at = np.nonzero(open_)
-        out = rows.iloc[row][["id", "vector", "label", "home"]].reset_index(drop=True)
-        out["node"] = np.array(child, object)[at]
-        return out[columns]
-
-    return search
-
-
-def _visits(leaves: DataFrame, kids: list[DataFrame], at_least: float) -> DataFrame:
-    """id, vector, node: rows and the leaves after their own that may hold similar rows."""
-    rows = leaves.select("id", "vector", "label", F.col("node").alias("home"), F.lit("").alias("node"))
-    ended = []
-    for level in kids:
-        sizes = _sized(rows)
-        rows = written(
-            _dealt(rows, sizes).groupBy("node", "part").cogroup(_each_part(level, sizes).groupBy("node", "part"))
-            .applyInPandas(_search(at_least), "id string, vector array<double>, label string, home string, node string"),
-            "tree-visits",
-        )
-        ended.append(rows)
-    split = reduce(DataFrame.unionByName, [level.select("node") for level in kids])
-    for at, rows in enumerate(ended):  # a node that is split is no leaf
-        ended[at] = rows.filter("node <> home").join(split, "node", "left_anti").select("id", "vector", "node")
-    return reduce(DataFrame.unionByName, ended)
-
-
-def _met(leaves: DataFrame, visits: DataFrame | None, block_rows: int) -> DataFrame:
-    """id, vector, leaf, piece, visitor: the rows of a leaf with all its visitors, a block at a time."""
-    homes = leaves.select("id", "vector", F.col("node").alias("leaf"))
-    if visits is None:
-        return homes.withColumn("piece", F.lit(0)).withColumn("visitor", F.lit(False))
-    visits = written(visits.withColumnRenamed("node", "leaf"), "tree-meetings")
-    pieces = written(
-        visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("pieces")), "tree-pieces"
+
+def _across(rows: DataFrame, at_least: float) -> DataFrame:
+    """Edges between similar rows of different labels, from every pair of groups that can hold any."""
+    balls = written(
+        rows.groupBy("group").applyInPandas(_ball, "group string, pure string, centre array<double>, radius double"),
+        "tree-balls",
+    )
+    a, b = balls.alias("a"), balls.alias("b")
+    pairs = written(
+        a.join(b, F.expr("a.group <= b.group AND NOT (a.pure <=> b.pure AND a.pure IS NOT NULL)"))
+        .filter((F.col("a.group") == F.col("b.group")) | ~_apart(at_least))
+        .select(F.col("a.group").alias("one"), F.col("b.group").alias("two")),
+        "tree-pairs",
+    )
+
+    def side(own: str) -> DataFrame:
+        found = rows.join(F.broadcast(pairs), F.col("group") == F.col(own)).select("one", "two", "id", "label", "vector")
+        return found.toDF(*(f"{own}_{c}" for c in found.columns))
+
+    keys = [[f"{own}_{c}" for c in ("one", "two")] for own in ("one", "two")]
+    return side("one").groupBy(*keys[0]).cogroup(side("two").groupBy(*keys[1])).applyInPandas(
+        _between(at_least), "src string, dst string"
     )
-    piece = F.pmod(F.xxhash64("id", F.lit("piece")), F.col("pieces")).cast("int")
-    guests = visits.join(pieces, "leaf").select("id", "vector", "leaf", piece.alias("piece"), F.lit(True).alias("visitor"))
-    every = F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))
-    own = homes.join(pieces, "leaf", "left").select("id", "vector", "leaf", every.alias("piece"), F.lit(False).alias("visitor"))
-    return own.unionByName(guests)
+
+
+def _between(at_least: float):
+    def between(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        """A spanning forest of the labels that similar rows of two groups connect."""
+        one, two = (side.set_axis(["one", "two", "id", "label", "vector"], axis=1) for side in (one, two))
+        names, labels = pd.factorize(pd.concat([one["label"], two["label"]], ignore_index=True))
+        mine, theirs = names[: len(one)], names[len(one) :]
+        rows, columns = _stacked(one["vector"]), _stacked(two["vector"]).T
+        mixed = bool(np.intersect1d(mine, theirs).size)
+        root = np.arange(len(labels))
+        src, dst = [], []
+
+        def top(at: int) -> int:
+            while root[at] != at:
+                root[at] = at = root[root[at]]
+            return at
+
+        for at in range(0, len(rows), _AT_ONCE):
+            near = rows[at : at + _AT_ONCE] @ columns >= at_least
+            if mixed:
+                near &= mine[at : at + _AT_ONCE, None] != theirs[None, :]
+            i, j = np.nonzero(near)
+            if not len(i):
+                continue
+            i += at
+            _, kept = np.unique(mine[i].astype(np.int64) * len(labels) + theirs[j], return_index=True)
+            for k in kept:
+                low, high = sorted((top(mine[i[k]]), top(theirs[j[k]])))
+                if low != high:
+                    root[high] = low
+                    src.append(one["id"].iloc[i[k]])
+                    dst.append(two["id"].iloc[j[k]])
+        return pd.DataFrame({"src": src, "dst": dst}, dtype=object)
+
+    return between
 
 
 def _forest(at_least: float):
@@ -266,10 +313,6 @@ def _forest(at_least: float):
         group = group.sort_values("id", ignore_index=True)
         matrix = _stacked(group["vector"])
         near = matrix @ matrix.T >= at_least
-        visitor = group["visitor"].to_numpy(bool)
-        near &= ~(visitor[:, None] & visitor[None, :])
-        if group["piece"].iloc[0] > 0:  # the leaf's own rows meet in its first piece
-            near &= visitor[:, None] | visitor[None, :]
         ids = group["id"].to_numpy()
         unseen = np.ones(len(ids), bool)
         src, dst = [], []
