@@ -220,6 +220,19 @@ def test_links_across_groups_connect_the_same_rows_as_all_pairs(spark, at_least)
     assert got == {i: ids[k] for i, k in zip(ids, label)} and 20 < len(set(label)) < 700
 
 
+def test_rows_move_once_per_group_not_once_per_leaf(spark, monkeypatch):
+    """Rows of many small leaves without similar pairs are one group, and each moves once per group."""
+    moved = []
+    across = V._across
+    monkeypatch.setattr(V, "_across", lambda rows, at: moved.append(rows) or across(rows, at))
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(600, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"v{i:03d}", v.tolist()) for i, v in enumerate(vectors)], "id string, vector array<double>")
+    assert V.similar_links(df, 0.9, block_rows=20, group_rows=600).count() == 0
+    assert moved[0].count() == 600 and moved[0].select("group").distinct().count() == 1
+
+
 def test_links_of_nothing_and_of_copies(spark):
     df = spark.createDataFrame([(f"c{i}", [1.0, 0.0]) for i in range(9)], "id string, vector array<double>")
     edges = similar_links(df, 0.9, block_rows=2).collect()
