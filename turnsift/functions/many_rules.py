@@ -8,8 +8,10 @@ per rule. The list stands wherever a mask of few rules stands.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 _FOLDED, _NAMED = "_folded", "_named"
+#: Words that one pattern is spelled out to at most.
+_SPELLINGS = 32
+_PLAIN = re.compile(r"(?:[a-z0-9 ]|\[[a-z0-9 ]+\])+")
+
+
+def _spelled(regex: str) -> tuple[str, ...]:
+    """All texts a pattern of plain characters and short classes matches; none for any other pattern."""
+    if not _PLAIN.fullmatch(regex):
+        return ()
+    choices = [part.strip("[]") for part in re.findall(r"\[[^]]+\]|.", regex)]
+    if np.prod([len(part) for part in choices], dtype=float) > _SPELLINGS:
+        return ()
+    return tuple(sorted({"".join(letters) for letters in product(*choices)}))
+
+
+def _needs(rule) -> tuple[tuple[str, ...], ...]:
+    """Groups of words of which a match has one each: the rule's own, or where its pattern is a few plain
+    texts, those, which are rarer."""
+    spelled = _spelled(rule.regex) if rule.needs else ()
+    implied = all(any(word in text for word in group) for text in spelled for group in rule.needs)
+    return (spelled,) if spelled and implied else rule.needs
 
 
 class _Search:
@@ -53,7 +76,7 @@ def _search(needs: tuple) -> _Search:
 
 
 def _naming(rules: Sequence):
-    needs = tuple(rule.needs for rule in rules)
+    needs = tuple(_needs(rule) for rule in rules)
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def named(texts: pd.Series) -> pd.Series:
