@@ -12,7 +12,7 @@ from turnsift.config import ScanConfig
 from turnsift.functions import scoring
 from turnsift.functions.rules import HEURISTIC, RULES, Rule
 from turnsift.operators import chain, detect, evaluate, model
-from turnsift.operators.durable import durable, ensure_checkpoint_dir
+from turnsift.operators.durable import durable, ensure_checkpoint_dir, written
 from turnsift.plans import overlay, sql as Q
 from turnsift.plans.detection import joined, signals
 from turnsift.plans.fingerprinting import arrived
@@ -213,7 +213,7 @@ SELECT session_id, turn_index, score, 3 AS window_turns FROM msg WHERE score >=
 def alert_rows(spark, sf_dir):
     """The live view's columns of all alerts that a sink wrote in three batches."""
     sink = SignalSink(_folder(spark, "alerts"))
-    found = signals(spark, sf_dir)
+    found = written(signals(spark, sf_dir), "alert-signals")
     keyed = arrived(found).join(
         found.withColumn("signal_id", F.concat_ws(":", "session_id", F.col("turn_index").cast("string"), "stage"))
         .select("signal_id", "turn_index", "matched_heuristics", "source"), "signal_id",
