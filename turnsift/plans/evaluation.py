@@ -134,7 +134,7 @@ def nb_scores(spark, sf_dir):
     docs = overlay.documents(spark, sf_dir)
     labelled = overlay.with_labels(docs.select("doc_id", "text"), spark, sf_dir).filter("labelled")
     weights = naive_bayes.train(labelled, "text", "label")
-    scanned = detect.with_scan(docs.select("doc_id", "text"), "text", scorer=naive_bayes.scorer(weights, "doc_id"))
+    scanned = detect.with_scan(docs.select("doc_id", "text"), "text", scorer=naive_bayes.scorer(weights, "doc_id", docs))
     return scanned.select("doc_id", F.round("ml_score", 6).alias("ml_score"), "score")
 
 
