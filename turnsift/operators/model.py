@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from turnsift.operators.detect import Scorer
+from turnsift.operators.durable import written
 
 #: Working columns of the pipeline.
 _STAGES = tuple(
@@ -25,17 +26,22 @@ def train(labelled: DataFrame, text: str, label: str, features: int = 1 << 16) -
         F.coalesce(text, F.lit("")).alias(_STAGES[0]), F.col(label).cast("double").alias("_model_label")
     )
     given, words, counts, vector, raw, probability, prediction = _STAGES
-    return Pipeline(
+    hashing = [
+        RegexTokenizer(inputCol=given, outputCol=words, pattern=r"\W+"),
+        HashingTF(inputCol=words, outputCol=counts, numFeatures=features),
+    ]
+    # the texts are read once: what follows passes over the counts several times
+    hashed = written(PipelineModel(hashing).transform(rows).select(counts, "_model_label"), "model-counts")
+    fitted = Pipeline(
         stages=[
-            RegexTokenizer(inputCol=given, outputCol=words, pattern=r"\W+"),
-            HashingTF(inputCol=words, outputCol=counts, numFeatures=features),
             IDF(inputCol=counts, outputCol=vector),
             LogisticRegression(
                 regParam=0.01, maxIter=30, labelCol="_model_label", featuresCol=vector,
                 rawPredictionCol=raw, probabilityCol=probability, predictionCol=prediction,
             ),
         ]
-    ).fit(rows)
+    ).fit(hashed)
+    return PipelineModel([*hashing, *fitted.stages])
 
 
 def scorer(model: PipelineModel) -> Scorer:
