@@ -19,7 +19,7 @@ MASK = 0xFFFFFFFF
 
 
 #: Characters counted at once; bounds the arrays of a batch of long texts.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 def _counts(padded: list[str]) -> np.ndarray:

@@ -18,7 +18,7 @@ ROW_GROUP = 65_536
 REF_GROUP = 16_384
 MOST_TASKS = 20_000
 
-_AT_ONCE = 512
+_AT_ONCE = 128
 _LEAST_ROWS = 256
 _OUT = "id string, ref string, rank string, cos double"
 _DIGITS = 12
@@ -33,7 +33,7 @@ def grid(n_rows: int, n_refs: int, row_group: int, ref_group: int, tasks: int) -
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -115,7 +115,8 @@ def compare(
                 own = part.column("name").to_pylist()
                 vectors = _vectors(part.column("vector"))
                 for at in range(0, len(own), _AT_ONCE):
-                    scores = np.round((vectors[at : at + _AT_ONCE] @ matrix).clip(-1.0, 1.0), _DIGITS)
+                    scores = vectors[at : at + _AT_ONCE] @ matrix
+                    np.round(np.clip(scores, -1.0, 1.0, out=scores), _DIGITS, out=scores)
                     rows_of, found = pick(scores, at_least)
                     yield pa.RecordBatch.from_arrays(
                         [
