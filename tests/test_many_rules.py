@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from turnsift.functions import rules as R
+from turnsift.functions import many_rules, rules as R
 from turnsift.operators import detect
 from turnsift.plans.settings import numbered_rules
 
@@ -56,3 +56,15 @@ def test_five_hundred_rules(spark):
         text = dict(texts)[row.id]
         assert row.ids == [r.rule_id for r in table if re.search(r.regex, text)]
         assert row.ids
+
+
+def test_only_rules_that_match_are_named_where_patterns_are_plain():
+    rules = numbered_rules()
+    search = many_rules._search(tuple(many_rules._needs(rule) for rule in rules))
+    text = "".join(chr(97 + k * k % 26) + "aeiou"[k % 5] for k in range(3000))
+    want = [n for n, rule in enumerate(rules) if re.search(rule.regex, text)]
+    assert search.named(text) == want and 0 < len(want) < 250
+    words = many_rules._spelled("ab[xy]c")
+    assert words == ("abxc", "abyc") and not many_rules._spelled("ab[a-z]c") and not many_rules._spelled("ab.c")
+    odd = R.Rule("O", R.HEURISTIC, 1, "ab[xy]c", "odd", (("ab",), ("far",)))
+    assert many_rules._needs(odd) == odd.needs
