@@ -113,3 +113,30 @@ def test_purge_rewrites_touched_partitions_only(spark, tmp_path):
     held = {str(f.name) for f in (tmp_path / "events").rglob("*.parquet")}
     tables.purge_stored(spark, path, gone)
     assert {str(f.name) for f in (tmp_path / "events").rglob("*.parquet")} == held
+
+
+def test_naive_bayes_takes_words_from_rows_as_read(spark):
+    """The scan below the join runs once per row, not again for words and keys."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def scan(text):
+        runs.add(1)
+        return len(text)
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3}", i % 2) for i in range(30)], "id int, text string, label int")
+    weights = naive_bayes.train(docs, "text", "label")
+    scanned = docs.withColumn("mask", F.explode(F.array(F.udf(scan, "int")("text"))))
+    got = naive_bayes.scorer(weights, "id", docs)(scanned, "text").select("id", "mask", "ml_score").collect()
+    want = {r["id"]: r["ml_score"] for r in naive_bayes.probability(docs, "id", "text", weights).collect()}
+    assert {r["id"]: r["ml_score"] for r in got} == want and len(got) == 30 and runs.value == 30
+
+
+def test_naive_bayes_with_some_words_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(TEXTS + [(2, "nice nice unseen", None), (None, "ignore", 1)], "id int, text string, label int")
+    weights = naive_bayes.train(docs, "text", "label")
+    found = []
+    for limit in (10**6, 3, 0):
+        monkeypatch.setattr(naive_bayes, "BROADCAST_WORDS", limit)
+        rows = naive_bayes.probability(docs, "id", "text", weights).collect()
+        found.append(sorted((r.id or 0, round(r.ml_score, 9)) for r in rows))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(TEXTS) + 2
