@@ -66,3 +66,15 @@ def test_model_reads_whole_texts_and_keeps_columns(spark):
     assert by_label[1] > by_label[0] + 0.2
     seen = model.python_scorer(lambda: lambda texts: [float(len(t)) for t in texts])(docs, "text")
     assert seen.agg(F.min("ml_score")).first()[0] > 2_000
+
+
+def test_training_reads_the_texts_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        reads.add(1)
+        return text
+
+    docs = spark.createDataFrame([(f"word{i % 5} other{i % 2}", i % 2) for i in range(40)], "text string, label int")
+    trained = model.train(docs.withColumn("text", F.udf(read, "string")("text")), "text", "label")
+    assert reads.value == 40 and len(trained.stages) == 4
