@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnsift import schema as S
 from turnsift.operators import chain
 from turnsift.operators.windows import flat_signals
-from turnsift.plans import overlay, streams
+from turnsift.plans import overlay, settings, streams
 from turnsift.streaming import jobs, sinks
 from turnsift.streaming.outbox import Outbox
 from turnsift.streaming.outputs import TurnSink
@@ -295,3 +295,20 @@ def test_a_stream_without_rows_has_no_highest_score(spark, tmp_path):
     empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     empty.write.parquet(f"{tmp_path}/conversations.parquet")
     assert streams.stream_running_max(spark, str(tmp_path)).count() == 0
+
+
+def test_alert_rows_scan_the_conversations_once(spark, tmp_path, monkeypatch):
+    talk = [(c, t, "user" if t % 2 else "assistant", f"plain words {c} {t}") for c in range(1, 40) for t in range(4)]
+    table = spark.createDataFrame(talk, "conv_id bigint, turn bigint, role string, text string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    given, runs = settings.signals, spark.sparkContext.accumulator(0)
+
+    def count(value):
+        runs.add(1)
+        return value
+
+    monkeypatch.setattr(
+        settings, "signals", lambda *at: given(*at).withColumn("session_id", F.udf(count, "string")("session_id"))
+    )
+    rows = settings.alert_rows(spark, str(tmp_path)).count()
+    assert rows == runs.value > 5
