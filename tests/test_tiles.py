@@ -1,9 +1,12 @@
 """Tile comparison against one matrix product, for any group sizes."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from turnsift.operators import fingerprints as fp
+from turnsift.functions.grams import gram_matrix
+from turnsift.operators import fingerprints as fp, tiles
 from turnsift.operators.tiles import best_of, compare, first_of
 
 
@@ -67,3 +70,13 @@ def test_leaders_equal_a_sequential_pass(spark, vectors):
     got = fp._leaders(rows, 0.7, {"row_group": 40, "ref_group": 25})
     assert sorted(r["id"] for r in got.collect()) == [f"r{i:03d}" for i in want]
     assert fp._leaders(rows.limit(0), 0.7, {}).count() == 0
+
+
+def test_working_arrays_are_small():
+    assert tiles._AT_ONCE * tiles.REF_GROUP * 8 <= 1 << 24
+    texts = ["some words of a text " * 50] * 1500
+    tracemalloc.start()
+    gram_matrix(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
