@@ -1,12 +1,14 @@
 import datetime as dt
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from turnsift.config import ScanConfig
-from turnsift.functions.grams import cosine, gram_embedding, gram_vector
+from turnsift.functions.grams import cosine, gram_embedding, gram_matrix, gram_vector
 from turnsift.operators import fingerprints as fp
 from turnsift.operators import vectors as V
 from turnsift.operators.components import connected_components
@@ -240,6 +242,50 @@ def test_links_of_nothing_and_of_copies(spark):
     assert similar_links(df.limit(0), 0.9).count() == 0
 
 
+def peak_mb(call):
+    tracemalloc.start()
+    out = call()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak / (1 << 20)
+
+
+def test_vectors_of_a_batch_take_little_more_than_themselves():
+    texts = [f"snippet {i}" for i in range(10_000)]
+    matrix, peak = peak_mb(lambda: gram_matrix(texts))
+    assert peak < 1.6 * matrix.nbytes / (1 << 20)
+    assert all((matrix[i] == gram_vector(texts[i])).all() for i in (0, 1023, 1024, 9_999))
+
+
+def test_vectors_of_null_texts_are_null(spark):
+    df = spark.createDataFrame([(0, None), (1, ""), (2, None), (3, A)], "n int, a string").repartition(1)
+    got = {r["n"]: r["v"] for r in df.select("n", gram_embedding("a").alias("v")).collect()}
+    assert got == {0: None, 1: gram_vector("").tolist(), 2: None, 3: gram_vector(A).tolist()}
+    assert df.filter("a IS NULL").select(gram_embedding("a").alias("v")).filter("v IS NOT NULL").count() == 0
+
+
+def test_working_arrays_of_the_link_search_are_small():
+    """Beside the vectors of a task (4 or 16 MB) there are slices of cosines, not all of them."""
+    rng = np.random.default_rng(6)
+
+    def rows(n, label):
+        vectors = np.abs(rng.normal(size=(n, 256)))
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        ids = [f"{label}{i:05d}" for i in range(n)]
+        return pd.DataFrame({"id": ids, "vector": list(vectors), "label": label, "node": "", "one": "", "two": ""})
+
+    block = rows(V.BLOCK_ROWS, "a")
+    found, peak = peak_mb(lambda: V._forest(0.5)(block))
+    assert len(found) == V.BLOCK_ROWS - 1 and peak < 24
+    sides = [x[["one", "two", "id", "label", "vector"]] for x in (rows(256, "a"), rows(V.GROUP_ROWS, "b"))]
+    found, peak = peak_mb(lambda: V._between(0.5)(*sides))
+    assert len(found) == 1 and peak < 80
+    part = rows(V.PART_ROWS, "a")
+    pivots = pd.DataFrame({"node": [""], "ids": [list(part["id"][:16])], "vectors": [list(part["vector"][:16])]})
+    found, peak = peak_mb(lambda: V._split(0.5)(part, pivots))
+    assert len(found) == V.PART_ROWS and peak < 24
+
+
 def test_nearest(spark, store):
     table, _ = store
     signals = spark.createDataFrame([("1", A), ("2", "nothing of the kind, 42"), ("3", OTHER)], "signal_id string, evidence_snippet string")

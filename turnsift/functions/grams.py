@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -18,8 +19,9 @@ SPREAD = 2_654_435
 MASK = 0xFFFFFFFF
 
 
-#: Characters counted at once; bounds the arrays of a batch of long texts.
+#: Characters and texts counted at once; they bound the arrays of a batch of long or of many texts.
 SLICE_CHARS = 1 << 18
+SLICE_TEXTS = 1 << 10
 
 
 def _counts(padded: list[str]) -> np.ndarray:
@@ -42,22 +44,26 @@ def gram_matrix(texts: list[str]) -> np.ndarray:
         lowered = f" {text.lower()} "
         held.append(lowered)
         size += len(lowered)
-        if size >= SLICE_CHARS or i == len(texts) - 1:
-            out[start : i + 1] = _counts(held)
+        if size >= SLICE_CHARS or len(held) >= SLICE_TEXTS or i == len(texts) - 1:
+            part = out[start : i + 1]
+            part[:] = _counts(held)
+            norm = np.sqrt((part * part).sum(axis=1, keepdims=True))
+            part /= np.where(norm == 0, 1.0, norm)
             start, held, size = i + 1, [], 0
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return out / np.where(norm == 0, 1.0, norm)
+    return out
 
 
 def gram_vector(text: str) -> np.ndarray:
     return gram_matrix([text])[0]
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def gram_embedding(texts: pd.Series) -> pd.Series:
-    present = texts.notna().to_numpy()
-    vectors = iter(gram_matrix(texts[present].tolist()))
-    return pd.Series([next(vectors) if there else None for there in present], dtype=object)
+@F.arrow_udf(ArrayType(DoubleType()))
+def gram_embedding(texts: pa.Array) -> pa.Array:
+    """Gram vector of a text, null for null. The matrix of a batch is handed on as it is, not row by row."""
+    present = texts.is_valid().to_numpy(zero_copy_only=False)
+    matrix = gram_matrix(texts.drop_null().to_pylist())
+    ends = np.concatenate(([0], present.cumsum() * DIMENSIONS)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()), mask=pa.array(~present))
 
 
 @F.pandas_udf(DoubleType())

@@ -15,7 +15,7 @@ from turnsift.operators.durable import durable, written
 #: Rows of a node that is not split any further, and of a random block.
 BLOCK_ROWS = 2_048
 #: Rows of one task while nodes are split.
-PART_ROWS = 8_192
+PART_ROWS = 2_048
 #: Rows of a group; a task compares two groups.
 GROUP_ROWS = 8_192
 #: Times that all rows meet in random blocks.
@@ -26,7 +26,8 @@ FAN = 16
 _SLACK = 1e-6
 _TIE = 1e-7
 _DRAWN = 4 * FAN
-_AT_ONCE = 256
+#: Rows that meet all others of a task at once; bounds the arrays of their cosines.
+_AT_ONCE = 64
 
 
 def similar_links(
@@ -233,10 +234,11 @@ def _grouped(rows: DataFrame, group_rows: int) -> DataFrame:
 def _ball(group: pd.DataFrame) -> pd.DataFrame:
     matrix = _stacked(group["vector"])
     centre = _unit(matrix.mean(axis=0, keepdims=True))
+    radius = max(float(_angles(matrix[at : at + _AT_ONCE], centre).max()) for at in range(0, len(matrix), _AT_ONCE))
     return pd.DataFrame(
         {
             "group": [group["group"].iloc[0]], "pure": [group["pure"].iloc[0]],
-            "centre": [centre[0]], "radius": [float(_angles(matrix, centre).max())],
+            "centre": [centre[0]], "radius": [radius],
         }
     )
 
@@ -278,7 +280,7 @@ def _between(at_least: float):
         one, two = (side.set_axis(["one", "two", "id", "label", "vector"], axis=1) for side in (one, two))
         names, labels = pd.factorize(pd.concat([one["label"], two["label"]], ignore_index=True))
         mine, theirs = names[: len(one)], names[len(one) :]
-        rows, columns = _stacked(one["vector"]), _stacked(two["vector"]).T
+        columns = _stacked(two["vector"]).T
         mixed = bool(np.intersect1d(mine, theirs).size)
         root = np.arange(len(labels))
         src, dst = [], []
@@ -288,8 +290,8 @@ def _between(at_least: float):
                 root[at] = at = root[root[at]]
             return at
 
-        for at in range(0, len(rows), _AT_ONCE):
-            near = rows[at : at + _AT_ONCE] @ columns >= at_least
+        for at in range(0, len(one), _AT_ONCE):
+            near = _stacked(one["vector"].iloc[at : at + _AT_ONCE]) @ columns >= at_least
             if mixed:
                 near &= mine[at : at + _AT_ONCE, None] != theirs[None, :]
             i, j = np.nonzero(near)
@@ -312,7 +314,9 @@ def _forest(at_least: float):
     def forest(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
         matrix = _stacked(group["vector"])
-        near = matrix @ matrix.T >= at_least
+        near = np.empty((len(matrix), len(matrix)), bool)
+        for at in range(0, len(matrix), _AT_ONCE):
+            np.greater_equal(matrix[at : at + _AT_ONCE] @ matrix.T, at_least, out=near[at : at + _AT_ONCE])
         ids = group["id"].to_numpy()
         unseen = np.ones(len(ids), bool)
         src, dst = [], []
